@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotewright.llm import lookalike, terms
+from quotewright.llm import lookalike, terms, tokenize
 from quotewright.runtime import table
 
+#: Where the public vocabulary files are.
+TOKENIZERS = os.environ.get("QUOTEWRIGHT_TOKENIZERS", "/opt/tokenizers")
 TERM_FIELDS = {"norm_aggressive": True, "collection": False}
 
 
@@ -25,6 +29,10 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.lookalike_pairs(table(spark, sf_dir, "records"), "id", "text_ar")
 
 
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenize.encode(table(spark, sf_dir, "documents"), "doc_id", "text", f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
+
+
 _TERMS_SQL = """
 WITH one AS (SELECT id, any_value(norm_aggressive) AS norm_aggressive, any_value(collection) AS collection FROM records GROUP BY id),
 words AS (
@@ -40,7 +48,7 @@ words AS (
 )
 """
 
-QUERIES = {"p2_terms": p2_terms, "p2_found": p2_found, "p4_found": p4_found}
+QUERIES = {"p2_terms": p2_terms, "p2_found": p2_found, "p4_found": p4_found, "p7_ids": p7_ids}
 SQL = {
     "p2_terms": _TERMS_SQL + "SELECT * FROM marked",
     "p2_found": _TERMS_SQL + "SELECT field_name, term, freq_mark FROM marked WHERE freq_mark IS NOT NULL",
