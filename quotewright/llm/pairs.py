@@ -1,32 +1,62 @@
-"""Pairs within groups, written so that no task ever holds a group and output stays linear in the rows."""
+"""Pairs within groups, written so that no task ever holds a whole group."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Up to so many members a group gives all its pairs; beyond, every member is paired with a representative.
+#: Up to so many members a group of exact copies gives all its pairs; beyond, every member is paired with a
+#: representative. Blocks that larger groups of different members are compared in have this size too.
 PAIR_LIMIT = 500
 SALTS = 16
 
 
+def salted(side: DataFrame, keys: list[str], stats: DataFrame) -> DataFrame:
+    """side joined with one row per key; the rows of a hot key are spread over SALTS tasks."""
+    spread = stats.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return side.withColumn("salt", F.pmod(F.xxhash64(*side.columns), F.lit(SALTS)).cast("int")).join(spread, [*keys, "salt"]).drop("salt")
+
+
 def with_stats(members: DataFrame, keys: list[str], least: int = 2, **aggs) -> DataFrame:
-    """members of groups of at least `least` rows, with the groups' aggregates. Groups are counted before the
-    shuffle, and the rows of a hot group are spread over SALTS tasks."""
-    stats = members.groupBy(*keys).agg(F.count("*").alias("group_size"), *[v.alias(k) for k, v in aggs.items()]).where(F.col("group_size") >= least)
-    salted = stats.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return members.withColumn("salt", F.pmod(F.xxhash64(*members.columns), F.lit(SALTS)).cast("int")).join(salted, [*keys, "salt"]).drop("salt")
+    """members of groups of at least `least` rows, with the groups' aggregates, counted before the shuffle."""
+    stats = members.groupBy(*keys).agg(F.count("*").alias("group_size"), *[v.alias(k) for k, v in aggs.items()])
+    return salted(members, keys, stats.where(F.col("group_size") >= least) if least > 1 else stats)
+
+
+def group_pairs(m: DataFrame, keys: list[str], value: str, extra: list[str] = ()) -> DataFrame:
+    """keys, a, b (a < b) and the extra columns as a_x, b_x of all pairs in each group; m has group_size.
+
+    A group beyond PAIR_LIMIT is cut into blocks: each member stands once on the left, in its block, and once in
+    every block on the right, so a task sees one block against the group and no pair is missed.
+    """
+    m = m.withColumn("blocks", F.ceil(F.col("group_size") / PAIR_LIMIT).cast("int"))
+    a = m.withColumn("block", F.pmod(F.xxhash64(value), F.col("blocks")).cast("int"))
+    b = m.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    named = lambda side, n: side.select(*keys, "block", F.col(value).alias(n), *[F.col(x).alias(f"{n}_{x}") for x in extra])
+    return named(a, "a").join(named(b, "b"), [*keys, "block"]).where(F.col("a") < F.col("b")).drop("block")
 
 
 def copy_pairs(members: DataFrame, keys: list[str], id_col: str = "id") -> DataFrame:
     """id_a < id_b for members of one group of exact copies: all pairs of a group of up to PAIR_LIMIT members,
     pairs (representative, member) of a larger one. `members` has one row per id."""
     m = with_stats(members.select(*keys, F.col(id_col).alias("id")), keys, first_id=F.min("id"))
-    small = m.where(F.col("group_size") <= PAIR_LIMIT)
-    a, b = small.select(*keys, F.col("id").alias("id_a")), small.select(*keys, F.col("id").alias("id_b"))
-    every = a.join(b, keys).where(F.col("id_a") < F.col("id_b")).select("id_a", "id_b")
+    small = group_pairs(m.where(F.col("group_size") <= PAIR_LIMIT), keys, "id").select(F.col("a").alias("id_a"), F.col("b").alias("id_b"))
     star = m.where((F.col("group_size") > PAIR_LIMIT) & (F.col("id") != F.col("first_id"))).select(F.col("first_id").alias("id_a"), F.col("id").alias("id_b"))
-    return every.unionByName(star)
+    return small.unionByName(star)
+
+
+def shown_members(members: DataFrame, key: str, id_col: str = "id") -> DataFrame:
+    """The members by which a class stands in pairs with other classes: all of a small class, else its representative."""
+    m = with_stats(members.select(key, F.col(id_col).alias("id")), [key], least=1, first_id=F.min("id"))
+    return m.where((F.col("group_size") <= PAIR_LIMIT) | (F.col("id") == F.col("first_id"))).select(key, "id")
+
+
+def expand(class_pairs: DataFrame, members: DataFrame, key: str) -> DataFrame:
+    """id_a < id_b: pairs of classes (a, b) written out over their members, and the copies within each class."""
+    shown = shown_members(members, key)
+    left = class_pairs.join(shown.select(F.col(key).alias("a"), F.col("id").alias("x")), "a")
+    both = left.join(shown.select(F.col(key).alias("b"), F.col("id").alias("y")), "b")
+    return both.select(*ordered(F.col("x"), F.col("y"))).unionByName(copy_pairs(members, [key]))
 
 
 def ordered(a, b) -> list:

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotewright.llm import lookalike, terms, tokenize
+from quotewright.llm import lookalike, near, spans, terms, tokenize
 from quotewright.runtime import table
 
 #: Where the public vocabulary files are.
@@ -29,6 +29,24 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.lookalike_pairs(table(spark, sf_dir, "records"), "id", "text_ar")
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.shared_span_pairs(table(spark, sf_dir, "records"), "id", "norm_standard", 12)
+
+
+def p5_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of each record stands in others."""
+    return spans.shared_share(table(spark, sf_dir, "records"), "id", "norm_standard", 12)
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_duplicates(table(spark, sf_dir, "records"), "id", "text_ar", 3, 20, (3, 5))
+
+
+def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each record's group and its links, by runs of five words and a similarity of 0.8."""
+    return near.groups(*near.similar_classes(table(spark, sf_dir, "records"), "id", "text_ar", 5, 20, (4, 5)))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize.encode(table(spark, sf_dir, "documents"), "doc_id", "text", f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
 
@@ -48,8 +66,22 @@ words AS (
 )
 """
 
-QUERIES = {"p2_terms": p2_terms, "p2_found": p2_found, "p4_found": p4_found, "p7_ids": p7_ids}
+_SPANS_SQL = """
+WITH one AS (SELECT id, any_value(norm_standard) AS text FROM records WHERE norm_standard IS NOT NULL AND id IS NOT NULL GROUP BY id),
+split AS (SELECT id, list_filter(string_split(text, ' '), lambda x: x <> '') AS words FROM one),
+spans AS (SELECT id, len(words) AS n_words, unnest(range(1, len(words) - 10)) AS position, words FROM split WHERE len(words) >= 12),
+hashed AS (SELECT id, position, array_to_string(words[position:position + 11], ' ') AS span FROM spans)
+"""
+
+QUERIES = {"p2_terms": p2_terms, "p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p5_shared": p5_shared, "p6_found": p6_found, "p6_groups": p6_groups, "p7_ids": p7_ids}
 SQL = {
     "p2_terms": _TERMS_SQL + "SELECT * FROM marked",
     "p2_found": _TERMS_SQL + "SELECT field_name, term, freq_mark FROM marked WHERE freq_mark IS NOT NULL",
+    "p5_found": _SPANS_SQL + "SELECT DISTINCT a.id AS id_a, b.id AS id_b FROM hashed a JOIN hashed b ON a.span = b.span AND a.id < b.id",
+    "p5_shared": _SPANS_SQL + """, held AS (SELECT span, min(id) AS first_id FROM hashed GROUP BY span HAVING count(DISTINCT id) > 1),
+covered AS (SELECT h.id, unnest(range(h.position, h.position + 12)) AS place, h.id <> k.first_id AS repeated FROM hashed h JOIN held k ON h.span = k.span),
+per AS (SELECT id, count(DISTINCT place) AS shared_words, count(DISTINCT place) FILTER (repeated) AS repeated_words FROM covered GROUP BY id)
+SELECT s.id, len(words) AS n_words, coalesce(shared_words, 0) AS shared_words, coalesce(repeated_words, 0) AS repeated_words,
+  CASE WHEN len(words) > 0 THEN (100 * coalesce(shared_words, 0)) // len(words) ELSE 0 END AS shared_percent
+FROM split s LEFT JOIN per p ON s.id = p.id""",
 }
