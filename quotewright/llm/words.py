@@ -11,7 +11,11 @@ from quotewright.llm.arrays import code_points, run_ids, slice_hashes, utf8
 def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(64-bit hash of each word, offsets of the texts in them). Words stand between U+0020; nulls have none."""
     data, offsets, _ = utf8(column)
-    points, at = code_points(data, offsets)
+    return words_of_points(*code_points(data, offsets))
+
+
+def words_of_points(points: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same for code points and the offsets of the texts in them."""
     points = points.astype(np.uint64)
     inside = points != 0x20
     first = np.zeros(len(points) + 1, bool)
