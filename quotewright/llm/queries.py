@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotewright.llm import leaks, lookalike, near, spans, terms, tokenize
+from quotewright.llm import leaks, lookalike, near, reading, spans, terms, tokenize
 from quotewright.runtime import table
 
 #: Where the public vocabulary files are.
@@ -60,6 +60,10 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaked(p8_leaks(spark, sf_dir))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reading.reading_levels(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "doc_levels"), "doc_id", "reading_level")
+
+
 _TERMS_SQL = """
 WITH one AS (SELECT id, any_value(norm_aggressive) AS norm_aggressive, any_value(collection) AS collection FROM records GROUP BY id),
 words AS (
@@ -82,7 +86,7 @@ spans AS (SELECT id, len(words) AS n_words, unnest(range(1, len(words) - 10)) AS
 hashed AS (SELECT id, position, array_to_string(words[position:position + 11], ' ') AS span FROM spans)
 """
 
-QUERIES = {"p2_terms": p2_terms, "p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p5_shared": p5_shared, "p6_found": p6_found, "p6_groups": p6_groups, "p7_ids": p7_ids, "p8_leaks": p8_leaks, "p8_found": p8_found}
+QUERIES = {"p2_terms": p2_terms, "p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p5_shared": p5_shared, "p6_found": p6_found, "p6_groups": p6_groups, "p7_ids": p7_ids, "p8_leaks": p8_leaks, "p8_found": p8_found, "p9_found": p9_found}
 SQL = {
     "p2_terms": _TERMS_SQL + "SELECT * FROM marked",
     "p2_found": _TERMS_SQL + "SELECT field_name, term, freq_mark FROM marked WHERE freq_mark IS NOT NULL",

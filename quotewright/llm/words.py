@@ -14,17 +14,20 @@ def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return words_of_points(*code_points(data, offsets))
 
 
-def words_of_points(points: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The same for code points and the offsets of the texts in them."""
-    points = points.astype(np.uint64)
+def word_slices(points: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of texts begin and end in their code points."""
     inside = points != 0x20
     first = np.zeros(len(points) + 1, bool)
     first[at] = True
     before = np.concatenate(([False], inside[:-1])) if len(points) else inside
     after = np.concatenate((inside[1:], [False])) if len(points) else inside
-    starts = np.flatnonzero(inside & (~before | first[:-1]))
-    ends = np.flatnonzero(inside & (~after | first[1:])) + 1
-    return slice_hashes(points, starts, ends), np.searchsorted(starts, at)
+    return np.flatnonzero(inside & (~before | first[:-1])), np.flatnonzero(inside & (~after | first[1:])) + 1
+
+
+def words_of_points(points: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """word_hashes for code points and the offsets of the texts in them."""
+    starts, ends = word_slices(points, at)
+    return slice_hashes(points.astype(np.uint64), starts, ends), np.searchsorted(starts, at)
 
 
 def windows(words: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
