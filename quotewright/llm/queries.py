@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotewright.llm import leaks, lookalike, near, reading, spans, terms, tokenize
+from quotewright.llm import leaks, lookalike, near, reading, spans, terms, tokenize, vectors
 from quotewright.runtime import table
 
 #: Where the public vocabulary files are.
@@ -15,6 +15,15 @@ TOKENIZERS = os.environ.get("QUOTEWRIGHT_TOKENIZERS", "/opt/tokenizers")
 TERM_FIELDS = {"norm_aggressive": True, "collection": False}
 
 
+def p1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of every usable vector."""
+    return vectors.neighbours(table(spark, sf_dir, "record_vectors"), 10)
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.mutual_pairs(p1_neighbours(spark, sf_dir))
+
+
 def p2_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of all terms."""
     return terms.term_counts(table(spark, sf_dir, "records"), "id", TERM_FIELDS)
@@ -86,7 +95,7 @@ spans AS (SELECT id, len(words) AS n_words, unnest(range(1, len(words) - 10)) AS
 hashed AS (SELECT id, position, array_to_string(words[position:position + 11], ' ') AS span FROM spans)
 """
 
-QUERIES = {"p2_terms": p2_terms, "p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p5_shared": p5_shared, "p6_found": p6_found, "p6_groups": p6_groups, "p7_ids": p7_ids, "p8_leaks": p8_leaks, "p8_found": p8_found, "p9_found": p9_found}
+QUERIES = {"p1_neighbours": p1_neighbours, "p1_found": p1_found, "p2_terms": p2_terms, "p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p5_shared": p5_shared, "p6_found": p6_found, "p6_groups": p6_groups, "p7_ids": p7_ids, "p8_leaks": p8_leaks, "p8_found": p8_found, "p9_found": p9_found}
 SQL = {
     "p2_terms": _TERMS_SQL + "SELECT * FROM marked",
     "p2_found": _TERMS_SQL + "SELECT field_name, term, freq_mark FROM marked WHERE freq_mark IS NOT NULL",
