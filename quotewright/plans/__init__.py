@@ -5,6 +5,6 @@ from __future__ import annotations
 
 def registry() -> list:
     """Modules with QUERIES and SQL."""
-    from quotewright.plans import orphans
+    from quotewright.plans import orphans, text
 
-    return [orphans]
+    return [orphans, text]
