@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import unicodedata
-from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quotewright.functions.spec import ALEFS, ARABIC, KASHIDA, LOSSY, MARKS, TIERS
 
@@ -15,35 +15,24 @@ from quotewright.functions.spec import ALEFS, ARABIC, KASHIDA, LOSSY, MARKS, TIE
 SPACES = "[\\s\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+"
 
 
-@cache
-def _composable() -> str:
-    """A class of the code points that NFC may change or join with a neighbour, found by rule."""
-    runs: list[list[int]] = []
-    for p in range(0x80, 0x30000):
-        c = chr(p)
-        if 0xD800 <= p < 0xE000:
-            continue
-        if unicodedata.combining(c) or 0x1100 <= p < 0x1200 or not unicodedata.is_normalized("NFC", c) or unicodedata.category(c) == "Mc":
-            if runs and runs[-1][1] == p - 1:
-                runs[-1][1] = p
-            else:
-                runs.append([p, p])
-    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in runs) + "]"
+#: A class that holds every code point which NFC may change or join with a neighbour, and few others; a short class,
+#: since the JVM tries its ranges one after another.
+COMPOSABLE = "[\\p{M}\\x{370}-\\x{38f}\\x{900}-\\x{11ff}\\x{1f00}-\\x{2001}\\x{2126}-\\x{232a}\\x{2adc}\\x{f900}-\\x{fb4f}\\x{1d100}-\\x{1d1ff}\\x{2f800}-\\x{2fa1f}]"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfkd(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKD", t))
 
 
 def nfc(text: Column) -> Column:
     """NFC; a text that is in NFC already stays in the JVM."""
-    return F.coalesce(_nfc(F.when(text.rlike(_composable()), text)), text)
+    return F.coalesce(_nfc(F.when(text.rlike(COMPOSABLE), text)), text)
 
 
 def nfkd(text: Column) -> Column:

@@ -20,7 +20,7 @@ from quotewright.functions.normalize import normalize, tiers
 from quotewright.functions.similarity import may_reach, ratio
 from quotewright.functions.text import search_tokens
 from quotewright.operators import search
-from quotewright.runtime import ship_code
+from quotewright.runtime import ship_code, written
 
 #: The verdict of each tier, candidates of a quotation, and the least similarity of a near match.
 VERDICTS = {"light": "EXACT", "standard": "EXACT_ORTHOGRAPHY", "aggressive": "NEAR_MATCH"}
@@ -93,7 +93,7 @@ def candidates(spans: DataFrame, reps: DataFrame, k: int = CANDIDATES) -> DataFr
 def fuzzy(spans: DataFrame, reps: DataFrame) -> DataFrame:
     """NEAR_MATCH or NOT_FOUND of each span: of its candidates the most similar record, by its best representation.
     The score is kept for near matches only: pairs whose lengths alone rule one out aren't measured."""
-    near = candidates(spans, reps).join(reps.select(F.concat_ws("\x1f", "record_id", "variant").alias("doc_id"), "record_id", "kind", "surah", "ayah", "collection", "hadith_no", F.col("norm_aggressive").alias("held")), "doc_id")
+    near = written(candidates(spans, reps), "candidates").join(reps.select(F.concat_ws("\x1f", "record_id", "variant").alias("doc_id"), "record_id", "kind", "surah", "ayah", "collection", "hadith_no", F.col("norm_aggressive").alias("held")), "doc_id")
     asked = spans.select("span_id", "norm_aggressive", *CITED)
     pairs = near.select("span_id", "record_id", "kind", "surah", "ayah", "collection", "hadith_no", "held").join(asked, "span_id")
     close = pairs.where(may_reach(F.col("norm_aggressive"), F.col("held"), NEAR))
@@ -101,7 +101,7 @@ def fuzzy(spans: DataFrame, reps: DataFrame) -> DataFrame:
     best = scored.groupBy("span_id", "record_id", "kind", "surah", "ayah", "collection", "hadith_no", *CITED).agg(F.max("score").alias("score"))
     top = best.withColumn("rank", F.rank().over(Window.partitionBy("span_id").orderBy(F.desc("score")))).where("rank = 1")
     found = top.groupBy("span_id").agg(F.min(_order()).alias("first"), F.max("score").alias("score"), F.count("*").alias("ties"))
-    found = found.select("span_id", F.lit("NEAR_MATCH").alias("verdict"), F.lit("aggressive").alias("tier"), F.col("first.record_id").alias("record_id"), "score", "ties")
+    found = written(found.select("span_id", F.lit("NEAR_MATCH").alias("verdict"), F.lit("aggressive").alias("tier"), F.col("first.record_id").alias("record_id"), "score", "ties"), "near")
     rest = spans.join(found, "span_id", "left_anti").select("span_id", F.lit("NOT_FOUND").alias("verdict"), F.lit(None).cast("string").alias("tier"), F.lit(None).cast("string").alias("record_id"), F.lit(None).cast("double").alias("score"), F.lit(0).cast("long").alias("ties"))
     return found.unionByName(rest)
 
@@ -137,10 +137,11 @@ def prefix_retry(spans: DataFrame, reps: DataFrame, records: DataFrame, with_fuz
     first = known.select("bismillah").limit(1).collect()
     if not first:
         return spans.select("span_id", *[F.lit(None).cast(t).alias(c) for c, t in zip(RESULT[1:], ("string", "string", "string", "double", "long"))]).limit(0)
-    stripped = strip_prefix(spans, first[0][0])
+    stripped = written(strip_prefix(spans, first[0][0]), "stripped")
     may = reps.join(known.where("ayah = 1").select(F.col("id").alias("record_id")).distinct(), "record_id", "left_semi")
     found = exact_cascade(stripped, may)
-    if with_fuzzy:
+    if with_fuzzy and not stripped.isEmpty():
+        found = written(found, "exact")
         near = fuzzy(stripped.join(found, "span_id", "left_anti"), may)
         found = found.unionByName(near.where("record_id is not null"))
     return found
@@ -190,17 +191,20 @@ def verify(spans: DataFrame, records: DataFrame, reps: DataFrame, with_fuzzy: bo
     `with_fuzzy` false leaves out the similarity stage, whose cost grows with the words that spans share with the corpus;
     spans it would look at are then NOT_FOUND. It is meant for a stated query set.
     """
-    asked = tiers(spans.select("span_id", "quoted", *CITED), "quoted")
-    found = exact_cascade(asked, reps)
-    rest = asked.join(found, "span_id", "left_anti")
-    retried = prefix_retry(rest, reps, records, with_fuzzy)
+    asked = written(tiers(spans.select("span_id", "quoted", *CITED), "quoted"), "asked")
+    reps = written(reps, "reps")
+    # each stage is written, so that what follows starts from a table and not from all stages before it
+    found = written(exact_cascade(asked, reps), "exact")
+    rest = written(asked.join(found, "span_id", "left_anti"), "rest")
+    retried = written(prefix_retry(rest, reps, records, with_fuzzy), "retried")
     found = found.unionByName(retried)
-    rest = asked.join(found, "span_id", "left_anti")
+    rest = rest.join(retried, "span_id", "left_anti")
     if with_fuzzy:
-        found = found.unionByName(fuzzy(rest, reps))
+        found = found.unionByName(fuzzy(written(rest, "rest"), reps))
     else:
         found = found.unionByName(rest.select("span_id", F.lit("NOT_FOUND").alias("verdict"), F.lit(None).cast("string").alias("tier"), F.lit(None).cast("string").alias("record_id"), F.lit(None).cast("double").alias("score"), F.lit(0).cast("long").alias("ties")))
-    return withhold(found, contained(found, asked, records))
+    found = written(found, "found")
+    return withhold(found, written(contained(found, asked, records), "contained"))
 
 
 def differences(quoted: str, canonical: str) -> list[dict]:

@@ -5,6 +5,6 @@ from __future__ import annotations
 
 def registry() -> list:
     """Modules with QUERIES and SQL."""
-    from quotewright.plans import orphans, text
+    from quotewright.plans import corpus, orphans, text, verify
 
-    return [orphans, text]
+    return [orphans, text, corpus, verify]
