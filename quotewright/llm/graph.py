@@ -1,16 +1,20 @@
 """A robust-pruned directed graph over packed bit vectors, built and searched many points at a time.
 
 Points are inserted in batches: a greedy beam search on the graph so far proposes neighbours, relaxed distance pruning
-keeps up to DEGREE diverse ones, and the edges are added backwards too. A query walks the graph with a beam.
+keeps up to DEGREE diverse ones, and the edges are added backwards too. Pruning may leave a point that is far from all
+others, or close to a better placed one, without edges towards it; so each point is also held by the first HOLDERS of its
+nearest points that have one of their KEPT places free, and pruning leaves those alone. A query walks with a beam.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
+#: Places for points held, and holders of a point.
+KEPT, HOLDERS = 12, 4
 #: Edges of a point, beam while building, relaxation of the pruning, points inserted and queries searched at once, and
 #: points of a beam that are opened in one step.
-DEGREE, BUILD_BEAM, RELAX, BATCH, OPENED = 32, 64, 1.2, 512, 4
+DEGREE, BUILD_BEAM, RELAX, BATCH, OPENED = 32, 128, 1.2, 512, 4
 _FAR = np.int64(1) << 62
 
 
@@ -114,7 +118,8 @@ def build(x: np.ndarray, seed: int = 1) -> Graph:
     n = len(x)
     rng = np.random.default_rng(seed)
     entries = np.sort(rng.permutation(n)[: max(64, n // 16)])
-    edges = np.full((n, DEGREE), -1, np.int32)
+    edges = np.full((n, DEGREE + KEPT), -1, np.int32)
+    free = np.full(n, DEGREE)  # the next free place of each holder
     if n > 1:
         edges[:, : DEGREE // 4] = rng.integers(0, n, (n, DEGREE // 4))
         edges[edges == np.arange(n)[:, None]] = -1
@@ -124,7 +129,16 @@ def build(x: np.ndarray, seed: int = 1) -> Graph:
         points = order[start : start + BATCH]
         ids, _ = graph.search(x[points], BUILD_BEAM)
         kept = prune(x, points, np.concatenate((ids, edges[points]), 1))
-        edges[points] = kept
+        edges[points, :DEGREE] = kept
+        for p, near in zip(points.tolist(), ids.tolist()):
+            held = 0
+            for q in near:
+                if q >= 0 and q != p and free[q] < DEGREE + KEPT:
+                    edges[q, free[q]] = p
+                    free[q] += 1
+                    held += 1
+                    if held == HOLDERS:
+                        break
         source, target = np.repeat(points, DEGREE), kept.ravel()
         source, target = source[target >= 0], target[target >= 0]
         by = np.argsort(target, kind="stable")
@@ -136,5 +150,5 @@ def build(x: np.ndarray, seed: int = 1) -> Graph:
             r = np.repeat(np.arange(len(h)), c)
             place = np.arange(len(r)) - np.repeat(np.cumsum(c) - c, c)
             back[r, place] = source[np.repeat(f, c) + place]
-            edges[h] = prune(x, h, np.concatenate((edges[h], back), 1))
+            edges[h, :DEGREE] = prune(x, h, np.concatenate((edges[h, :DEGREE], back), 1))
     return graph

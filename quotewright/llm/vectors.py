@@ -26,8 +26,9 @@ from quotewright.runtime import ship_code, written
 SAMPLE, PIVOTS, SHARD, QUERIES, BEAM = 8000, 256, 4096, 8192, 128
 #: Pivots searched for a vector: those at most SLACK of its bits farther than the nearest, PROBES at most.
 SLACK, PROBES = 0.06, 8
-#: Pivots nearer than this share of the bits are one.
-MERGED = 0.15
+#: Pivots nearer than this share of the bits are one; with fewer members in the sample a pivot is dropped, so that a
+#: shard holds neighbours enough for its vectors.
+MERGED, LEAST_MEMBERS = 0.15, 16
 KEYS = ["model", "pivot", "shard"]
 
 
@@ -60,7 +61,7 @@ def fit_pivots(x: np.ndarray, bits: int) -> np.ndarray:
     for _ in range(2):
         home = nearest(x, pivots)[0][:, 0]
         count = np.bincount(home, minlength=len(pivots))
-        kept = np.flatnonzero(count >= max(1, min(4, count.max())))
+        kept = np.flatnonzero(count >= max(1, min(LEAST_MEMBERS, count.max())))
         pivots = np.stack([np.packbits(plain[home == k].mean(0) >= 0.5).view(np.uint64) for k in kept])
     single: list[np.ndarray] = []
     for p in pivots:
@@ -142,7 +143,8 @@ def neighbours(df: DataFrame, k: int = 10) -> DataFrame:
     if not of_model:
         return empty
     share = F.create_map(*[F.lit(v) for m, n in of_model.items() for v in (m, min(1_000_000, -(-SAMPLE * 1_000_000 // n)))])
-    sample = vectors.where(F.pmod(F.xxhash64("record_id", "vec"), F.lit(1_000_000)) < share[F.col("model")]).select("model", "dim", "vec").toArrow()
+    sample = vectors.where(F.pmod(F.xxhash64("record_id", "vec"), F.lit(1_000_000)) < share[F.col("model")]).select("model", "dim", "record_id", "vec").toArrow()
+    sample = sample.sort_by([("record_id", "ascending"), ("vec", "ascending")])  # the pivots don't depend on partitions
     pivots = {}
     for m in of_model:
         mine = sample.filter(pa.array([x == m for x in sample["model"].to_pylist()], pa.bool_())) if sample.num_rows else sample

@@ -328,3 +328,14 @@ def test_levels_on_held_out_texts(spark):
     assert np.mean([got[n] == 1 + n % 5 for n in range(200, 300)]) >= 0.8
     assert reading.reading_levels(d, "doc_id", "text", r.limit(0), "doc_id", "reading_level").collect() == []
     assert reading.reading_levels(d.limit(0), "doc_id", "text", r, "doc_id", "reading_level").collect() == []
+
+
+def test_close_points_far_from_all_others_are_found():
+    """Points noisier than the rest have few edges towards them; each still finds its one close point."""
+    rng = np.random.default_rng(3)
+    centre = rng.random(512) < 0.5
+    plain = (rng.random((700, 512)) < 0.2) ^ centre
+    far = (rng.random((40, 512)) < 0.28) ^ centre
+    x = np.packbits(np.concatenate([plain, far, far ^ (rng.random((40, 512)) < 0.1)]), axis=1).view(np.uint64)
+    ids, _ = graph.build(x).search(x, 64, np.arange(len(x)))
+    assert np.mean([700 + (i - 700 + 40) % 80 in ids[i, :3] for i in range(700, 780)]) >= 0.97
