@@ -5,8 +5,8 @@ words, that share a score per word. A document's sentences give a mean distribut
 their words, and a second regression calibrates them, by script, to the scale of the ratings. The calibration is fitted on
 sentences that the fold's models have not seen.
 
-Fitted on at most `SAMPLE` rated documents, chosen by a hash of the id (of a document rated twice, the mean of its
-ratings); every document is classified by all its sentences. Null and short texts (below `least_words` words between
+Fitted on at most `SAMPLE` rated documents of up to FIT_CHARS code points, chosen by a hash of the id (of a document
+rated twice, the mean of its ratings); every document is classified by all its sentences. Null and short texts (below `least_words` words between
 blanks) get no level; equal texts get equal levels; without any rating there is no scale and no row.
 """
 
@@ -25,6 +25,8 @@ from quotewright.llm.tokenize import chunks
 from quotewright.llm.words import word_slices
 from quotewright.runtime import ship_code
 
+#: Longest text (in code points) that models are fitted on; classified are texts of any length.
+FIT_CHARS = 20_000
 #: Rated documents to fit on, weights of the character model, levels, folds, rounds and step of the fit, and the penalty.
 SAMPLE, GRAMS, LEVELS, FOLDS, ROUNDS, STEP, PENALTY = 4000, 1 << 15, 5, 2, 60, 0.3, 2e-4
 SIZES, LEAST = (2, 3, 4), 4
@@ -246,8 +248,8 @@ def reading_levels(documents: DataFrame, doc_id: str, text_col: str, ratings: Da
     ship_code(spark)
     docs = documents.select(F.col(doc_id).alias("doc_id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
     rated = ratings.where(F.col(level_col).between(1, LEVELS)).groupBy(F.col(rated_id).alias("doc_id")).agg(F.avg(level_col).alias("level"))
-    chosen = rated.orderBy(F.xxhash64("doc_id")).limit(SAMPLE)
-    sample = chosen.join(docs, "doc_id").orderBy("doc_id").select("text", "level").toArrow()
+    fit_on = docs.where(F.length("text") <= FIT_CHARS).join(rated, "doc_id")
+    sample = fit_on.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(SAMPLE).orderBy("doc_id").select("text", "level").toArrow()
     schema = docs.select("doc_id").schema.add("reading_level", "integer")
     if not sample.num_rows:
         return spark.createDataFrame([], schema)

@@ -22,8 +22,10 @@ from pyspark.sql import functions as F
 from quotewright.llm.graph import BATCH, Graph, build, distances
 from quotewright.runtime import ship_code, written
 
-#: Rows that the pivots are fitted on for each model, most pivots, members of a shard, queries of a task, and the beam.
+#: Rows that the pivots are fitted on for each model and most pivots; members of a shard, queries of a task, and the beam.
 SAMPLE, PIVOTS, SHARD, QUERIES, BEAM = 8000, 256, 4096, 8192, 128
+#: A model of more than PIVOTS * SHARD vectors gets more pivots, up to these, fitted on 32 rows each (at most 131,072).
+MOST_PIVOTS, ROWS_A_PIVOT = 4096, 32
 #: Pivots searched for a vector: those at most SLACK of its bits farther than the nearest, PROBES at most.
 SLACK, PROBES = 0.06, 8
 #: Pivots nearer than this share of the bits are one; with fewer members in the sample a pivot is dropped, so that a
@@ -50,10 +52,16 @@ def usable(df: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(usual.limit(10_000)), "model").where((F.col("dim") == F.col("usual_dim")) & fits).select("model", "dim", "record_id", "vec").distinct()
 
 
-def fit_pivots(x: np.ndarray, bits: int) -> np.ndarray:
+def pivots_for(vectors: int) -> tuple[int, int]:
+    """(most pivots, rows to fit them on) for so many vectors."""
+    pivots = min(MOST_PIVOTS, max(PIVOTS, vectors // SHARD))
+    return pivots, max(SAMPLE, ROWS_A_PIVOT * pivots if pivots > PIVOTS else 0)
+
+
+def fit_pivots(x: np.ndarray, bits: int, most: int = PIVOTS) -> np.ndarray:
     """Pivots of a sample: points far from each other, moved twice to the majority of what is nearest, the rare dropped."""
     chosen, d = [0], distances(x, x[0])
-    for _ in range(min(PIVOTS, max(1, len(x) // 64)) - 1):
+    for _ in range(min(most, max(1, len(x) // (64 if most <= PIVOTS else ROWS_A_PIVOT))) - 1):
         chosen.append(int(d.argmax()))
         d = np.minimum(d, distances(x, x[chosen[-1]]))
     pivots = x[chosen]
@@ -142,7 +150,7 @@ def neighbours(df: DataFrame, k: int = 10) -> DataFrame:
     empty = spark.createDataFrame([], "model string, dim int, record_id string, neighbour_id string, rank int, distance int")
     if not of_model:
         return empty
-    share = F.create_map(*[F.lit(v) for m, n in of_model.items() for v in (m, min(1_000_000, -(-SAMPLE * 1_000_000 // n)))])
+    share = F.create_map(*[F.lit(v) for m, n in of_model.items() for v in (m, min(1_000_000, -(-pivots_for(n)[1] * 1_000_000 // n)))])
     sample = vectors.where(F.pmod(F.xxhash64("record_id", "vec"), F.lit(1_000_000)) < share[F.col("model")]).select("model", "dim", "record_id", "vec").toArrow()
     sample = sample.sort_by([("record_id", "ascending"), ("vec", "ascending")])  # the pivots don't depend on partitions
     pivots = {}
@@ -150,7 +158,7 @@ def neighbours(df: DataFrame, k: int = 10) -> DataFrame:
         mine = sample.filter(pa.array([x == m for x in sample["model"].to_pylist()], pa.bool_())) if sample.num_rows else sample
         if not mine.num_rows:  # a tiny model that the hash left out
             mine = vectors.where(F.col("model") == m).select("model", "dim", "vec").limit(1).toArrow()
-        fitted = fit_pivots(packed(mine["vec"].combine_chunks()), mine["dim"][0].as_py())
+        fitted = fit_pivots(packed(mine["vec"].combine_chunks()), mine["dim"][0].as_py(), pivots_for(of_model[m])[0])
         pivots[m] = fitted if of_model[m] > SHARD else fitted[:1]  # a small model is one shard
     homes = vectors.mapInArrow(_homes(spark.sparkContext.broadcast(pivots)), "model string, dim int, record_id string, vec binary, home int, probes array<int>")
     homes = written(homes, "homes")
