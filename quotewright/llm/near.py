@@ -2,8 +2,9 @@
 
 Each record is the set of its distinct runs of `shingle` words, embedded as a list of minwise tokens. A tree branches
 records by the tokens that a node chooses; nodes of up to NODE_LIMIT records are compared exhaustively, larger ones
-branch again, and at the last level they are compared in blocks. Independent trees repeat this: a pair of similarity s
-is missed at the first level with (1 - s) ** (TREES * BRANCHES), 4e-7 at 0.6. Every candidate is verified exactly.
+branch again. A node that keeps ALIKE of the records above it holds records so similar that branching no longer parts
+them; it is compared in blocks, as are nodes of the last level. Independent trees repeat this: a pair of similarity s is
+missed at the first level with (1 - s) ** (TREES * BRANCHES), 4e-7 at 0.6. Every candidate is verified exactly.
 
 Records with equal word sequences are one class. Null ids and texts, and texts below `least_words` words, take no part;
 repeated rows of an id count once.
@@ -25,7 +26,7 @@ from quotewright.llm.pairs import expand, group_pairs, with_stats
 from quotewright.llm.words import sequence_keys, windows, word_hashes
 from quotewright.runtime import ship_code, written
 
-TREES, BRANCHES, LEVELS, NODE_LIMIT = 8, 2, 4, 32
+TREES, BRANCHES, LEVELS, NODE_LIMIT, ALIKE = 8, 2, 12, 32, 0.8
 TOKENS = 3 * TREES * BRANCHES
 
 
@@ -68,7 +69,8 @@ def _sets(shingle: int, least_words: int):
 
 
 def _children(rows: DataFrame, level: int) -> DataFrame:
-    """node, t, n: the nodes that each record of a node goes to. At the root every tree has its own tokens."""
+    """node, t, n, above: the nodes that each record of a node goes to, and the size of that node (none at the root, where
+    every tree has its own tokens)."""
     if level == 0:
         places = F.expr(f"sequence(0, {TREES * BRANCHES - 1})")
         at = F.col("i")
@@ -77,7 +79,7 @@ def _children(rows: DataFrame, level: int) -> DataFrame:
         at = F.pmod(F.xxhash64("node", "i"), F.lit(TOKENS)).cast("int")
     wide = rows.withColumn("i", F.explode(places)).withColumn("at", at)
     node = F.xxhash64(*(["node"] if level else []), "at", F.element_at("tokens", F.col("at") + 1))
-    return wide.select(node.alias("node"), "t", "n")
+    return wide.select(node.alias("node"), "t", "n", F.col("group_size").alias("above") if level else F.lit(None).cast("long").alias("above"))
 
 
 def similar_classes(df: DataFrame, id_col: str, text_col: str, shingle: int, least_words: int, similarity: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
@@ -92,13 +94,13 @@ def similar_classes(df: DataFrame, id_col: str, text_col: str, shingle: int, lea
     pairs, frontier = None, _children(sets.select("t", "n", "tokens"), 0)
     for level in range(1, LEVELS + 1):
         placed = written(with_stats(frontier, ["node"]), "nodes")
-        last = level == LEVELS
-        near = placed if last else placed.where(F.col("group_size") <= NODE_LIMIT)
+        done = (F.col("group_size") <= NODE_LIMIT) | F.coalesce(F.col("group_size") >= ALIKE * F.col("above"), F.lit(False)) | F.lit(level == LEVELS)
+        near = placed.where(done)
         close = (F.least("a_n", "b_n") * whole >= F.greatest("a_n", "b_n") * part)
         here = group_pairs(near, ["node"], "t", ["n"]).where(close).select("a", "b")
         pairs = here if pairs is None else pairs.unionByName(here)
-        large = placed.where(F.col("group_size") > NODE_LIMIT).select("node", "t", "n")
-        if last or large.isEmpty():
+        large = placed.where(~done).select("node", "t", "n", "group_size")
+        if level == LEVELS or large.isEmpty():
             break
         frontier = _children(large.join(sets.select("t", "tokens"), "t"), level)
     runs = lambda n: sets.select(F.col("t").alias(n), F.col("shingles").alias(f"{n}_runs"))

@@ -339,3 +339,16 @@ def test_close_points_far_from_all_others_are_found():
     x = np.packbits(np.concatenate([plain, far, far ^ (rng.random((40, 512)) < 0.1)]), axis=1).view(np.uint64)
     ids, _ = graph.build(x).search(x, 64, np.arange(len(x)))
     assert np.mean([700 + (i - 700 + 40) % 80 in ids[i, :3] for i in range(700, 780)]) >= 0.97
+
+
+def test_hot_boilerplate_and_large_groups_of_like_records(spark, monkeypatch):
+    """Records that share half of their words, and a group too alike to be parted: nothing is lost, levels end."""
+    monkeypatch.setattr(near, "NODE_LIMIT", 4)
+    rng, words = random.Random(10), vocabulary()
+    boiler, base = sentences(rng, words, 25), sentences(rng, words, 60)
+    data = [(f"b{i:02}", " ".join(boiler + sentences(rng, words, 25))) for i in range(40)]
+    for i in range(30):
+        w = list(base)
+        w[rng.randrange(60)] = rng.choice(words)
+        data.append((f"n{i:02}", " ".join(w)))
+    assert rows(near.near_duplicates(texts(spark, data), "id", "text", 3, 20, (3, 5))) == brute_near(data, 3, 20, 0.6)
