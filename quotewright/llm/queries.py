@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quotewright.llm import leaks, lookalike, near, reading, spans, terms, tokenize, vectors
+from quotewright.plans.text import tier_sql
 from quotewright.runtime import table
 
 #: Where the public vocabulary files are.
@@ -106,4 +107,20 @@ per AS (SELECT id, count(DISTINCT place) AS shared_words, count(DISTINCT place)
 SELECT s.id, len(words) AS n_words, coalesce(shared_words, 0) AS shared_words, coalesce(repeated_words, 0) AS repeated_words,
   CASE WHEN len(words) > 0 THEN (100 * coalesce(shared_words, 0)) // len(words) ELSE 0 END AS shared_percent
 FROM split s LEFT JOIN per p ON s.id = p.id""",
+    "p1_found": """
+WITH dims AS (SELECT model, dim AS usual FROM (SELECT model, dim, count(*) AS n FROM record_vectors WHERE model IS NOT NULL GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY model ORDER BY n DESC, dim) = 1),
+v AS (SELECT DISTINCT r.model, r.dim, r.record_id, r.vec FROM record_vectors r JOIN dims d ON r.model = d.model AND r.dim = d.usual WHERE r.dtype = 'binary' AND r.record_id IS NOT NULL AND octet_length(r.vec) = (r.dim + 7) // 8 AND regexp_matches(hex(r.vec), '[1-9A-F]')),
+near AS (SELECT a.model, a.dim, a.record_id AS a, b.record_id AS b, min(bit_count(xor(a.vec::BIT, b.vec::BIT))) AS d FROM v a JOIN v b ON a.model = b.model AND a.record_id <> b.record_id GROUP BY ALL),
+best AS (SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY model, a ORDER BY d, b) <= 10)
+SELECT DISTINCT x.a AS id_a, x.b AS id_b FROM best x JOIN best y ON x.model = y.model AND x.a = y.b AND x.b = y.a WHERE x.a < x.b AND x.d * 100 <= x.dim * 15""",
+    "p4_found": f"""
+WITH forms AS (SELECT DISTINCT id, text_ar, {lookalike.consistent_sql('text_ar')} AS form FROM records WHERE id IS NOT NULL AND text_ar IS NOT NULL)
+SELECT DISTINCT a.id AS id_a, b.id AS id_b FROM forms a JOIN forms b ON a.form = b.form AND a.id < b.id AND a.text_ar <> b.text_ar""",
+    "p6_found": f"""
+WITH forms AS (SELECT DISTINCT id, {lookalike.consistent_sql('text_ar')} AS form FROM records WHERE id IS NOT NULL AND text_ar IS NOT NULL),
+words AS (SELECT id, list_filter(string_split({tier_sql('aggressive', 'form')}, ' '), lambda x: x <> '') AS w FROM forms),
+runs AS (SELECT DISTINCT id, array_to_string(w[i:i + 2], ' ') AS run FROM (SELECT id, w, unnest(range(1, len(w) - 1)) AS i FROM words WHERE len(w) >= 20)),
+sizes AS (SELECT id, count(*) AS n FROM runs GROUP BY id),
+common AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS c FROM runs a JOIN runs b ON a.run = b.run AND a.id < b.id GROUP BY ALL)
+SELECT id_a, id_b FROM common JOIN sizes x ON x.id = id_a JOIN sizes y ON y.id = id_b WHERE c * 5 >= (x.n + y.n - c) * 3""",
 }
