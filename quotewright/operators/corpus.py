@@ -89,15 +89,15 @@ def translations_of(records: DataFrame, translations: DataFrame, lang: str, limi
 
 
 def fingerprint(df: DataFrame, table: str, columns: list[str], order: list[str]) -> DataFrame:
-    """table_name, n_rows, fingerprint of a table whatever its partitions: digests of its rows, in fixed buckets by the
-    row's digest, are digested in order, and the buckets' digests again, so no task holds the table. The order of `order`
-    is part of the row. Null and the empty string differ."""
+    """table_name, n_rows, fingerprint of a table, whatever its partitions and order: the digests of its rows are added up
+    in eight parts, exactly, before any shuffle, and the sums are digested, so that no task holds more than sums. The
+    columns of `order` are part of the row. Null and the empty string differ; a row sent twice counts twice."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(NULL))
     rows = df.select(F.sha2(F.concat_ws(FIELD, *map(text, [*order, *columns])), 256).alias("d"))
-    counted = rows.groupBy("d").agg(F.count("*").alias("n"))
-    buckets = counted.groupBy(F.substr("d", F.lit(1), F.lit(3)).alias("bucket")).agg(F.sum("n").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(FIELD, "d", F.col("n").cast("string")))), ROW), 256).alias("d"))
-    whole = buckets.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.sha2(F.concat(F.lit(f"{ROW}table:{table}{FIELD}"), F.array_join(F.array_sort(F.collect_list(F.concat_ws(FIELD, "bucket", "d"))), ROW)), 256).alias("fingerprint"))
-    return whole.select(F.lit(table).alias("table_name"), "n_rows", "fingerprint")
+    parts = [F.coalesce(F.sum(F.conv(F.substr("d", F.lit(8 * i + 1), F.lit(8)), 16, 10).cast("decimal(10,0)")), F.lit(0).cast("decimal(20,0)")).cast("decimal(38,0)").cast("string").alias(f"s{i}") for i in range(8)]
+    sums = rows.agg(F.count("*").alias("n_rows"), *parts)
+    named = F.concat(F.lit(f"{ROW}table:{table}{FIELD}"), F.concat_ws(FIELD, F.col("n_rows").cast("string"), *[f"s{i}" for i in range(8)]))
+    return sums.select(F.lit(table).alias("table_name"), "n_rows", F.sha2(named, 256).alias("fingerprint"))
 
 
 def stream_fingerprint(tables: list[tuple[str, DataFrame, list[str], list[str]]]) -> str:
@@ -143,18 +143,22 @@ def curate(records: DataFrame, curation: DataFrame) -> tuple[DataFrame, DataFram
 def whole_in_group(texts: DataFrame, base: DataFrame, group: str, order: str) -> DataFrame:
     """id, group: texts that stand, word for word, within the joined texts of one group of `base` (text, group, order).
 
-    Words of a group in order are hashed in runs of three; a text's first run is looked up among them, and only
-    candidates are compared. Shorter texts are compared with the groups' words directly through their first word.
+    A group's words get running positions, so its text is never put together. A text is anchored at its rarest word: each
+    place of that word is a candidate, which is kept if all its words stand where they should. Null and blank texts
+    stand nowhere; words stand between spaces.
     """
-    w = F.filter(F.split("text", " "), lambda x: x != "")
-    lines = base.where(F.col("text").isNotNull()).groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), "text"))).alias("lines"))
-    blobs = lines.select(group, F.array_join(F.transform("lines", lambda x: x.text), " ").alias("text")).select(group, F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" ")).alias("blob"), w.alias("words"))
-    needles = texts.where(F.trim("text") != "").select("id", F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" ")).alias("needle"), w.alias("words"))
-    runs = blobs.select(group, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("words")), lambda i: F.xxhash64(F.slice("words", i, F.least(F.lit(3), F.size("words") - i + 1)))))).alias("run"))
-    runs = runs.unionByName(blobs.select(group, F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.size("words")), lambda i: F.array(F.xxhash64(F.slice("words", i, F.lit(1))), F.xxhash64(F.slice("words", i, F.lit(2)))))))).alias("run"))).distinct()
-    keyed = needles.select("id", "needle", F.xxhash64(F.slice("words", 1, 3)).alias("run"))
-    hits = keyed.join(runs, "run").join(blobs.select(group, "blob"), group)
-    return hits.where(F.contains("blob", "needle")).select("id", group).distinct()
+    words = F.filter(F.split("text", " "), lambda x: x != "")
+    lines = base.where(F.col("text").isNotNull() & F.col(group).isNotNull()).select(F.col(group).alias("g"), F.col(order).alias("o"), "text", F.size(words).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("g").orderBy("o", "text").rowsBetween(Window.unboundedPreceding, -1))
+    placed = lines.withColumn("offset", F.coalesce(before, F.lit(0))).select("g", "offset", F.posexplode(words).alias("i", "w")).select("g", (F.col("offset") + F.col("i")).alias("place"), "w")
+    asked = texts.where(F.trim("text") != "").select("id", "text").distinct().withColumn("t", F.xxhash64("id", "text"))
+    needles = asked.select("t", F.size(words).alias("n"), F.posexplode(words).alias("i", "w"))
+    frequency = placed.groupBy("w").agg(F.count("*").alias("df"))
+    known = needles.join(frequency, "w").groupBy("t", "n").agg(F.count("*").alias("there"), F.min(F.struct("df", "i", "w")).alias("anchor")).where(F.col("there") == F.col("n"))
+    starts = known.select("t", "n", F.col("anchor.w").alias("w"), F.col("anchor.i").alias("i")).join(placed, "w").select("t", "n", "g", (F.col("place") - F.col("i")).alias("start"))
+    wanted = starts.join(needles.select("t", "i", "w"), "t").withColumn("place", F.col("start") + F.col("i"))
+    whole = wanted.join(placed, ["g", "place", "w"]).groupBy("t", "n", "g", "start").agg(F.count("*").alias("right")).where(F.col("right") == F.col("n"))
+    return whole.select("t", "g").distinct().join(asked.select("t", "id"), "t").select("id", F.col("g").alias(group)).distinct()
 
 
 def to_embed(records: DataFrame, variant_rows: DataFrame, stored: DataFrame) -> DataFrame:

@@ -200,9 +200,8 @@ _FULL = "full_rows AS (SELECT id, kind, text_ar || ' ' || addenda_ar AS t FROM o
 
 def _fingerprint_sql(rows: str, name: str, columns: list[str]) -> str:
     text = ", ".join(f"coalesce({c}::VARCHAR, chr(0))" for c in ["id", *columns])
-    return f"""SELECT '{name}' AS table_name, coalesce(sum(n), 0)::BIGINT AS n_rows, sha256(chr(30) || 'table:{name}' || chr(31) || coalesce(string_agg(bucket || chr(31) || d, chr(30) ORDER BY bucket), '')) AS fingerprint FROM (
-      SELECT substr(d, 1, 3) AS bucket, sum(n) AS n, sha256(string_agg(d || chr(31) || n, chr(30) ORDER BY d || chr(31) || n)) AS d FROM (
-        SELECT sha256(concat_ws(chr(31), {text})) AS d, count(*) AS n FROM {rows} GROUP BY 1) GROUP BY 1)"""
+    sums = " || chr(31) || ".join(f"coalesce(sum(('0x' || substr(d, {8 * i + 1}, 8))::BIGINT), 0)::HUGEINT::VARCHAR" for i in range(8))
+    return f"SELECT '{name}' AS table_name, count(*) AS n_rows, sha256(chr(30) || 'table:{name}' || chr(31) || count(*)::VARCHAR || chr(31) || {sums}) AS fingerprint FROM (SELECT sha256(concat_ws(chr(31), {text})) AS d FROM {rows})"
 
 
 _MASS = "list_reduce(list_prepend({'n': 0, 'named': false, 'w': ''}, list_transform(list_filter(string_split(norm_aggressive, ' '), lambda x: x <> ''), lambda x: {'n': 0, 'named': false, 'w': x})), lambda a, b: {'n': a.n + CASE WHEN b.w NOT IN (%(intro)s) AND NOT a.named AND b.w NOT IN (%(scaffold)s) THEN 1 ELSE 0 END, 'named': b.w IN (%(intro)s), 'w': ''}).n"
