@@ -49,7 +49,7 @@ def usable(df: DataFrame) -> DataFrame:
     usual = usual.groupBy("model").agg(F.max(F.struct("count", (-F.col("dim")).alias("less"))).alias("top")).select("model", (-F.col("top.less")).alias("usual_dim"))
     rows = df.where((F.col("dtype") == "binary") & F.col("record_id").isNotNull() & F.col("vec").isNotNull()).select("model", "dim", "record_id", "vec")
     fits = (F.octet_length("vec") == F.ceil(F.col("dim") / 8)) & F.hex("vec").rlike("[1-9A-F]")
-    return rows.join(F.broadcast(usual.limit(10_000)), "model").where((F.col("dim") == F.col("usual_dim")) & fits).select("model", "dim", "record_id", "vec").distinct()
+    return rows.join(usual, "model").where((F.col("dim") == F.col("usual_dim")) & fits).select("model", "dim", "record_id", "vec").distinct()
 
 
 def pivots_for(vectors: int) -> tuple[int, int]:
@@ -166,7 +166,7 @@ def neighbours(df: DataFrame, k: int = 10) -> DataFrame:
     members = {(r.model, r.home): r["count"] for r in homes.groupBy("model", "home").count().collect()}
     searched = {(r.model, r.pivot): r["count"] for r in homes.select("model", F.explode("probes").alias("pivot")).groupBy("model", "pivot").count().collect()}
     cut = [(m, p, -(-n // SHARD), -(-searched[m, p] // QUERIES)) for (m, p), n in members.items()]
-    parts = F.broadcast(spark.createDataFrame(cut, "model string, pivot int, shards int, blocks int"))
+    parts = spark.createDataFrame(cut, "model string, pivot int, shards int, blocks int")
     tasks = min(2000, sum(c[2] for c in cut))
     spread = F.xxhash64("record_id")
     placed = homes.select("model", F.col("home").alias("pivot"), "record_id", "vec").join(parts, ["model", "pivot"])
