@@ -1,6 +1,6 @@
 """Quotation spans and citations of texts, and the citation nearest to each span, in one pass over a text.
 
-Offsets are code points, half open. A null text has no spans; an empty one neither. What depends on the order of
+Offsets are code points, half open. A null or empty text has no spans; rows without an id are left out. What depends on the order of
 matches within one text stays in plain Python per text; texts are independent, so the pass needs no shuffle.
 """
 
@@ -219,7 +219,7 @@ CITATIONS = "doc_id {id}, citation_no int, family string, surah int, ayah int, c
 
 def _texts(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
     ship_code(df.sparkSession)
-    rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
+    rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     return rows, rows.schema["doc_id"].dataType.simpleString()
 
 

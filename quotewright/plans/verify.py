@@ -138,7 +138,7 @@ def fts_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def claim_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten records for each evaluation text, sentence after sentence in the order in which they appear."""
     texts = _texts(spark, sf_dir)
-    parts = table(spark, sf_dir, "eval_cases").select("item_id", F.posexplode(F.split("text", "[.:]")).alias("term_no", "part")).select("item_id", "term_no", F.array_distinct(F.filter(index_tokens(F.col("part")), lambda t: F.length(t) > 1)).alias("tokens"))
+    parts = table(spark, sf_dir, "eval_cases").where("item_id is not null").select("item_id", F.posexplode(F.split("text", "[.:]")).alias("term_no", "part")).select("item_id", "term_no", F.array_distinct(F.filter(index_tokens(F.col("part")), lambda t: F.length(t) > 1)).alias("tokens"))
     numbered = parts.select(F.concat_ws(":", F.col("item_id").cast("string"), F.col("term_no").cast("string")).alias("query_id"), "tokens")
     found = search.bm25(search.postings(texts, _COLUMNS), search.lengths_of(texts, _COLUMNS), numbered, 20)
     ids = F.split("query_id", ":")
