@@ -20,11 +20,12 @@ from quotewright.functions.normalize import normalize, tiers
 from quotewright.functions.similarity import may_reach, ratio
 from quotewright.functions.text import search_tokens
 from quotewright.operators import search
+from quotewright.operators.reach import may_resemble
 from quotewright.runtime import ship_code, written
 
-#: The verdict of each tier, candidates of a quotation, and the least similarity of a near match.
+#: The verdict of each tier, candidates of a quotation, the least similarity of a near match, tasks of a hot text.
 VERDICTS = {"light": "EXACT", "standard": "EXACT_ORTHOGRAPHY", "aggressive": "NEAR_MATCH"}
-CANDIDATES, NEAR = 50, 0.86
+CANDIDATES, NEAR, SALTS = 50, 0.86, 16
 CITED = ["cited_family", "cited_surah", "cited_ayah", "cited_collection", "cited_number"]
 RESULT = ["span_id", "verdict", "tier", "record_id", "score", "ties"]
 
@@ -93,14 +94,19 @@ def candidates(spans: DataFrame, reps: DataFrame, k: int = CANDIDATES) -> DataFr
 def fuzzy(spans: DataFrame, reps: DataFrame) -> DataFrame:
     """NEAR_MATCH or NOT_FOUND of each span: of its candidates the most similar record, by its best representation.
     The score is kept for near matches only: pairs whose lengths alone rule one out aren't measured."""
-    near = written(candidates(spans, reps), "candidates").join(reps.select(F.concat_ws("\x1f", "record_id", "variant").alias("doc_id"), "record_id", "kind", "surah", "ayah", "collection", "hadith_no", F.col("norm_aggressive").alias("held")), "doc_id")
-    asked = spans.select("span_id", "norm_aggressive", *CITED)
-    pairs = near.select("span_id", "record_id", "kind", "surah", "ayah", "collection", "hadith_no", "held").join(asked, "span_id")
-    close = pairs.where(may_reach(F.col("norm_aggressive"), F.col("held"), NEAR))
-    scored = close.withColumn("score", F.floor(ratio(F.col("norm_aggressive"), F.col("held")) * 10000 + 0.5) / 10000).where(F.col("score") >= NEAR)
-    best = scored.groupBy("span_id", "record_id", "kind", "surah", "ayah", "collection", "hadith_no", *CITED).agg(F.max("score").alias("score"))
-    top = best.withColumn("rank", F.rank().over(Window.partitionBy("span_id").orderBy(F.desc("score")))).where("rank = 1")
-    found = top.groupBy("span_id").agg(F.min(_order()).alias("first"), F.max("score").alias("score"), F.count("*").alias("ties"))
+    address = ["record_id", "kind", "surah", "ayah", "collection", "hadith_no"]
+    # only texts that some representation resembles closely enough, rounding included, are ranked: each text once
+    texts = written(may_resemble(spans.select(F.col("norm_aggressive").alias("text")), reps.select(F.col("norm_aggressive").alias("text")), NEAR - 0.00005), "close")
+    near = written(candidates(texts.select(F.col("text").alias("span_id"), F.col("text").alias("norm_aggressive")), reps), "candidates").withColumnRenamed("span_id", "text")
+    pairs = near.join(reps.select(F.concat_ws("\x1f", "record_id", "variant").alias("doc_id"), *address, F.col("norm_aggressive").alias("held")), "doc_id")
+    close = pairs.where(may_reach(F.col("text"), F.col("held"), NEAR))
+    scored = close.withColumn("score", F.floor(ratio(F.col("text"), F.col("held")) * 10000 + 0.5) / 10000).where(F.col("score") >= NEAR)
+    best = scored.groupBy("text", *address).agg(F.max("score").alias("score"))
+    top = best.withColumn("rank", F.rank().over(Window.partitionBy("text").orderBy(F.desc("score")))).where("rank = 1")
+    # a text that many spans quote is spread over tasks
+    salts = top.select(F.col("text").alias("norm_aggressive"), *address, "score", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    asked = spans.select("span_id", "norm_aggressive", *CITED, F.pmod(F.xxhash64("span_id"), F.lit(SALTS)).cast("int").alias("salt"))
+    found = asked.join(salts, ["norm_aggressive", "salt"]).groupBy("span_id").agg(F.min(_order()).alias("first"), F.max("score").alias("score"), F.count("*").alias("ties"))
     found = written(found.select("span_id", F.lit("NEAR_MATCH").alias("verdict"), F.lit("aggressive").alias("tier"), F.col("first.record_id").alias("record_id"), "score", "ties"), "near")
     rest = spans.join(found, "span_id", "left_anti").select("span_id", F.lit("NOT_FOUND").alias("verdict"), F.lit(None).cast("string").alias("tier"), F.lit(None).cast("string").alias("record_id"), F.lit(None).cast("double").alias("score"), F.lit(0).cast("long").alias("ties"))
     return found.unionByName(rest)
@@ -188,8 +194,7 @@ def withhold(found: DataFrame, inside: DataFrame) -> DataFrame:
 def verify(spans: DataFrame, records: DataFrame, reps: DataFrame, with_fuzzy: bool = True) -> DataFrame:
     """span_id, verdict, tier, record_id, score, ties, contained_in of every span. spans: span_id, quoted and CITED.
 
-    `with_fuzzy` false leaves out the similarity stage, whose cost grows with the words that spans share with the corpus;
-    spans it would look at are then NOT_FOUND. It is meant for a stated query set.
+    `with_fuzzy` false leaves out the similarity stage; spans it would look at are then NOT_FOUND.
     """
     asked = written(tiers(spans.select("span_id", "quoted", *CITED), "quoted"), "asked")
     reps = written(reps, "reps")

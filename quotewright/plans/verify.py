@@ -71,10 +71,10 @@ def _spans(rows: DataFrame) -> DataFrame:
 
 
 def verify_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every quotation of every document by the exact tiers, the prefix retry and containment."""
+    """Every quotation of every document through the whole cascade, similarity included."""
     records = records_once(spark, sf_dir)
     spans = _spans(quotations(spark, sf_dir))
-    return op.verify(written(spans, "quotations"), records, _reps(records), with_fuzzy=False)
+    return op.verify(written(spans, "quotations"), records, _reps(records))
 
 
 def verify_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
