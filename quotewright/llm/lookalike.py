@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quotewright.llm.pairs import PAIR_LIMIT, group_pairs, ordered, salted, with_stats
+from quotewright.llm.pairs import PAIR_LIMIT, group_pairs, ordered, with_stats
 from quotewright.runtime import ship_code, written
 
 # Letters that look alike, as (as found, as wanted).
@@ -102,19 +102,20 @@ def with_form(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def lookalike_pairs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id_a < id_b of ids whose texts differ as stored and have the same form.
 
-    A form with up to PAIR_LIMIT ids gives all such pairs. In a larger group each id is paired with the first id
-    of the group, or, where both have the same stored text, with the first id of another text; no id is left out.
+    All such pairs are given; groups of more than PAIR_LIMIT ids are compared in blocks. Ids of one identical stored text
+    form no pair, so a hot text costs as many rows as it has look-alikes.
     Null ids and null texts take no part.
     """
     key = lambda c, n: [F.xxhash64(c).alias(f"{n}1"), F.xxhash64(F.lit(11), c).alias(f"{n}2")]
     rows = with_form(df.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()), id_col, text_col)
     keyed = written(rows.select("id", *key(F.col("form"), "f"), *key(F.col("text"), "t")).distinct(), "forms")
-    kinds = F.struct("t1", "t2")
-    m = with_stats(keyed, ["f1", "f2"], low=F.min(kinds), high=F.max(kinds), first=F.min(F.struct("id", "t1", "t2"))).where(F.col("low") != F.col("high"))
-    differ = (F.col("a_t1") != F.col("b_t1")) | (F.col("a_t2") != F.col("b_t2"))
-    every = group_pairs(m.where(F.col("group_size") <= PAIR_LIMIT), ["f1", "f2"], "id", ["t1", "t2"]).where(differ)
-    large = m.where(F.col("group_size") > PAIR_LIMIT).withColumn("as_first", (F.col("t1") == F.col("first.t1")) & (F.col("t2") == F.col("first.t2")))
-    second = large.where(~F.col("as_first")).groupBy("f1", "f2").agg(F.min("id").alias("second"))
-    star = salted(large, ["f1", "f2"], second)
-    star = star.select(*ordered(F.col("id"), F.when(F.col("as_first"), F.col("second")).otherwise(F.col("first.id"))))
-    return every.select(F.col("a").alias("id_a"), F.col("b").alias("id_b")).unionByName(star.distinct())
+    kinds = keyed.select("f1", "f2", "t1", "t2").distinct()
+    texts = group_pairs(with_stats(kinds.withColumn("kind", F.struct("t1", "t2")), ["f1", "f2"]), ["f1", "f2"], "kind").select(*[F.col(f"{s}.{t}").alias(f"{s}_{t}") for s in "ab" for t in ("t1", "t2")])
+    # classes of ids with one stored text; a large one meets another block by block
+    held = with_stats(keyed.select("t1", "t2", "id"), ["t1", "t2"], least=1).withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("group_size") / PAIR_LIMIT)).cast("int"))
+    blocks = held.select("t1", "t2", "block").distinct()
+    side = lambda df, s, *more: df.select(*[F.col(c).alias(f"{s}_{c}") for c in ("t1", "t2", "block", *more)])
+    met = texts.join(side(blocks, "a"), ["a_t1", "a_t2"]).join(side(blocks, "b"), ["b_t1", "b_t2"])
+    both = met.join(side(held, "a", "id"), ["a_t1", "a_t2", "a_block"]).join(side(held, "b", "id"), ["b_t1", "b_t2", "b_block"])
+    # an id whose rows hold several texts may meet another, or itself, more than once
+    return both.where(F.col("a_id") != F.col("b_id")).select(*ordered(F.col("a_id"), F.col("b_id"))).distinct()
