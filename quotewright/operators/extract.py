@@ -265,15 +265,16 @@ def citations(df: DataFrame, id_col: str, text_col: str, grammar: Grammar) -> Da
 
 
 def grammar_of(records: DataFrame) -> Grammar:
-    """The grammar that a corpus implies: its collections under their names and with the article, the largest number of
-    each, its chapters' names and lengths. Collections that fewer than 20 records name are taken as misspellings. The
-    driver holds a row per collection and chapter."""
+    """The grammar that a corpus implies: its collections, as the ids of its records name them (`hadith:{collection}:{number}`,
+    whatever their column was typed as), under their names and with the article, the largest number of each, its chapters'
+    names and lengths. The driver holds a row per collection and chapter."""
     number = F.when(F.col("hadith_no").rlike("^[0-9]{1,9}$"), F.col("hadith_no").cast("int"))
-    held = records.where(F.col("collection").isNotNull()).groupBy("collection").agg(F.count("*").alias("n"), F.max(number).alias("largest")).where("n >= 20 and largest is not null").collect()
+    name = F.regexp_extract("id", "^hadith:([^:]+):", 1)
+    held = records.groupBy(name.alias("collection")).agg(F.max(number).alias("largest")).where("collection <> '' and largest is not null").orderBy("collection").collect()
     chapters = records.where(F.col("surah").isNotNull() & F.col("ayah").isNotNull()).groupBy("surah").agg(F.max("ayah").alias("n"), F.min("surah_name_en").alias("name")).orderBy("surah").collect()
-    plain = [r for r in held if r.collection == r.collection.strip().lower()]
     names: dict[str, int] = {}
     for r in chapters:
         if r["name"]:
             names.setdefault(r["name"], r.surah)
-    return Grammar({n: r.collection for r in plain for n in (r.collection, f"al-{r.collection}")}, {r.collection: r.largest for r in plain}, {r.surah: r.n for r in chapters}, names)
+    known = {f"al-{r.collection}": r.collection for r in held} | {r.collection: r.collection for r in held}  # a name beats an alias
+    return Grammar(known, {r.collection: r.largest for r in held}, {r.surah: r.n for r in chapters}, names)

@@ -62,3 +62,13 @@ def test_look_alikes_of_a_hot_text_all_meet(spark, monkeypatch):
     data = [(f"h{i}", "كل") for i in range(8)] + [("v1", "کل"), ("v2", "ﻛﻞ"), ("v3", "ﻛﻞ")]
     got = sorted(map(tuple, lookalike.lookalike_pairs(spark.createDataFrame(data, "id string, text string"), "id", "text").collect()))
     assert got == sorted((a, b) for a, x in data for b, y in data if a < b and x != y)
+
+
+def test_collections_come_from_ids_whatever_their_number_of_rows(spark):
+    from quotewright.operators import extract
+
+    data = [("hadith:zarfan:7", "zarfan", "7"), ("hadith:birqas:3", None, "3"), *[(f"hadith:zarfan:{i}", "al-zarfan", str(i)) for i in range(20, 50)], ("quran:1:1", None, None)]
+    r = spark.createDataFrame(data, "id string, collection string, hadith_no string").withColumns({"surah": F.lit(None).cast("int"), "ayah": F.lit(None).cast("int"), "surah_name_en": F.lit(None).cast("string")})
+    g = extract.grammar_of(r)
+    found = [(c.collection, c.number) for c in g.citations("As in Zarfan 7, al-zarfan 21 and birqas 3.")]
+    assert found == [("zarfan", "7"), ("zarfan", "21"), ("birqas", "3")]
