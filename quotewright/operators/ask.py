@@ -29,13 +29,15 @@ class Providers:
 def retrieve(terms: DataFrame, index: DataFrame, lengths: DataFrame, near: DataFrame | None = None, k: int = 24, each: int = 50) -> DataFrame:
     """query_id, record_id, score, rank, in_text, in_vector: text and vector lists of each query, fused.
 
-    terms: query_id, term_no, tokens. index, lengths: of `search.postings` over doc_id = record_id. near: query_id,
-    record_id, rank of the vector search; without it the text list alone is used.
+    terms: query_id, term_no, tokens. index, lengths: of `search.postings` over doc_id = record_id, or
+    record_id and variant after U+001F, of which twice as many are ranked. near: query_id, record_id, rank of the vector
+    search; without it the text list alone is used.
     """
     numbered = terms.withColumn("_term", F.concat_ws("\x1f", F.col("query_id").cast("string"), F.col("term_no").cast("string")))
-    ranked = search.bm25(index, lengths, numbered.select(F.col("_term").alias("query_id"), "tokens"), each)
+    ranked = search.bm25(index, lengths, numbered.select(F.col("_term").alias("query_id"), "tokens"), 2 * each)
+    ranked = search.distinct_records(ranked.withColumn("doc_id", F.split("doc_id", "\x1f")[0]), "doc_id", each)
     back = numbered.select(F.col("_term"), F.col("query_id").alias("q"), "term_no")
-    by_term = ranked.join(back, ranked["query_id"] == back["_term"]).select(F.col("q").alias("query_id"), "term_no", F.col("doc_id").alias("record_id"), "rank")
+    by_term = ranked.join(back, ranked["query_id"] == back["_term"]).select(F.col("q").alias("query_id"), "term_no", "record_id", "rank")
     text = search.first_seen(by_term, 1 << 30)
     lists = [text] if near is None else [text, near]
     fused = search.fuse(lists, k)

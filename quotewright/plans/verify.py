@@ -11,6 +11,7 @@ from quotewright.operators import verify as op
 from quotewright.plans.corpus import records_once
 from quotewright.plans.text import tier_sql
 from quotewright.runtime import table, written
+from quotewright.sources.build import indexed_texts
 
 _NOTHING_CITED = {"cited_family": "string", "cited_surah": "int", "cited_ayah": "int", "cited_collection": "string", "cited_number": "string"}
 #: Another kind of text in each third of the quotations: verbatim, with kashida and other alefs, and one letter short.
@@ -113,6 +114,12 @@ def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.join(t, "id", "left").select(F.col("id").alias("doc_id"), "norm_standard", "norm_aggressive", "translation")
 
 
+def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All that the corpus index holds: primaries that may be scored and every variant."""
+    records = records_once(spark, sf_dir)
+    return indexed_texts(records, corpus.variants(records), table(spark, sf_dir, "translations").select("record_id", "source_id", "text").distinct())
+
+
 _COLUMNS = ["norm_standard", "norm_aggressive", "translation"]
 
 
@@ -135,14 +142,27 @@ def fts_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.distinct_records(found, "doc_id", 5).withColumn("rank", F.col("rank").cast("long"))
 
 
+def bm25_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best representations of the whole index for each evaluation text."""
+    texts = _index(spark, sf_dir)
+    found = search.bm25(search.postings(texts, _COLUMNS), search.lengths_of(texts, _COLUMNS), _case_queries(spark, sf_dir), 10)
+    return found.select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+def fts_index_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best records of twice as many ranked representations of the whole index."""
+    found = bm25_index_topk(spark, sf_dir).withColumn("doc_id", F.split("doc_id", "\x1f")[0])
+    return search.distinct_records(found, "doc_id", 5).withColumn("rank", F.col("rank").cast("long"))
+
+
 def claim_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten records for each evaluation text, sentence after sentence in the order in which they appear."""
-    texts = _texts(spark, sf_dir)
+    texts = _index(spark, sf_dir)
     parts = table(spark, sf_dir, "eval_cases").where("item_id is not null").select("item_id", F.posexplode(F.split("text", "[.:]")).alias("term_no", "part")).select("item_id", "term_no", F.array_distinct(F.filter(index_tokens(F.col("part")), lambda t: F.length(t) > 1)).alias("tokens"))
     numbered = parts.select(F.concat_ws(":", F.col("item_id").cast("string"), F.col("term_no").cast("string")).alias("query_id"), "tokens")
     found = search.bm25(search.postings(texts, _COLUMNS), search.lengths_of(texts, _COLUMNS), numbered, 20)
     ids = F.split("query_id", ":")
-    by_term = found.select(ids[0].cast("long").alias("query_id"), ids[1].cast("int").alias("term_no"), F.col("doc_id").alias("record_id"), "rank")
+    by_term = found.select(ids[0].cast("long").alias("query_id"), ids[1].cast("int").alias("term_no"), F.split("doc_id", "\x1f")[0].alias("record_id"), "rank")
     return search.first_seen(by_term, 10).withColumn("rank", F.col("rank").cast("long"))
 
 
@@ -159,7 +179,7 @@ def hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hybrid_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evaluation texts that expect a record: the text list and the neighbours of that record's vector, fused."""
-    texts = _texts(spark, sf_dir)
+    texts = _index(spark, sf_dir)
     near = search.hamming_topk(table(spark, sf_dir, "eval_cases").where("expect_record is not null").select(F.col("item_id").cast("string").alias("query_id"), F.col("expect_record").alias("record_id")).join(_vectors(spark, sf_dir), "record_id").select("query_id", "vec"), _vectors(spark, sf_dir), 50)
     near = near.select(F.col("query_id").cast("long").alias("query_id"), "record_id", "rank")
     terms = _case_queries(spark, sf_dir).withColumn("term_no", F.lit(0))
@@ -251,7 +271,7 @@ def answer_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    verify_exact, select_by_reference, exact_ties, quotations, citations, verify_documents, verify_cases, eval_cases_judged, eval_gate, case_diffs, bm25_topk, fts_records,
+    verify_exact, select_by_reference, exact_ties, quotations, citations, verify_documents, verify_cases, eval_cases_judged, eval_gate, case_diffs, bm25_topk, fts_records, bm25_index_topk, fts_index_records,
     claim_candidates, hamming_topk, hybrid_retrieve, rrf_fuse, contains_lookup, withhold_disclose, detect_claims, route_documents, request_check, overall_outcome,
     guard_battery, adjudicate, answer_gate,
 )}
@@ -303,6 +323,12 @@ scored AS (
   FROM asked a JOIN post p ON a.token = p.token JOIN df d ON d.token = a.token JOIN lens l ON l.doc_id = p.doc_id CROSS JOIN size GROUP BY ALL
 ), ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored QUALIFY rank <= 10)
 """
+_BM25_INDEX = _BM25.replace(_BM25[_BM25.index("tr AS ("):_BM25.index("lens AS (")], f"""tr AS (SELECT record_id, string_agg(text, ' ' ORDER BY source_id, text) AS translation FROM (SELECT DISTINCT record_id, source_id, text FROM translations) GROUP BY 1),
+held AS (
+  SELECT id || chr(31) || 'primary' AS doc_id, norm_standard AS s, norm_aggressive AS a, translation FROM once LEFT JOIN tr ON id = record_id WHERE unscorable_reason IS NULL
+  UNION ALL SELECT id || chr(31) || 'full', {tier_sql('standard', 't')}, {tier_sql('aggressive', 't')}, NULL FROM (SELECT id, text_ar || ' ' || addenda_ar AS t FROM once WHERE addenda_ar IS NOT NULL AND text_ar IS NOT NULL)
+), docs AS (SELECT doc_id, list_concat(list_concat(coalesce({_TOKENS.format('s')}, []), coalesce({_TOKENS.format('a')}, [])), coalesce({_TOKENS.format('translation')}, [])) AS tokens FROM held),
+""")
 _GUARDS = """
 WITH g AS (SELECT t.row_no AS answer_id, t.record_id IN (SELECT id FROM records) AS known, lower(t.text) AS low, t.text, len(list_filter(string_split(trim(regexp_replace(t.text, '\\s+', ' ', 'g')), ' '), lambda x: x <> '')) AS words FROM translations t),
 rows AS (
@@ -319,6 +345,8 @@ SQL = {
     "exact_ties": _EXACT_SQL[False] + f", selected AS ({_CHOSEN}) SELECT DISTINCT b.span_id, b.record_id FROM best b JOIN selected s ON b.span_id = s.span_id AND b.record_id <> s.record_id",
     "bm25_topk": _BM25 + "SELECT query_id, doc_id, score, rank FROM ranked",
     "fts_records": _BM25 + "SELECT query_id, doc_id AS record_id, rank FROM ranked WHERE rank <= 5",
+    "bm25_index_topk": _BM25_INDEX + "SELECT query_id, doc_id, score, rank FROM ranked",
+    "fts_index_records": _BM25_INDEX + "SELECT query_id, record_id, row_number() OVER (PARTITION BY query_id ORDER BY first, record_id) AS rank FROM (SELECT query_id, split_part(doc_id, chr(31), 1) AS record_id, min(rank) AS first FROM ranked GROUP BY ALL) QUALIFY rank <= 5",
     "hamming_topk": """
 WITH v AS (SELECT record_id, max(vec) AS vec FROM record_vectors WHERE model = 'enc-b2' AND dtype = 'binary' AND dim = 1024 AND octet_length(vec) = 128 GROUP BY 1),
 asked AS (SELECT row_no::VARCHAR AS query_id, vec FROM record_vectors WHERE row_no % 50 = 0 AND model = 'enc-b2' AND octet_length(vec) = 128)

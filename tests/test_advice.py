@@ -72,3 +72,14 @@ def test_collections_come_from_ids_whatever_their_number_of_rows(spark):
     g = extract.grammar_of(r)
     found = [(c.collection, c.number) for c in g.citations("As in Zarfan 7, al-zarfan 21 and birqas 3.")]
     assert found == [("zarfan", "7"), ("zarfan", "21"), ("birqas", "3")]
+
+
+def test_the_index_of_claims_holds_addenda_and_no_unscorable_text(spark, data, tmp_path):
+    r = spark.read.parquet(f"{data}/records.parquet")
+    ids = [x.id for x in r.select("id").distinct().orderBy("id").limit(2).collect()]
+    changed = r.withColumn("addenda_ar", F.when(F.col("id") == ids[0], F.lit("زيادة غغغغظظ")).otherwise(F.col("addenda_ar"))).withColumn("unscorable_reason", F.when(F.col("id") == ids[1], "fragment").otherwise(F.col("unscorable_reason")))
+    changed = changed.withColumn("norm_standard", F.when(F.col("id") == ids[1], F.lit("غغغغظظ")).otherwise(F.col("norm_standard")))
+    cases = spark.read.parquet(f"{data}/eval_cases.parquet").limit(1).withColumn("text", F.lit("غغغغظظ"))
+    d = beside(spark, data, tmp_path, records=changed, eval_cases=cases)
+    for name in ("claim_candidates", "fts_index_records"):
+        assert [x.record_id for x in entry.queries()[name](spark, d).collect()] == [ids[0]]
