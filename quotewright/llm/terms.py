@@ -4,7 +4,8 @@ A first pass over all rows finds the heaviest terms; their list is broadcast (at
 pass every task counts the heavy terms in plain counter arrays and sends one row per heavy term, while the
 remaining terms go through the shuffle. The union of both tables is exact whatever the first pass found.
 
-A record counts once, by its id, however often its row was sent. Null ids and null values are left out; an empty
+A record counts once, by its id, however often its row was sent. Texts stay in their tasks for that: ids alone are
+counted first, and only rows whose id may stand more than once, by a filter of bounded size, meet in a shuffle. Null ids and null values are left out; an empty
 string holds no word but is a value; a null in another column changes nothing; empty tables give no terms.
 """
 
@@ -19,12 +20,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quotewright.operators.bloom import filter_words, may_hold
 from quotewright.runtime import ship_code, written
 
 #: Most terms kept as heavy in all, most candidates that one task proposes, and what it remembers between batches.
 HEAVY, PROPOSED, REMEMBERED = 512, 512, 65536
-LIGHT, HEAVY_ROW, TOTAL = 0, 1, 2
-_PARTIAL = "field_name string, term string, occurrences long, n_ids long, kind int"
+LIGHT, HEAVY_ROW, TOTAL, REPEATED = 0, 1, 2, 3
+_PARTIAL = "field_name string, term string, occurrences long, n_ids long, kind int, id string, fields array<string>"
 
 
 def _terms(column: pa.Array, split: bool) -> tuple[pa.Array, np.ndarray]:
@@ -63,15 +65,36 @@ def _propose(fields: dict[str, bool]):
     return run
 
 
-def _count(fields: dict[str, bool], heavy: dict[str, list[str]]):
+def _batch(columns: list, repeated: tuple[pa.Array, list[pa.Array]] | None = None) -> pa.RecordBatch:
+    names = [c.split()[0] for c in _PARTIAL.split(", ")]
+    if repeated is None:
+        n = len(columns[0])
+        return pa.RecordBatch.from_arrays([*columns, pa.nulls(n, pa.string()), pa.nulls(n, pa.list_(pa.string()))], names=names)
+    ids, fields = repeated
+    n, width = len(ids), len(fields)
+    order = (np.arange(n)[:, None] + np.arange(width) * n).ravel()
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * width, pa.int32()), pa.concat_arrays(fields).take(pa.array(order)))
+    return pa.RecordBatch.from_arrays([pa.nulls(n, pa.string()), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(np.full(n, REPEATED), pa.int32()), ids, lists], names=names)
+
+
+def _count(fields: dict[str, bool], heavy: dict[str, list[str]], repeated=None):
+    """Counts of a batch's rows, columns as `fields`; with a filter of `repeated` ids, columns id, h1, h2 come after them,
+    and rows that it holds are passed on uncounted."""
+
     def rows(field: str, terms: pa.Array, occurrences: np.ndarray, ids: np.ndarray, kind: int) -> pa.RecordBatch:
         n = len(terms)
-        return pa.RecordBatch.from_arrays([pa.array([field] * n, pa.string()), terms.cast(pa.string()), pa.array(occurrences, pa.int64()), pa.array(ids, pa.int64()), pa.array(np.full(n, kind), pa.int32())], names=["field_name", "term", "occurrences", "n_ids", "kind"])
+        return _batch([pa.array([field] * n, pa.string()), terms.cast(pa.string()), pa.array(occurrences, pa.int64()), pa.array(ids, pa.int64()), pa.array(np.full(n, kind), pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = {f: pa.array(heavy.get(f, []), pa.string()) for f in fields}
         local = {f: [np.zeros(len(index[f]), np.int64), np.zeros(len(index[f]), np.int64), 0] for f in fields}
         for b in batches:
+            if repeated is not None:
+                again = may_hold(repeated.value, *[b.column(len(fields) + k).to_numpy().view(np.uint64) for k in (1, 2)])
+                more = b.filter(pa.array(again))
+                if len(more):
+                    yield _batch([], (more.column(len(fields)), [more.column(i).cast(pa.string()) for i in range(len(fields))]))
+                b = b.filter(pa.array(~again))
             for i, (f, split) in enumerate(fields.items()):
                 local[f][2] += len(b) - b.column(i).null_count
                 words, row = _terms(b.column(i), split)
@@ -108,8 +131,13 @@ def term_counts(df: DataFrame, id_col: str, fields: dict[str, bool], rare_below:
     heavy: dict[str, list[str]] = {}
     for r in proposed.groupBy("field_name", "term").agg(F.sum("occurrences").alias("n")).orderBy(F.desc("n"), "field_name", "term").limit(HEAVY).collect():
         heavy.setdefault(r.field_name, []).append(r.term)
-    once = named.groupBy("id").agg(*[F.first(f).alias(f) for f in fields]).select(*fields)
-    partial = written(once.mapInArrow(_count(fields, heavy), _PARTIAL), "terms")
+    keyed = named.select(F.xxhash64("id").alias("h1"), F.xxhash64("id", F.lit(7)).alias("h2"))
+    again = written(keyed.groupBy("h1", "h2").agg(F.count("*").alias("rows")).where("rows > 1").select("h1", "h2"), "repeated")
+    held = spark.sparkContext.broadcast(filter_words(again, again.count()))
+    wide = named.select(*fields, F.col("id").cast("string").alias("id"), F.xxhash64("id").alias("h1"), F.xxhash64("id", F.lit(7)).alias("h2"))
+    most = written(wide.mapInArrow(_count(fields, heavy, held), _PARTIAL), "terms")
+    once = most.where(F.col("kind") == REPEATED).groupBy("id").agg(F.min("fields").alias("fields")).select(*[F.col("fields")[i].alias(f) for i, f in enumerate(fields)])
+    partial = most.where(F.col("kind") != REPEATED).unionByName(written(once.mapInArrow(_count(fields, heavy), _PARTIAL), "terms_once"))
     total = {r.field_name: r.n for r in partial.where(F.col("kind") == TOTAL).groupBy("field_name").agg(F.sum("n_ids").alias("n")).collect()}
     both = [partial.where(F.col("kind") == k).groupBy("field_name", "term").agg(F.sum("occurrences").alias("occurrences"), F.sum("n_ids").alias("n_ids")) for k in (HEAVY_ROW, LIGHT)]
     of = F.create_map(*[F.lit(x) for f in fields for x in (f, total.get(f, 0))])[F.col("field_name")]
