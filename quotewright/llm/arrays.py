@@ -44,8 +44,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: Bases of the polynomials, a family of hashes each.
+_BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:
@@ -54,16 +54,19 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def slice_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of values[start:end] for every slice; equal slices have equal hashes wherever they stand.
+def slice_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, family: int = 0) -> np.ndarray:
+    """64-bit hash of values[start:end] for every slice; equal slices have equal hashes wherever they stand. Hashes of two
+    families together are one of 128 bits.
 
     Karp-Rabin over running sums: the slice's polynomial is the difference of two sums, moved to position 0 by a
     power of the base's inverse modulo 2**64. Values go through `mix` first, so runs of small numbers do no harm.
     """
     if not len(starts):
         return np.zeros(0, np.uint64)
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(values + np.uint64(1)) * _powers(_BASE, len(values)), dtype=np.uint64)))
-    return mix((sums[ends] - sums[starts]) * _powers(_INVERSE, len(values) + 1)[starts] + (ends - starts).astype(np.uint64))
+    base, back = np.uint64(_BASES[family]), np.uint64(pow(_BASES[family], -1, 1 << 64))
+    mixed = mix(values + np.uint64(1 + (family << 40)))
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed * _powers(base, len(values)), dtype=np.uint64)))
+    return mix((sums[ends] - sums[starts]) * _powers(back, len(values) + 1)[starts] + (ends - starts).astype(np.uint64))
 
 
 def run_ids(lengths: np.ndarray) -> np.ndarray:

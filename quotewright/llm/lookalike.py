@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quotewright.functions.spec import ALEFS, ARABIC, KASHIDA, LOSSY, MARKS
 from quotewright.llm.pairs import PAIR_LIMIT, group_pairs, ordered, with_stats
 from quotewright.runtime import ship_code, written
 
@@ -68,12 +69,21 @@ def consistent_sql(t: str) -> str:
     return f"nfc_normalize(CASE WHEN contains({t}, '{FARSI_YEH}') OR regexp_matches({t}, '[{FARSI_YEH_FORMS}]') THEN replace({dotted}, '{FARSI_YEH}', '{DOTLESS_YEH}') ELSE {plain} END)"
 
 
+def words_sql(form: str) -> str:
+    """DuckDB SQL of the words, at the aggressive tier and a space between, of a text in its consistent form."""
+    marks = "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in MARKS)
+    bare = f"regexp_replace({form}, '[{KASHIDA}{marks}]+', '', 'g')"
+    folded = f"translate({bare}, {_quoted(ALEFS[0] + LOSSY[0])}, {_quoted(ALEFS[1] + LOSSY[1])})"
+    return f"trim(regexp_replace({folded}, '[^\\x{{{ARABIC[0]:x}}}-\\x{{{ARABIC[1]:x}}}]+', ' ', 'g'))"
+
+
 def connection():
-    """A DuckDB connection with the macro consistent(text)."""
+    """A DuckDB connection with the macros consistent(text) and words(text)."""
     import duckdb
 
     con = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
     con.execute(f"CREATE MACRO consistent(t) AS {consistent_sql('t')}")
+    con.execute(f"CREATE MACRO words(t) AS {words_sql('consistent(t)')}")
     return con
 
 
@@ -99,6 +109,13 @@ def with_form(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.mapInArrow(_form, "id string, text string, form string")
 
 
+def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id and 128 bits each of the form (f1, f2) and the stored text (t1, t2), once for each id and text: a written table."""
+    key = lambda c, n: [F.xxhash64(c).alias(f"{n}1"), F.xxhash64(F.lit(11), c).alias(f"{n}2")]
+    rows = with_form(df.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()), id_col, text_col)
+    return written(rows.select("id", *key(F.col("form"), "f"), *key(F.col("text"), "t")).distinct(), "forms")
+
+
 def lookalike_pairs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id_a < id_b of ids whose texts differ as stored and have the same form.
 
@@ -106,16 +123,27 @@ def lookalike_pairs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     form no pair, so a hot text costs as many rows as it has look-alikes.
     Null ids and null texts take no part.
     """
-    key = lambda c, n: [F.xxhash64(c).alias(f"{n}1"), F.xxhash64(F.lit(11), c).alias(f"{n}2")]
-    rows = with_form(df.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()), id_col, text_col)
-    keyed = written(rows.select("id", *key(F.col("form"), "f"), *key(F.col("text"), "t")).distinct(), "forms")
+    keyed = _keyed(df, id_col, text_col)
     kinds = keyed.select("f1", "f2", "t1", "t2").distinct()
     texts = group_pairs(with_stats(kinds.withColumn("kind", F.struct("t1", "t2")), ["f1", "f2"]), ["f1", "f2"], "kind").select(*[F.col(f"{s}.{t}").alias(f"{s}_{t}") for s in "ab" for t in ("t1", "t2")])
-    # classes of ids with one stored text; a large one meets another block by block
-    held = with_stats(keyed.select("t1", "t2", "id"), ["t1", "t2"], least=1).withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("group_size") / PAIR_LIMIT)).cast("int"))
+    texts = written(texts, "look_alikes")
+    both = texts.select(F.col("a_t1").alias("t1"), F.col("a_t2").alias("t2")).unionAll(texts.select(F.col("b_t1").alias("t1"), F.col("b_t2").alias("t2"))).distinct()
+    # classes of ids with one stored text, of those that have look-alikes; a large one meets another block by block
+    held = with_stats(keyed.select("t1", "t2", "id").join(both, ["t1", "t2"], "left_semi"), ["t1", "t2"], least=1).withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("group_size") / PAIR_LIMIT)).cast("int"))
+    held = written(held, "look_alike_ids")
     blocks = held.select("t1", "t2", "block").distinct()
     side = lambda df, s, *more: df.select(*[F.col(c).alias(f"{s}_{c}") for c in ("t1", "t2", "block", *more)])
     met = texts.join(side(blocks, "a"), ["a_t1", "a_t2"]).join(side(blocks, "b"), ["b_t1", "b_t2"])
-    both = met.join(side(held, "a", "id"), ["a_t1", "a_t2", "a_block"]).join(side(held, "b", "id"), ["b_t1", "b_t2", "b_block"])
+    pairs = met.join(side(held, "a", "id"), ["a_t1", "a_t2", "a_block"]).join(side(held, "b", "id"), ["b_t1", "b_t2", "b_block"])
     # an id whose rows hold several texts may meet another, or itself, more than once
-    return both.where(F.col("a_id") != F.col("b_id")).select(*ordered(F.col("a_id"), F.col("b_id"))).distinct()
+    return pairs.where(F.col("a_id") != F.col("b_id")).select(*ordered(F.col("a_id"), F.col("b_id"))).distinct()
+
+
+def lookalike_classes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, class_id (the least id with the same form), class_size (ids with it), links (of these, ids with another stored
+    text): a row for every id; of an id with several texts the one with the most links, then the least class."""
+    keyed = _keyed(df, id_col, text_col)
+    rows = with_stats(keyed, ["f1", "f2"], least=1, class_id=F.min("id")).withColumnRenamed("group_size", "class_size")
+    counted = with_stats(written(rows, "classes"), ["t1", "t2"], least=1).withColumn("links", F.col("class_size") - F.col("group_size"))
+    best = counted.groupBy("id").agg(F.min(F.struct((-F.col("links")).alias("less"), "class_id", "class_size")).alias("c"))
+    return best.select("id", "c.class_id", "c.class_size", (-F.col("c.less")).alias("links"))

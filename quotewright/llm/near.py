@@ -2,12 +2,14 @@
 
 Each record is the set of its distinct runs of `shingle` words, embedded as a list of minwise tokens. A tree branches
 records by the tokens that a node chooses; nodes of up to NODE_LIMIT records are compared exhaustively, larger ones
-branch again. A node that keeps ALIKE of the records above it holds records so similar that branching no longer parts
-them; it is compared in blocks, as are nodes of the last level. Independent trees repeat this: a pair of similarity s is
-missed at the first level with (1 - s) ** (TREES * BRANCHES), 4e-7 at 0.6. Every candidate is verified exactly.
-
-Records with equal word sequences are one class. Null ids and texts, and texts below `least_words` words, take no part;
-repeated rows of an id count once.
+branch again. A larger node is compared too, in blocks, if its records are on average nearly as similar as the pairs
+that are sought, so that what is compared is for the most part what is found; the average comes from a bounded sample
+of the node's tokens and decides on cost only. Records that merely share boilerplate branch on until they part.
+Independent trees repeat this: a pair of similarity s is missed at the first level with
+(1 - s) ** (TREES * BRANCHES), 4e-7 at 0.6. Every candidate is verified exactly.
+
+Records with equal word sequences are one class, known by 128 bits. Null ids and texts, and texts below `least_words`
+words, take no part; repeated rows of an id count once.
 """
 
 from __future__ import annotations
@@ -16,18 +18,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quotewright.functions.spec import normalize
-from quotewright.llm.arrays import mix, run_ids
-from quotewright.llm.lookalike import connection, consistent
-from quotewright.llm.pairs import expand, group_pairs, with_stats
-from quotewright.llm.words import sequence_keys, windows, word_hashes
+from quotewright.llm.arrays import mix
+from quotewright.llm.lookalike import connection
+from quotewright.llm.pairs import class_members, expand, group_pairs, with_stats
+from quotewright.llm.words import sequence_keys, windows, word_pairs
 from quotewright.runtime import ship_code, written
 
-TREES, BRANCHES, LEVELS, NODE_LIMIT, ALIKE = 8, 2, 12, 32, 0.8
+TREES, BRANCHES, LEVELS, NODE_LIMIT = 8, 2, 12, 32
 TOKENS = 3 * TREES * BRANCHES
+#: Records of a node that its average similarity comes from, and how far below the sought similarity it may lie.
+JUDGED, SLACK = 32, 0.05
 
 
 def _sets(shingle: int, least_words: int):
@@ -36,8 +39,11 @@ def _sets(shingle: int, least_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         con = connection()
         for b in batches:
-            plain = pa.array([normalize(t, "aggressive") for t in consistent(con, b.column(1)).to_pylist()], pa.string())
-            words, at = word_hashes(plain)
+            batch = pa.table({"n": pa.array(range(len(b)), pa.int64()), "t": b.column(1)})
+            con.register("batch", batch)
+            plain = con.sql("SELECT words(t) AS w FROM batch ORDER BY n").to_arrow_table()["w"].combine_chunks()
+            con.unregister("batch")
+            words, second, at = word_pairs(plain)
             lengths = np.diff(at)
             hashes, text, _ = windows(words, at, shingle)
             order = np.lexsort((hashes, text))
@@ -58,19 +64,18 @@ def _sets(shingle: int, least_words: int):
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column(0).filter(pa.array(kept)),
-                    pa.array(sequence_keys(words, at)[kept].view(np.int64)),
+                    sequence_keys(words, second, at).filter(pa.array(kept)),
                     pa.ListArray.from_arrays(pa.array(np.append(starts, len(hashes)), pa.int32()), pa.array(hashes.view(np.int64))),
                     pa.ListArray.from_arrays(every, pa.array(tokens.ravel())),
                 ],
-                names=["id", "t", "shingles", "tokens"],
+                names=["id", "sequence", "shingles", "tokens"],
             )
 
     return run
 
 
 def _children(rows: DataFrame, level: int) -> DataFrame:
-    """node, t, n, above: the nodes that each record of a node goes to, and the size of that node (none at the root, where
-    every tree has its own tokens)."""
+    """node, t, n: the nodes that each record of a node goes to. At the root every tree has its own tokens."""
     if level == 0:
         places = F.expr(f"sequence(0, {TREES * BRANCHES - 1})")
         at = F.col("i")
@@ -79,28 +84,48 @@ def _children(rows: DataFrame, level: int) -> DataFrame:
         at = F.pmod(F.xxhash64("node", "i"), F.lit(TOKENS)).cast("int")
     wide = rows.withColumn("i", F.explode(places)).withColumn("at", at)
     node = F.xxhash64(*(["node"] if level else []), "at", F.element_at("tokens", F.col("at") + 1))
-    return wide.select(node.alias("node"), "t", "n", F.col("group_size").alias("above") if level else F.lit(None).cast("long").alias("above"))
+    return wide.select(node.alias("node"), "t", "n")
+
+
+def _agreement(t: pa.Table) -> pa.Table:
+    """The share of equal tokens over all pairs of a node's judged records."""
+    tokens = t["tokens"].combine_chunks().flatten().to_numpy().reshape(len(t), -1)
+    a, b = np.triu_indices(len(tokens), 1)
+    alike = float((tokens[a] == tokens[b]).mean()) if len(a) else 1.0
+    return pa.table({"node": pa.array([t["node"][0].as_py()], pa.int64()), "alike": pa.array([alike], pa.float64())})
+
+
+def _alike_nodes(large: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """node of the large nodes whose records are on average at least `least` similar."""
+    nth = F.row_number().over(Window.partitionBy("node").orderBy(F.xxhash64("t"), "t"))
+    judged = large.select("node", "t").withColumn("nth", nth).where(F.col("nth") <= JUDGED).join(sets.select("t", "tokens"), "t").select("node", "tokens")
+    return judged.groupBy("node").applyInArrow(_agreement, "node long, alike double").where(F.col("alike") >= least).select("node")
 
 
 def similar_classes(df: DataFrame, id_col: str, text_col: str, shingle: int, least_words: int, similarity: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
     """(members id, t; pairs a < b of classes t with at least `similarity`, a fraction, of their runs in common)."""
     ship_code(df.sparkSession)
     rows = df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).where(F.col("id").isNotNull() & F.col("text").isNotNull())
-    made = rows.mapInArrow(_sets(shingle, least_words), "id string, t long, shingles array<long>, tokens array<int>")
-    made = written(made, "sets")
-    members = made.select("id", "t").distinct()
-    sets = written(made.groupBy("t").agg(F.first("shingles").alias("shingles"), F.first("tokens").alias("tokens")).withColumn("n", F.size("shingles")), "classes")
+    made = written(rows.mapInArrow(_sets(shingle, least_words), "id string, sequence binary, shingles array<long>, tokens array<int>"), "sets")
+    sets = made.groupBy("sequence").agg(F.first("shingles").alias("shingles"), F.first("tokens").alias("tokens"))
+    sets = written(sets.select("sequence", F.monotonically_increasing_id().alias("t"), "shingles", "tokens", F.size("shingles").alias("n")), "classes")
+    members = made.select("id", "sequence").distinct().join(sets.select("sequence", "t"), "sequence").select("id", "t")
     part, whole = similarity
     pairs, frontier = None, _children(sets.select("t", "n", "tokens"), 0)
     for level in range(1, LEVELS + 1):
         placed = written(with_stats(frontier, ["node"]), "nodes")
-        done = (F.col("group_size") <= NODE_LIMIT) | F.coalesce(F.col("group_size") >= ALIKE * F.col("above"), F.lit(False)) | F.lit(level == LEVELS)
-        near = placed.where(done)
-        close = (F.least("a_n", "b_n") * whole >= F.greatest("a_n", "b_n") * part)
+        large = placed.where(F.col("group_size") > NODE_LIMIT)
+        last = level == LEVELS or large.isEmpty()
+        if last:
+            near = placed
+        else:
+            alike = written(_alike_nodes(large, sets, part / whole - SLACK), "alike")
+            near = placed.where(F.col("group_size") <= NODE_LIMIT).unionByName(large.join(alike, "node", "left_semi"))
+            large = large.join(alike, "node", "left_anti")
+        close = F.least("a_n", "b_n") * whole >= F.greatest("a_n", "b_n") * part
         here = group_pairs(near, ["node"], "t", ["n"]).where(close).select("a", "b")
         pairs = here if pairs is None else pairs.unionByName(here)
-        large = placed.where(~done).select("node", "t", "n", "group_size")
-        if level == LEVELS or large.isEmpty():
+        if last or large.isEmpty():
             break
         frontier = _children(large.join(sets.select("t", "tokens"), "t"), level)
     runs = lambda n: sets.select(F.col("t").alias(n), F.col("shingles").alias(f"{n}_runs"))
@@ -109,19 +134,23 @@ def similar_classes(df: DataFrame, id_col: str, text_col: str, shingle: int, lea
     return members, both.where(F.col("common") * whole >= union * part).select("a", "b")
 
 
-def near_duplicates(df: DataFrame, id_col: str, text_col: str, shingle: int = 5, least_words: int = 20, similarity: tuple[int, int] = (4, 5)) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str, text_col: str, shingle: int = 5, least_words: int = 20, similarity: tuple[int, int] = (4, 5), limit: int | None = None) -> DataFrame:
     """id_a < id_b of records that share at least `similarity` of their distinct word runs. Pairs of different word
-    sequences are all given; copies give all pairs up to 500 ids, beyond that each with the first id of its class."""
+    sequences are all given; copies give all pairs up to `limit` ids (500; 0 for no limit), beyond that each with the
+    first id of its class, whose ids stand in `near_groups`."""
     members, pairs = similar_classes(df, id_col, text_col, shingle, least_words, similarity)
-    return expand(pairs, members, "t")
+    return expand(pairs, class_members(members, "t"), "t", limit)
 
 
 def groups(members: DataFrame, pairs: DataFrame) -> DataFrame:
-    """id, group_id (the least class of the group), links (to other classes): connected records, one row per id.
+    """id, group_id (the least id of the group), class_id (the least id of the records with its words), links (to other
+    classes): connected records, one row per id. members: id, t; pairs: a, b of t.
 
     Labels spread along the pairs and jump to their label's label until nothing changes; each round is a written
     table, and the driver sees only the number of changes.
     """
+    members = class_members(members, "t")
+    pairs = written(pairs, "links")
     edges = written(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
     labels = written(edges.groupBy(F.col("a").alias("v")).agg(F.least(F.col("v"), F.min("b")).alias("label")), "labels")
     while True:
@@ -133,5 +162,7 @@ def groups(members: DataFrame, pairs: DataFrame) -> DataFrame:
         if after.where(F.col("old") != F.col("label")).isEmpty():
             break
     links = edges.groupBy(F.col("a").alias("t")).agg(F.count("*").alias("links"))
-    named = labels.select(F.col("v").alias("t"), "label")
-    return members.join(named, "t", "left").join(links, "t", "left").select("id", F.coalesce("label", "t").alias("group_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+    first = members.select("t", "first_id").distinct()
+    named = labels.select(F.col("v").alias("t"), "label").join(first, "t")
+    named = named.join(named.groupBy("label").agg(F.min("first_id").alias("group_id")), "label").select("t", "group_id").join(links, "t")
+    return members.join(named, "t", "left").select("id", F.coalesce("group_id", "first_id").alias("group_id"), F.col("first_id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))

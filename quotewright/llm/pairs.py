@@ -5,22 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quotewright.operators.skew import hot_keys, meet
+from quotewright.runtime import written
+
 #: Up to so many members a group of exact copies gives all its pairs; beyond, every member is paired with a
 #: representative. Blocks that larger groups of different members are compared in have this size too.
 PAIR_LIMIT = 500
-SALTS = 16
-
-
-def salted(side: DataFrame, keys: list[str], stats: DataFrame) -> DataFrame:
-    """side joined with one row per key; the rows of a hot key are spread over SALTS tasks."""
-    spread = stats.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return side.withColumn("salt", F.pmod(F.xxhash64(*side.columns), F.lit(SALTS)).cast("int")).join(spread, [*keys, "salt"]).drop("salt")
 
 
 def with_stats(members: DataFrame, keys: list[str], least: int = 2, **aggs) -> DataFrame:
     """members of groups of at least `least` rows, with the groups' aggregates, counted before the shuffle."""
     stats = members.groupBy(*keys).agg(F.count("*").alias("group_size"), *[v.alias(k) for k, v in aggs.items()])
-    return salted(members, keys, stats.where(F.col("group_size") >= least) if least > 1 else stats)
+    stats = written(stats.where(F.col("group_size") >= least) if least > 1 else stats, "stats")
+    return meet(members, stats, keys, hot_keys(stats, keys, "group_size"))
 
 
 def group_pairs(m: DataFrame, keys: list[str], value: str, extra: list[str] = ()) -> DataFrame:
@@ -36,27 +33,35 @@ def group_pairs(m: DataFrame, keys: list[str], value: str, extra: list[str] = ()
     return named(a, "a").join(named(b, "b"), [*keys, "block"]).where(F.col("a") < F.col("b")).drop("block")
 
 
-def copy_pairs(members: DataFrame, keys: list[str], id_col: str = "id") -> DataFrame:
-    """id_a < id_b for members of one group of exact copies: all pairs of a group of up to PAIR_LIMIT members,
-    pairs (representative, member) of a larger one. `members` has one row per id."""
-    m = with_stats(members.select(*keys, F.col(id_col).alias("id")), keys, first_id=F.min("id"))
-    small = group_pairs(m.where(F.col("group_size") <= PAIR_LIMIT), keys, "id").select(F.col("a").alias("id_a"), F.col("b").alias("id_b"))
-    star = m.where((F.col("group_size") > PAIR_LIMIT) & (F.col("id") != F.col("first_id"))).select(F.col("first_id").alias("id_a"), F.col("id").alias("id_b"))
-    return small.unionByName(star)
+def class_members(members: DataFrame, key: str) -> DataFrame:
+    """id, key, group_size, first_id: members with the size and the representative (least id) of their class. `members`
+    has one row per id and class."""
+    return written(with_stats(members.select(key, "id"), [key], least=1, first_id=F.min("id")), "members")
 
 
-def shown_members(members: DataFrame, key: str, id_col: str = "id") -> DataFrame:
-    """The members by which a class stands in pairs with other classes: all of a small class, else its representative."""
-    m = with_stats(members.select(key, F.col(id_col).alias("id")), [key], least=1, first_id=F.min("id"))
-    return m.where((F.col("group_size") <= PAIR_LIMIT) | (F.col("id") == F.col("first_id"))).select(key, "id")
+def expand(class_pairs: DataFrame, members: DataFrame, key: str, limit: int | None = None) -> DataFrame:
+    """id_a < id_b: pairs of classes (a, b) written out over their members, and the copies within each class.
 
-
-def expand(class_pairs: DataFrame, members: DataFrame, key: str) -> DataFrame:
-    """id_a < id_b: pairs of classes (a, b) written out over their members, and the copies within each class."""
-    shown = shown_members(members, key)
+    members: from `class_members`. A class of more than `limit` (PAIR_LIMIT) copies is shown by its representative, and
+    its copies by pairs with it; which ids it holds stands in the table of classes. A limit of 0 writes all pairs out.
+    """
+    most = PAIR_LIMIT if limit is None else limit
+    small = F.lit(True) if most == 0 else F.col("group_size") <= most
+    shown = members.where(small | (F.col("id") == F.col("first_id"))).select(key, "id")
     left = class_pairs.join(shown.select(F.col(key).alias("a"), F.col("id").alias("x")), "a")
-    both = left.join(shown.select(F.col(key).alias("b"), F.col("id").alias("y")), "b")
-    return both.select(*ordered(F.col("x"), F.col("y"))).unionByName(copy_pairs(members, [key]))
+    between = left.join(shown.select(F.col(key).alias("b"), F.col("id").alias("y")), "b").select(*ordered(F.col("x"), F.col("y")))
+    copies = members.where(F.col("group_size") > 1)
+    within = group_pairs(copies.where(small), [key], "id").select(F.col("a").alias("id_a"), F.col("b").alias("id_b"))
+    star = copies.where(~small & (F.col("id") != F.col("first_id"))).select(F.col("first_id").alias("id_a"), F.col("id").alias("id_b"))
+    return between.unionByName(within).unionByName(star)
+
+
+def classes(class_pairs: DataFrame, members: DataFrame, key: str) -> DataFrame:
+    """id, class_id (least id of the class), class_size, links (other classes that it is linked to), a row per id: with the
+    pairs of representatives the whole relation, whatever the sizes. members: from `class_members`."""
+    ends = class_pairs.select(F.col("a").alias(key)).unionAll(class_pairs.select(F.col("b").alias(key)))
+    links = ends.groupBy(key).agg(F.count("*").alias("links"))
+    return members.join(links, key, "left").select("id", F.col("first_id").alias("class_id"), F.col("group_size").alias("class_size"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
 
 
 def ordered(a, b) -> list:

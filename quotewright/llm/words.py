@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-from quotewright.llm.arrays import code_points, run_ids, slice_hashes, utf8
+from quotewright.llm.arrays import code_points, mix, run_ids, slice_hashes, utf8
 
 
 def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -14,6 +14,15 @@ def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return words_of_points(*code_points(data, offsets))
 
 
+def word_pairs(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """word_hashes with a second hash of each word: (hashes, second hashes, offsets)."""
+    data, offsets, _ = utf8(column)
+    points, at = code_points(data, offsets)
+    starts, ends = word_slices(points, at)
+    wide = points.astype(np.uint64)
+    return slice_hashes(wide, starts, ends), slice_hashes(wide, starts, ends, 1), np.searchsorted(starts, at)
+
+
 def word_slices(points: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where the words of texts begin and end in their code points."""
     inside = points != 0x20
@@ -39,6 +48,15 @@ def windows(words: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, n
     return slice_hashes(words, start, start + size), text[start], start - at[text[start]]
 
 
-def sequence_keys(words: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """One hash for each text's whole word sequence."""
-    return slice_hashes(words, at[:-1], at[1:])
+def chained(words: np.ndarray, start: np.ndarray, size: int) -> np.ndarray:
+    """Another hash of the runs of `size` words that begin at `start`: of second hashes, word after word."""
+    out = np.full(len(start), 0x5851F42D4C957F2D, np.uint64)
+    for k in range(size):
+        out = mix(out ^ words[start + k])
+    return out
+
+
+def sequence_keys(words: np.ndarray, second: np.ndarray, at: np.ndarray) -> pa.Array:
+    """16 bytes for each text's whole word sequence, of both hashes of its words."""
+    both = np.stack((slice_hashes(words, at[:-1], at[1:]), slice_hashes(second, at[:-1], at[1:], 1)), 1)
+    return pa.Array.from_buffers(pa.binary(16), len(at) - 1, [None, pa.py_buffer(np.ascontiguousarray(both).tobytes())]).cast(pa.binary())
