@@ -39,10 +39,20 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.lookalike_pairs(table(spark, sf_dir, "records"), "id", "text_ar")
 
 
+def p4_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each record's class of look-alikes."""
+    return lookalike.lookalike_classes(table(spark, sf_dir, "records"), "id", "text_ar")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_span_pairs(table(spark, sf_dir, "records"), "id", "norm_standard", 12)
 
 
+def p5_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each record's class of equal texts and how many other texts share a span with it."""
+    return spans.span_classes(table(spark, sf_dir, "records"), "id", "norm_standard", 12)
+
+
 def p5_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much of each record stands in others."""
     return spans.shared_share(table(spark, sf_dir, "records"), "id", "norm_standard", 12)
@@ -53,8 +63,8 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each record's group and its links, by runs of five words and a similarity of 0.8."""
-    return near.groups(*near.similar_classes(table(spark, sf_dir, "records"), "id", "text_ar", 5, 20, (4, 5)))
+    """The groups that the pairs of p6_found form."""
+    return near.groups(*near.similar_classes(table(spark, sf_dir, "records"), "id", "text_ar", 3, 20, (3, 5)))
 
 
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,7 +106,7 @@ spans AS (SELECT id, len(words) AS n_words, unnest(range(1, len(words) - 10)) AS
 hashed AS (SELECT id, position, array_to_string(words[position:position + 11], ' ') AS span FROM spans)
 """
 
-QUERIES = {"p1_neighbours": p1_neighbours, "p1_found": p1_found, "p2_terms": p2_terms, "p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p5_shared": p5_shared, "p6_found": p6_found, "p6_groups": p6_groups, "p7_ids": p7_ids, "p8_leaks": p8_leaks, "p8_found": p8_found, "p9_found": p9_found}
+QUERIES = {"p1_neighbours": p1_neighbours, "p1_found": p1_found, "p2_terms": p2_terms, "p2_found": p2_found, "p4_found": p4_found, "p4_classes": p4_classes, "p5_found": p5_found, "p5_classes": p5_classes, "p5_shared": p5_shared, "p6_found": p6_found, "p6_groups": p6_groups, "p7_ids": p7_ids, "p8_leaks": p8_leaks, "p8_found": p8_found, "p9_found": p9_found}
 SQL = {
     "p2_terms": _TERMS_SQL + "SELECT * FROM marked",
     "p2_found": _TERMS_SQL + "SELECT field_name, term, freq_mark FROM marked WHERE freq_mark IS NOT NULL",

@@ -10,6 +10,7 @@ import pytest
 from quotewright.functions.spec import normalize
 from quotewright.llm import graph, leaks, lookalike, near, pairs, reading, spans, terms, tokenize, vectors
 from quotewright.llm.queries import TOKENIZERS
+from quotewright.operators import skew
 
 RANKS = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
 RECORDS = "id string, text string, extra string"
@@ -35,11 +36,25 @@ def sentences(rng, words, n):
 # -- pairs
 
 
-def test_copy_pairs_all_and_star(spark, monkeypatch):
+def test_copies_give_all_pairs_or_a_star(spark, monkeypatch):
     members = spark.createDataFrame([("g", f"{i:03}") for i in range(9)] + [("h", "x"), ("h", "y"), ("k", "z")], "t string, id string")
-    assert len(rows(pairs.copy_pairs(members, ["t"]))) == 36 + 1
+    linked = spark.createDataFrame([("g", "k")], "a string, b string")
+    held = pairs.class_members(members, "t")
+    whole = {(f"{i:03}", f"{j:03}") for i in range(9) for j in range(i + 1, 9)} | {("x", "y")} | {(f"{i:03}", "z") for i in range(9)}
+    assert set(rows(pairs.expand(linked, held, "t"))) == whole
     monkeypatch.setattr(pairs, "PAIR_LIMIT", 4)
-    assert rows(pairs.copy_pairs(members, ["t"])) == sorted([("000", f"{i:03}") for i in range(1, 9)] + [("x", "y")])
+    assert rows(pairs.expand(linked, held, "t")) == sorted([("000", f"{i:03}") for i in range(1, 9)] + [("x", "y"), ("000", "z")])
+    assert set(rows(pairs.expand(linked, held, "t", limit=0))) == whole
+    assert set(rows(pairs.classes(linked, held, "t"))) == {(f"{i:03}", "000", 9, 1) for i in range(9)} | {("x", "x", 2, 0), ("y", "x", 2, 0), ("z", "z", 1, 1)}
+
+
+def test_hot_keys_are_spread_without_loss(spark, monkeypatch):
+    monkeypatch.setattr(skew, "TASK_ROWS", 10)
+    many = spark.createDataFrame([("hot", i) for i in range(95)] + [("cold", 1), ("none", 2)], "k string, v int")
+    few = spark.createDataFrame([("hot", "a"), ("hot", "b"), ("cold", "c")], "k string, w string")
+    got = rows(skew.spread_join(many, few, ["k"]).select("k", "v", "w"))
+    assert got == sorted([("hot", i, w) for i in range(95) for w in "ab"] + [("cold", 1, "c")])
+    assert len(rows(pairs.with_stats(many, ["k"], least=1))) == 97
 
 
 def test_large_groups_are_compared_in_blocks_without_loss(spark, monkeypatch):
@@ -86,6 +101,52 @@ def test_pivots_and_shards_keep_recall(spark, monkeypatch):
     assert sum(r.distance <= kth[int(r.record_id)] for r in got) / 8000 >= 0.9
 
 
+def brute_records(data, k):
+    """data: record -> list of bit rows; (record, rank) -> distance, by the nearest vectors of two records."""
+    names = sorted(data)
+    out = {}
+    for a in names:
+        d = sorted((min(int((x != y).sum()) for x in data[a] for y in data[b]), b) for b in names if b != a)
+        out[a] = [x for x, _ in d[:k]]
+    return out
+
+
+def test_a_record_with_several_vectors_gets_k_distinct_neighbours(spark):
+    rng = np.random.default_rng(4)
+    data = {f"r{i:02}": [(rng.random(256) < 0.5)] for i in range(40)}
+    for r in data:
+        data[r] += [data[r][0] ^ (rng.random(256) < 0.03) for _ in range(3)]
+    df = spark.createDataFrame([(r, "m", 256, "binary", v) for r, xs in data.items() for v in packed_rows(np.array(xs))], "record_id string, model string, dim int, dtype string, vec binary")
+    got = vectors.neighbours(df, 10).collect()
+    want = brute_records(data, 10)
+    mine = {r: sorted((x.rank, x.distance, x.neighbour_id) for x in got if x.record_id == r) for r in data}
+    assert all(len(m) == 10 and len({x[2] for x in m}) == 10 for m in mine.values())
+    assert np.mean([[x[1] for x in mine[r]] == want[r] for r in data]) >= 0.9
+
+
+def test_hot_vectors_keep_the_first_ids_and_crowded_pivots_are_split(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "SHARD", 100)
+    monkeypatch.setattr(vectors, "SMALL", 50)
+    monkeypatch.setattr(vectors, "QUERIES", 90)
+    monkeypatch.setattr(vectors, "SPLIT", 8)
+    rng = np.random.default_rng(5)
+    centres = rng.random((30, 256)) < 0.2  # clusters of one cluster
+    x = np.concatenate([(rng.random((20, 256)) < 0.05) ^ c for c in centres])
+    hot = rng.random(256) < 0.5
+    data = [(f"{i:04}", v) for i, v in enumerate(packed_rows(x))] + [(f"h{i:03}", v) for i, v in enumerate(packed_rows(np.array([hot] * 300)))]
+    df = spark.createDataFrame([(r, "m", 256, "binary", v) for r, v in data], "record_id string, model string, dim int, dtype string, vec binary")
+    got = vectors.neighbours(df, 10).collect()
+    d = (x[:, None] != x[None]).sum(2)
+    np.fill_diagonal(d, 999)
+    kth = np.sort(d, 1)[:, 9]
+    assert len(got) == 9000 and len({(r.record_id, r.neighbour_id) for r in got}) == 9000
+    plain = [r for r in got if r.record_id[0] != "h"]
+    assert sum(r.distance <= kth[int(r.record_id)] for r in plain) / len(plain) >= 0.9
+    first = [f"h{i:03}" for i in range(11)]
+    for r in ("h000", "h005", "h299"):
+        assert [x.neighbour_id for x in sorted((x for x in got if x.record_id == r), key=lambda x: x.rank)] == [h for h in first if h != r][:10]
+
+
 def test_graph_of_one_and_of_equal_points():
     one = np.zeros((1, 2), np.uint64)
     assert graph.build(one).search(one, 8)[0][0, 0] == 0
@@ -179,8 +240,24 @@ def test_a_third_of_all_rows_may_share_one_text(spark, monkeypatch):
     monkeypatch.setattr(pairs, "PAIR_LIMIT", 10)
     hot = " ".join(vocabulary(20))
     data = [(f"h{i:02}", hot) for i in range(30)] + [(f"o{i}", " ".join(sentences(random.Random(i), vocabulary(), 20))) for i in range(30)] + [("near", hot + " x")]
-    got = rows(spans.shared_span_pairs(texts(spark, data), "id", "text", 12))
-    assert got == sorted([("h00", f"h{i:02}") for i in range(1, 30)] + [("h00", "near")])
+    df = texts(spark, data)
+    assert rows(spans.shared_span_pairs(df, "id", "text", 12)) == sorted([("h00", f"h{i:02}") for i in range(1, 30)] + [("h00", "near")])
+    assert rows(spans.shared_span_pairs(df, "id", "text", 12, limit=0)) == brute_spans(data, 12)
+    got = {r[0]: r[1:] for r in rows(spans.span_classes(df, "id", "text", 12))}
+    assert got["h07"] == ("h00", 30, 1) and got["near"] == ("near", 1, 1) and got["o3"] == ("o3", 1, 0) and len(got) == 61
+
+
+def test_a_passage_that_many_share_proposes_each_pair_once(spark, monkeypatch):
+    """Passages that begin texts, follow equal words, repeat within a text, or stand at several places."""
+    rng, words = random.Random(12), vocabulary()
+    boiler = sentences(rng, words, 40)
+    data = []
+    for i in range(24):
+        head = [] if i % 4 == 0 else ["same"] if i % 4 == 1 else sentences(rng, words, 3)
+        data.append((f"r{i:02}", " ".join(head + boiler[i % 3 : 40 - i % 5] + sentences(rng, words, 4) + (boiler[:20] if i % 6 == 0 else []))))
+    data += [("twice", " ".join(boiler[5:20] + boiler[5:20])), ("once", " ".join(boiler[6:18])), ("less", " ".join(boiler[6:17]))]
+    monkeypatch.setattr(pairs, "PAIR_LIMIT", 5)
+    assert rows(spans.shared_span_pairs(texts(spark, data), "id", "text", 12, limit=0)) == brute_spans(data, 12)
 
 
 # -- 6: near duplicates
@@ -217,7 +294,17 @@ def test_near_duplicates_match_brute_force(spark, monkeypatch, limit):
 def test_groups(spark):
     members = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3), ("d", 4), ("e", 5), ("e2", 5)], "id string, t long")
     links = spark.createDataFrame([(1, 2), (2, 3), (4, 5)], "a long, b long")
-    assert rows(near.groups(members, links)) == [("a", 1, 1), ("b", 1, 2), ("c", 1, 1), ("d", 4, 1), ("e", 4, 1), ("e2", 4, 1)]
+    assert rows(near.groups(members, links)) == [("a", "a", "a", 1), ("b", "a", "b", 2), ("c", "a", "c", 1), ("d", "d", "d", 1), ("e", "d", "e", 1), ("e2", "d", "e", 1)]
+
+
+def test_groups_are_those_of_the_pairs(spark, data):
+    from quotewright.llm import queries
+
+    group = {r.id: r.group_id for r in queries.p6_groups(spark, data).collect()}
+    found = queries.p6_found(spark, data).collect()
+    assert found and all(group[p.id_a] == group[p.id_b] for p in found)
+    linked = {x for p in found for x in p}
+    assert all(g == i for i, g in group.items() if i not in linked)
 
 
 # -- 7: tokens
@@ -301,6 +388,40 @@ def test_leaks_match_brute_force_also_when_reordered(spark, monkeypatch):
     assert rows(leaks.leaks(d.limit(0), "doc_id", "text", i, "item_id", "text")) == rows(leaks.leaks(d, "doc_id", "text", i.limit(0), "item_id", "text")) == []
 
 
+def test_tiles_decide_and_only_what_they_leave_is_counted(spark, monkeypatch):
+    words = [f"w{i}" for i in range(40)]
+    d = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:9] + ["x"] + words[6:14] + ["x"] + words[11:20])), (3, " ".join(words[:6]))], "doc_id long, text string")
+    i = spark.createDataFrame([(7, " ".join(words))], "item_id long, text string")
+    got = {r.doc_id: (r.tiles, r.tiled_words, r.covered_words) for r in leaks.leaks(d, "doc_id", "text", i, "item_id", "text").collect()}
+    # of document 2 the tiles hold 9 + 9 words, and the run in the middle adds two by overlapping
+    assert got == {1: (1, 40, None), 2: (2, 18, 20), 3: (1, 6, 6)}
+    assert rows(leaks.leaked(leaks.leaks(d, "doc_id", "text", i, "item_id", "text"))) == [(7, 1), (7, 2)]
+
+
+def test_tiles_of_words_are_those_of_seeds():
+    rng = np.random.default_rng(6)
+    for n in range(60):
+        a, b = (rng.integers(0, 2 + n % 5, 30 + 2 * n).astype(np.uint64) for _ in range(2))
+        seeds = [(i, j) for i in range(len(a) - 4) for j in range(len(b) - 4) if (a[i : i + 5] == b[j : j + 5]).all()]
+        if seeds:
+            i, j = np.array(seeds).T
+            want = leaks.tile(leaks.maximal_matches(np.zeros(len(i), np.int64), i, j, 5)[:, 1:], 5)
+            assert sorted(leaks.tile_words(a, b, 5)) == sorted(want)
+
+
+def test_an_item_of_equal_words_takes_time_by_its_words(spark):
+    import time
+
+    i = spark.createDataFrame([(1, "la " * 1000)], "item_id long, text string")
+    seconds = []
+    for n in (2000, 16000):
+        d = spark.createDataFrame([(5, "la " * n)], "doc_id long, text string")
+        began = time.time()
+        assert rows(leaks.leaks(d, "doc_id", "text", i, "item_id", "text")) == [(1, 5, 1000, 1, 1000, None)]
+        seconds.append(time.time() - began)
+    assert seconds[1] < 4
+
+
 def test_tiles_are_the_longest_and_do_not_overlap():
     matches = np.array([[0, 0, 8], [5, 20, 9], [0, 40, 5]])
     assert leaks.tile(matches, 5) == [(5, 20, 9), (0, 0, 5)]
