@@ -1,7 +1,8 @@
 """A robust-pruned directed graph over packed bit vectors, built and searched many points at a time.
 
 Points are inserted in batches: a greedy beam search on the graph so far proposes neighbours, relaxed distance pruning
-keeps up to DEGREE diverse ones, and the edges are added backwards too. Pruning may leave a point that is far from all
+keeps up to DEGREE diverse ones, and the edges are added backwards too, to a point that is pruned again when its spare
+places are full. Pruning may leave a point that is far from all
 others, or close to a better placed one, without edges towards it; so each point is also held by the first HOLDERS of its
 nearest points that have one of their KEPT places free, and pruning leaves those alone. A query walks with a beam.
 """
@@ -10,17 +11,28 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Places for points held, and holders of a point.
-KEPT, HOLDERS = 12, 4
-#: Edges of a point, beam while building, relaxation of the pruning, points inserted and queries searched at once, and
+#: Places for points held, holders of a point, and points that a search starts from at most.
+KEPT, HOLDERS, MOST_ENTRIES = 20, 6, 256
+#: Edges of a point, spare places for edges backwards, beam while building, relaxation of the pruning, points inserted and queries searched at once, and
 #: points of a beam that are opened in one step.
-DEGREE, BUILD_BEAM, RELAX, BATCH, OPENED = 32, 128, 1.2, 512, 4
+DEGREE, SPARE, BUILD_BEAM, RELAX, BATCH, OPENED = 24, 16, 48, 1.2, 512, 4
 _FAR = np.int64(1) << 62
 
 
+_LANES, _ADD = np.uint64(0x00FF00FF00FF00FF), np.uint64(0x0001000100010001)
+
+
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Hamming distances along the last axis of packed words."""
-    return np.bitwise_count(a ^ b).sum(-1, dtype=np.int32)
+    """Hamming distances along the last axis of packed words. Eight counts of a byte each are added in one word."""
+    counts = np.bitwise_count(a ^ b)
+    if counts.shape[-1] % 8:
+        return counts.sum(-1, dtype=np.int32)
+    eight = np.ascontiguousarray(counts).view(np.uint64)
+    eight = (((eight & _LANES) + ((eight >> np.uint64(8)) & _LANES)) * _ADD) >> np.uint64(48)
+    total = eight[..., 0].astype(np.int32)
+    for k in range(1, eight.shape[-1]):
+        total += eight[..., k].astype(np.int32)
+    return total
 
 
 class Graph:
@@ -75,7 +87,7 @@ class Graph:
             once = stamp[query, point] == at
             row, point, query = row[once], point[once], query[once]
             seen[query, point] = True
-            d = distances(q[query], self.x[point]).astype(np.int64)
+            d = distances(np.take(q, query, axis=0), np.take(self.x, point, axis=0)).astype(np.int64)
             count = np.bincount(row, minlength=len(active))
             wide = np.full((len(active), beam + (int(count.max()) if len(count) else 0)), _FAR)
             wide[:, :beam] = k
@@ -117,23 +129,27 @@ def build(x: np.ndarray, seed: int = 1) -> Graph:
     """The graph over the rows of x; deterministic."""
     n = len(x)
     rng = np.random.default_rng(seed)
-    entries = np.sort(rng.permutation(n)[: max(64, n // 16)])
-    edges = np.full((n, DEGREE + KEPT), -1, np.int32)
-    free = np.full(n, DEGREE)  # the next free place of each holder
+    entries = np.sort(rng.permutation(n)[: max(16, min(MOST_ENTRIES, n // 32))])
+    edges = np.full((n, DEGREE + SPARE + KEPT), -1, np.int32)
+    used = np.zeros(n, np.int64)  # places taken by edges
+    free = np.full(n, DEGREE + SPARE)  # the next free place of each holder
     if n > 1:
         edges[:, : DEGREE // 4] = rng.integers(0, n, (n, DEGREE // 4))
         edges[edges == np.arange(n)[:, None]] = -1
+        used[:] = DEGREE // 4
     graph = Graph(x, edges, entries)
     order = rng.permutation(n)
     for start in range(0, n, BATCH):
         points = order[start : start + BATCH]
         ids, _ = graph.search(x[points], BUILD_BEAM)
-        kept = prune(x, points, np.concatenate((ids, edges[points]), 1))
+        kept = prune(x, points, np.concatenate((ids, edges[points, : DEGREE + SPARE]), 1))
+        edges[points, : DEGREE + SPARE] = -1
         edges[points, :DEGREE] = kept
+        used[points] = (kept >= 0).sum(1)
         for p, near in zip(points.tolist(), ids.tolist()):
             held = 0
             for q in near:
-                if q >= 0 and q != p and free[q] < DEGREE + KEPT:
+                if q >= 0 and q != p and free[q] < edges.shape[1]:
                     edges[q, free[q]] = p
                     free[q] += 1
                     held += 1
@@ -144,11 +160,23 @@ def build(x: np.ndarray, seed: int = 1) -> Graph:
         by = np.argsort(target, kind="stable")
         source, target = source[by], target[by]
         heads, first, count = np.unique(target, return_index=True, return_counts=True)
-        for low in range(0, len(heads), BATCH):
-            h, f, c = heads[low : low + BATCH], first[low : low + BATCH], count[low : low + BATCH]
+        # an edge backwards takes a spare place; only a point without spare places is pruned again
+        spare = used[heads] + count <= DEGREE + SPARE
+        r = np.repeat(np.arange(len(heads)), count)
+        place = np.arange(len(r)) - np.repeat(first, count)
+        easy = spare[r]
+        edges[target[easy], used[target[easy]] + place[easy]] = source[easy]
+        used[heads[spare]] += count[spare]
+        full = np.flatnonzero(~spare)
+        for low in range(0, len(full), BATCH):
+            part = full[low : low + BATCH]
+            h, f, c = heads[part], first[part], count[part]
             back = np.full((len(h), int(c.max())), -1, np.int64)
             r = np.repeat(np.arange(len(h)), c)
             place = np.arange(len(r)) - np.repeat(np.cumsum(c) - c, c)
             back[r, place] = source[np.repeat(f, c) + place]
-            edges[h, :DEGREE] = prune(x, h, np.concatenate((edges[h, :DEGREE], back), 1))
+            again = prune(x, h, np.concatenate((edges[h, : DEGREE + SPARE], back), 1))
+            edges[h, : DEGREE + SPARE] = -1
+            edges[h, :DEGREE] = again
+            used[h] = (again >= 0).sum(1)
     return graph
