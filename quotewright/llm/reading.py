@@ -2,11 +2,12 @@
 
 Every sentence is classified by two regularised softmax models, one over words and one over the characters of its
 words, that share a score per word. A document's sentences give a mean distribution over the levels, weighted by
-their words, and a second regression calibrates them, by script, to the scale of the ratings. The calibration is fitted on
-sentences that the fold's models have not seen.
+their words, of its plain sentences, and an expected level of those that quote, cite, hold digits or are in another
+script, with the share of words in them. A second regression calibrates both, by script, to the scale of the ratings, and so learns what
+each says. It is fitted on sentences that the fold's models have not seen; the models learn from plain sentences.
 
-Fitted on at most `SAMPLE` rated documents of up to FIT_CHARS code points, chosen by a hash of the id (of a document
-rated twice, the mean of its ratings); every document is classified by all its sentences. Null and short texts (below `least_words` words between
+Fitted on at most `SAMPLE` rated documents of up to FIT_CHARS code points, FIT_TOTAL in all, chosen by a hash of the
+id (of a document rated twice, the mean of its ratings); every document is classified by all its sentences. Null and short texts (below `least_words` words between
 blanks) get no level; equal texts get equal levels; without any rating there is no scale and no row.
 """
 
@@ -25,8 +26,8 @@ from quotewright.llm.tokenize import chunks
 from quotewright.llm.words import word_slices
 from quotewright.runtime import ship_code
 
-#: Longest text (in code points) that models are fitted on; classified are texts of any length.
-FIT_CHARS = 20_000
+#: Longest text that models are fitted on, and most text in all (in code points); classified are texts of any length.
+FIT_CHARS, FIT_TOTAL = 20_000, 8_000_000
 #: Rated documents to fit on, weights of the character model, levels, folds, rounds and step of the fit, and the penalty.
 SAMPLE, GRAMS, LEVELS, FOLDS, ROUNDS, STEP, PENALTY = 4000, 1 << 15, 5, 2, 60, 0.3, 2e-4
 SIZES, LEAST = (2, 3, 4), 4
@@ -95,8 +96,8 @@ class Sentences:
         self.grams_in = np.maximum(1, np.bincount(self.gram_of, minlength=len(keys)))
 
     def _judge(self, part: np.ndarray, arabic: np.ndarray, marked: np.ndarray) -> None:
-        """own: which sentences speak for their text. Those with quotations, digits, words in another script or fewer
-        than LEAST words don't, unless the text has no other."""
+        """own: which sentences are plain. Those with quotations, digits, words in another script or fewer than LEAST
+        words aren't, unless the text has no other."""
         of = run_ids(self.size)
         in_arabic = np.bincount(of, arabic, len(self.begin))
         alien = np.where(self.arabic[self.text], in_arabic < self.size, in_arabic > 0)
@@ -170,8 +171,9 @@ class Model:
 
 
 def profile(models: list[tuple[Model, float]], s: Sentences, texts: int) -> np.ndarray:
-    """Features of each text: the arithmetic and the geometric mean of its sentences' distributions over the levels,
-    the mean score of its words, the expected level, the mean length of a sentence, and all again for Arabic script."""
+    """Features of each text: the arithmetic and the geometric mean of its plain sentences' distributions over the levels,
+    the mean score of their words, the expected level, the mean length of a sentence; the expected level of its other
+    sentences and their share of the words; and all again for Arabic script."""
     p = sum(m.levels(s) * w for m, w in models)
     size = s.size * s.own
     total, count = np.maximum(1e-9, np.bincount(s.text, size, texts))[:, None], np.maximum(1e-9, np.bincount(s.text, s.own, texts))[:, None]
@@ -181,7 +183,11 @@ def profile(models: list[tuple[Model, float]], s: Sentences, texts: int) -> np.n
     scores = np.zeros((0, LEVELS)) if not len(s.begin) else sum(np.add.reduceat(m.word_scores(s)[s.word], s.begin) * w for m, w in models)
     words = _sum_by(s.text, scores * s.own[:, None], texts) / total
     lengths = np.column_stack((np.log(total / count), _sum_by(s.text, (np.log(np.maximum(s.size, 1)) * s.own)[:, None], texts) / count))
-    base = np.column_stack((mean, logs, words, expected, expected**2, lengths, lengths**2, words * lengths[:, :1], np.ones(texts)))
+    marked = s.size * (1 - s.own)
+    in_marked = np.bincount(s.text, marked, texts)[:, None]
+    other = (_sum_by(s.text, p * marked[:, None], texts) / np.maximum(1, in_marked)) @ (np.arange(LEVELS) - 2)
+    share = in_marked / np.maximum(1, np.bincount(s.text, s.size, texts))[:, None]
+    base = np.column_stack((mean, logs, words, expected, expected**2, lengths, lengths**2, words * lengths[:, :1], other, share, np.ones(texts)))
     return np.column_stack((base, base * s.arabic[:, None]))
 
 
@@ -249,7 +255,9 @@ def reading_levels(documents: DataFrame, doc_id: str, text_col: str, ratings: Da
     docs = documents.select(F.col(doc_id).alias("doc_id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
     rated = ratings.where(F.col(level_col).between(1, LEVELS)).groupBy(F.col(rated_id).alias("doc_id")).agg(F.avg(level_col).alias("level"))
     fit_on = docs.where(F.length("text") <= FIT_CHARS).join(rated, "doc_id")
-    sample = fit_on.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(SAMPLE).orderBy("doc_id").select("text", "level").toArrow()
+    sample = fit_on.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(SAMPLE).select("doc_id", "text", "level", F.xxhash64("doc_id").alias("order"), F.length("text").cast("long").alias("signs")).toArrow()
+    sample = sample.sort_by([("order", "ascending"), ("doc_id", "ascending"), ("text", "ascending")])
+    sample = sample.slice(0, int((np.cumsum(sample["signs"].to_numpy()) <= FIT_TOTAL).sum())).sort_by("doc_id")
     schema = docs.select("doc_id").schema.add("reading_level", "integer")
     if not sample.num_rows:
         return spark.createDataFrame([], schema)
