@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quotewright.functions.normalize import normalize, tiers
+from quotewright.functions.normalize import tiers
 from quotewright.functions.text import full_text
 
 #: Separators of the fingerprint, and the names of representations.
@@ -59,11 +59,13 @@ def variants(records: DataFrame) -> DataFrame:
 
 def representations(records: DataFrame, variant_rows: DataFrame) -> DataFrame:
     """All texts by which a record may be found: primaries that may be scored, and every variant, with the record's
-    address. At most two for a record."""
-    address = ["kind", "surah", "ayah", "collection", "hadith_no"]
+    address and whether it opens a chapter with a prefix. At most two for a record."""
+    opens = (F.col("ayah") == 1) & F.col("bismillah").isNotNull() if "bismillah" in records.columns else F.lit(False)
+    rows = records.withColumn("opens", F.coalesce(opens, F.lit(False)))
+    address = ["kind", "surah", "ayah", "collection", "hadith_no", "opens"]
     columns = ["text_ar", "norm_light", "norm_standard", "norm_aggressive"]
-    primary = records.where(F.col("unscorable_reason").isNull()).select(F.col("id").alias("record_id"), F.lit(PRIMARY).alias("variant"), *address, *columns)
-    full = variant_rows.join(records.select(F.col("id").alias("record_id"), *address), "record_id").select("record_id", "variant", *address, *columns)
+    primary = rows.where(F.col("unscorable_reason").isNull()).select(F.col("id").alias("record_id"), F.lit(PRIMARY).alias("variant"), *address, *columns)
+    full = variant_rows.join(rows.select(F.col("id").alias("record_id"), *address), "record_id").select("record_id", "variant", *address, *columns)
     return primary.unionByName(full)
 
 
@@ -222,8 +224,3 @@ def pure_pointers(norms: DataFrame, anchors: list[str], scaffold: list[str], int
     words = F.split("text", " ")
     rows = norms.where(F.arrays_overlap(words, F.array(*map(F.lit, anchors))))
     return rows.select("id", content_mass(F.col("text"), [*scaffold, *anchors], introduces).alias("residue")).where(F.col("residue") <= max_residue).distinct()
-
-
-def normalized(column: str, tier: str) -> Column:
-    """A tier of a column."""
-    return normalize(F.col(column), tier)

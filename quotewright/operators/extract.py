@@ -1,5 +1,8 @@
 """Quotation spans and citations of texts, and the citation nearest to each span, in one pass over a text.
 
+A text is cut into tokens once: words, numbers, blanks and signs, with their offsets. Citations are shapes over tokens:
+a collection's name is walked down a tree of the words of all names, and what may follow it is read token by token.
+
 Offsets are code points, half open. A null or empty text has no spans; rows without an id are left out. What depends on the order of
 matches within one text stays in plain Python per text; texts are independent, so the pass needs no shuffle.
 """
@@ -11,32 +14,46 @@ import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quotewright.functions.spec import normalize
+from quotewright.functions.text import ARTICLES
 from quotewright.runtime import ship_code
 
-# Signs that open and close a quotation, how a bare run of Arabic looks, the least letters of either kind
-# of span, and the farthest a citation may stand from its quotation.
+# Signs that open and close a quotation, signs of a bare run of Arabic and its least length, the least letters
+# of either kind of span, and the farthest a citation may stand from its quotation.
 OPENERS, CLOSERS = "«“\"『【﴿", "»”\"』】﴾"
-ARABIC_RUN = "[؀-ۿ][؀-ۿ\\s]{6,}"
+ARABIC, SHORTEST_RUN = "\u0600-\u06ff", 7
 FLOORS = {"wrapped": 2, "arabic-run": 6}
 WINDOW = 180
-# Fixed values of citations: the longest distance of a qualifier, words that qualify a chapter name, articles, the least
-# letters of a name without article, words between a collection and its number, and a book before the number.
-NEARBY, LEAST_BARE = 24, 5
-QUALIFIERS = ["surahs", "surah", "suras", "sura", "surat", "sūrah", "chapters", "chapter", "qur'an", "qur’an", "quran", "q"]
-ARTICLES = ["adh", "ash", "al", "an", "ar", "as", "at", "az", "ad"]
-NUMBER_WORDS, BOOK_WORDS = ["hadith", "hadeeth", "no\\.?", "number", "#"], ["book", "kitab"]
-ARABIC_LEAD, ARABIC_NUMBER_WORDS = ["صحيح", "رواه"], ["حديث", "رقم"]
-COLON = "[:：]"
+# Fixed values of citations: the longest distance of a qualifier and of a name from another citation, the least letters of a
+# name without article, the longest number of a verse, words that qualify a chapter's name, words before a number, a book
+# before the number, and words before an Arabic name.
+NEARBY, LEAST_BARE, VERSE_DIGITS = 24, 5, 3
+QUALIFIERS = ("surahs", "surah", "suras", "sura", "surat", "sūrah", "chapters", "chapter", "qur'an", "qur’an", "quran", "q")
+NUMBER_WORDS, BOOK_WORDS = {"hadith", "hadeeth", "no", "number", "حديث", "رقم"}, {"book", "kitab"}
+ARABIC_LEADS = {"صحيح", "رواه"}
+COLONS = ":："
+
+
+class Token(NamedTuple):
+    """kind: `word`, `number`, `blank` or `sign`; a word is letters and marks that join them."""
+
+    kind: str
+    text: str
+    start: int
+    end: int
+
 
-_WRAPPED = re.compile(f"[{re.escape(OPENERS)}]([^{re.escape(CLOSERS)}]+)[{re.escape(CLOSERS)}]")
-_RUN = re.compile(ARABIC_RUN)
-_VERSE = re.compile(rf"\b(\d{{1,3}})\s*{COLON}\s*(\d{{1,3}})\b")
+_TOKENS = re.compile(r"(?P<number>\d+)|(?P<word>[^\W\d]+)|(?P<blank>\s+)|(?P<sign>.)", re.DOTALL)
+
+
+def tokens_of(text: str) -> list[Token]:
+    return [Token(m.lastgroup, m[0], m.start(), m.end()) for m in _TOKENS.finditer(text)]
 
 
 @dataclass(frozen=True)
@@ -52,26 +69,45 @@ def letters(text: str) -> int:
     return len(normalize(text, "aggressive").replace(" ", ""))
 
 
+def _wrapped(text: str) -> Iterator[tuple[int, int]]:
+    """What stands between a sign that opens and the next that closes; one that opens while another is open is text."""
+    opened = None
+    for i, sign in enumerate(text):
+        if opened is not None and sign in CLOSERS and i > opened:
+            yield opened, i
+            opened = None
+        elif opened is None or sign in CLOSERS:
+            opened = i + 1 if sign in OPENERS else None
+
+
+_RUNS = re.compile(rf"[{ARABIC}][{ARABIC}\s]*")
+
+
+def _bare(text: str) -> Iterator[tuple[int, int]]:
+    for m in _RUNS.finditer(text):
+        if len(m[0]) >= SHORTEST_RUN:
+            yield m.span()
+
+
 def spans(text: str) -> list[Span]:
     """Wrapped quotations and bare Arabic runs long enough to be one; of overlapping spans the first, wrapped before bare."""
-    found = []
-    for kind, pattern, group in (("wrapped", _WRAPPED, 1), ("arabic-run", _RUN, 0)):
-        for m in pattern.finditer(text):
-            inner = m[group]
-            plain = inner.strip()
-            start = m.start(group) + len(inner) - len(inner.lstrip())
-            if letters(plain) >= FLOORS[kind]:
-                found.append(Span(plain, start, start + len(plain), kind))
-    kept, reached = [], -1
-    for s in sorted(found, key=lambda s: (s.start, s.kind == "arabic-run")):
-        if s.start >= reached:
-            kept.append(s)
-            reached = s.end
-    return kept
+    offered = []
+    for rank, (kind, places) in enumerate({"wrapped": _wrapped(text), "arabic-run": _bare(text)}.items()):
+        for a, b in places:
+            inner = text[a:b].strip()
+            if letters(inner) >= FLOORS[kind]:
+                start = text.index(inner, a)
+                offered.append((start, rank, Span(inner, start, start + len(inner), kind)))
+    out: list[Span] = []
+    for _, _, s in sorted(offered, key=lambda o: o[:2]):
+        if not out or s.start >= out[-1].end:
+            out.append(s)
+    return out
 
 
 def slug(name: str) -> str:
-    return re.sub("[^a-z]", "", unicodedata.normalize("NFKD", name).encode("ascii", "ignore").decode().lower())
+    """The letters a to z of a name, accents taken off."""
+    return "".join(c for c in unicodedata.normalize("NFKD", name).lower() if "a" <= c <= "z")
 
 
 def spellings(name: str) -> list[str]:
@@ -96,6 +132,34 @@ class Citation:
     resolved: bool
 
 
+class _Reader:
+    """A place among the tokens of a text, and what may be read from there."""
+
+    def __init__(self, tokens: list[Token], at: int):
+        self.tokens, self.at = tokens, at
+
+    def peek(self, skip_blanks: bool = True) -> Token | None:
+        k = self.at
+        while skip_blanks and k < len(self.tokens) and self.tokens[k].kind == "blank":
+            k += 1
+        return self.tokens[k] if k < len(self.tokens) else None
+
+    def take(self, *kinds: str, of=None) -> Token | None:
+        """The next token after blanks, if it is of the kinds and, where `of` is given, satisfies it; else nothing moves."""
+        k = self.at
+        while k < len(self.tokens) and self.tokens[k].kind == "blank":
+            k += 1
+        if k < len(self.tokens) and self.tokens[k].kind in kinds and (of is None or of(self.tokens[k].text.lower())):
+            self.at = k + 1
+            return self.tokens[k]
+        return None
+
+
+def _touches(tokens: list[Token], k: int, step: int) -> bool:
+    """Whether a word or number stands directly beside token k."""
+    return 0 <= k + step < len(tokens) and tokens[k + step].kind in ("word", "number")
+
+
 @dataclass(frozen=True)
 class Grammar:
     """What citations may name, as data: Latin and Arabic names of collections, the largest number of each, chapters by
@@ -108,8 +172,19 @@ class Grammar:
     arabic: dict[str, str] = field(default_factory=dict)
 
     @cached_property
-    def by_slug(self) -> dict[str, str]:
-        return {slug(name): c for name, c in self.collections.items()}
+    def tree(self) -> dict:
+        """Names as paths of words; at the end of a path, under None, the collection. A Latin name may also be written as
+        one word."""
+        root: dict = {}
+        for names, latin in ((self.collections, True), (self.arabic, False)):
+            for name, collection in names.items():
+                words = [t.text.lower() if latin else t.text for t in tokens_of(name) if t.kind in ("word", "number")]
+                for path in [words, ["".join(words)]] if latin else [words]:
+                    node = root
+                    for w in path:
+                        node = node.setdefault(w, {})
+                    node.setdefault(None, collection)
+        return root
 
     @cached_property
     def chapter_by_slug(self) -> dict[str, int]:
@@ -119,76 +194,123 @@ class Grammar:
                 out.setdefault(s, number)
         return out
 
-    @cached_property
-    def patterns(self) -> list[re.Pattern]:
-        tail = rf"(?P<number>\d+)(?:\s*{COLON}\s*(?P<second>\d+))?"
-        loose = lambda n: r"[-\s]?".join(re.escape(w) for w in re.split(r"[-\s]+", n))
-        either = lambda names: "|".join(sorted(names, key=len, reverse=True))
-        out = []
-        if self.collections:
-            book = rf"(?P<book>(?:{'|'.join(BOOK_WORDS)})\s*\d+\s*,?\s*)?(?:(?:{'|'.join(NUMBER_WORDS)})\s*)?"
-            out.append(re.compile(rf"\b(?P<name>{either(map(loose, self.collections))})\b(?:\s*,)?\s*{book}{tail}", re.IGNORECASE))
-        if self.arabic:
-            names = either(re.escape(n).replace(r"\ ", r"\s+") for n in self.arabic)
-            out.append(re.compile(rf"\b(?:(?:{'|'.join(ARABIC_LEAD)})\s+)?(?P<name>{names})\b\s*(?:(?:{'|'.join(ARABIC_NUMBER_WORDS)})\s*)?{tail}"))
-        return out
-
-    @cached_property
-    def name_pattern(self) -> re.Pattern:
-        return re.compile(rf"\b(?:(?:{'|'.join(ARTICLES)})[-\s]?)?[A-Za-z]{{3,}}\b", re.IGNORECASE)
-
-    @cached_property
-    def qualifier(self) -> re.Pattern:
-        return re.compile(rf"\b(?:{'|'.join(map(re.escape, QUALIFIERS))})\s*$", re.IGNORECASE)
-
     def number(self, digits: str, collection: str) -> str | None:
         """The whole run as a number from 1 to the collection's largest."""
         plain = "".join(str(unicodedata.digit(d)) for d in digits).lstrip("0")
         largest = self.largest.get(collection, 0)
         return plain if plain and len(plain) <= len(str(largest)) and int(plain) <= largest else None
 
+    def _names(self, tokens: list[Token], k: int) -> list[tuple[str, int]]:
+        """(collection, token after the name) of the names that begin at token k, the longest first. Words of a name stand
+        apart by one hyphen or by blanks."""
+        if _touches(tokens, k, -1):
+            return []
+        found, node = [], self.tree
+        while k < len(tokens) and tokens[k].kind in ("word", "number"):
+            node = node.get(tokens[k].text.lower())
+            if node is None:
+                break
+            if None in node and not _touches(tokens, k, 1):
+                found.append((node[None], k + 1))
+            k += 1
+            if k < len(tokens) and (tokens[k].kind == "blank" or tokens[k].text == "-"):
+                k += 1
+        return found[::-1]
+
+    def _collection(self, tokens: list[Token], k: int) -> tuple[str, Token, bool, int] | None:
+        """(collection, number, whether a book or a second number makes it name nothing, token after) of a citation at k."""
+        for collection, after in self._names(tokens, k):
+            r = _Reader(tokens, after)
+            r.take("sign", of=lambda t: t == ",")
+            back = r.at
+            book = r.take("word", of=BOOK_WORDS.__contains__) and r.take("number")
+            if book:
+                r.take("sign", of=lambda t: t == ",")
+            else:
+                r.at = back
+            word = r.take("word", of=NUMBER_WORDS.__contains__)
+            if word is None:
+                r.take("sign", of=lambda t: t == "#")
+            elif word.text.lower() == "no":
+                r.take("sign", of=lambda t: t == ".")
+            number = r.take("number")
+            if number is None:
+                continue
+            back = r.at
+            second = r.take("sign", of=COLONS.__contains__) and r.take("number")
+            if not second:
+                r.at = back
+            return collection, number, bool(book or second), r.at
+        return None
+
+    def _verse(self, tokens: list[Token], k: int) -> tuple[int, int, int] | None:
+        """(chapter, verse, token after) of two short numbers with a colon between that begin at k."""
+        if len(tokens[k].text) > VERSE_DIGITS or _touches(tokens, k, -1):
+            return None
+        r = _Reader(tokens, k + 1)
+        second = r.take("sign", of=COLONS.__contains__) and r.take("number", of=lambda t: len(t) <= VERSE_DIGITS)
+        return (int(tokens[k].text), int(second.text), r.at) if second and not _touches(tokens, r.at - 1, 1) else None
+
+    def _chapter(self, tokens: list[Token], k: int) -> tuple[str, int]:
+        """(what may be a chapter's name, token after): a Latin word, or an article and the word that follows it at once or
+        after one sign."""
+        plain = lambda i: i < len(tokens) and tokens[i].kind == "word" and tokens[i].text.isascii() and tokens[i].text.isalpha() and len(tokens[i].text) >= 3 and not _touches(tokens, i, 1)
+        joint = k + 1 < len(tokens) and (tokens[k + 1].text == "-" or (tokens[k + 1].kind == "blank" and len(tokens[k + 1].text) == 1))
+        if tokens[k].text.lower() in ARTICLES and joint and plain(k + 2):
+            return "".join(t.text for t in tokens[k : k + 3]), k + 3
+        return (tokens[k].text, k + 1) if plain(k) else ("", k + 1)
+
     def citations(self, text: str) -> list[Citation]:
         """All that reads as a citation, in order. Collections claim their text first: what stands there is no verse, and a
         number within a book or a second number is recognised and names nothing. A chapter's name counts with an article
         or a qualifier before it, and not near a claimed citation."""
+        tokens = tokens_of(text)
         out: list[Citation] = []
-        for pattern in self.patterns:
-            for m in pattern.finditer(text):
-                parts = m.groupdict()
-                collection = self.arabic.get(" ".join(parts["name"].split())) or self.by_slug.get(slug(parts["name"]))
-                number = None if parts.get("book") or parts["second"] or collection is None else self.number(parts["number"], collection)
-                out.append(Citation("collection", None, None, collection, number, m[0], m.start(), m.end(), number is not None))
-        for m in _VERSE.finditer(text):
-            surah, ayah = int(m[1]), int(m[2])
-            if 1 <= ayah <= self.lengths.get(surah, 0) and not any(m.start() < c.end and c.start < m.end() for c in out):
-                out.append(Citation("verse", surah, ayah, None, None, m[0], m.start(), m.end(), True))
+
+        def add(family: str, first: int, after: int, resolved: bool = True, **address) -> None:
+            place = {"surah": None, "ayah": None, "collection": None, "number": None} | address
+            start, end = tokens[first].start, tokens[after - 1].end
+            out.append(Citation(family, **place, raw=text[start:end], start=start, end=end, resolved=resolved))
+
+        k = 0
+        while k < len(tokens):
+            read = self._collection(tokens, k) if tokens[k].kind in ("word", "number") else None
+            if read:
+                collection, digits, nothing, after = read
+                number = None if nothing else self.number(digits.text, collection)
+                led = k >= 2 and tokens[k - 1].kind == "blank" and tokens[k - 2].text in ARABIC_LEADS and not tokens[k].text.isascii()
+                add("collection", k - 2 if led else k, after, number is not None, collection=collection, number=number)
+                k = after
+            else:
+                k += 1
+        taken = [(c.start, c.end) for c in out]
+        k = 0
+        while k < len(tokens):
+            read = self._verse(tokens, k) if tokens[k].kind == "number" else None
+            k_after = read[2] if read else k + 1
+            if read and 1 <= read[1] <= self.lengths.get(read[0], 0) and not any(tokens[k].start < b and a < tokens[k_after - 1].end for a, b in taken):
+                add("verse", k, k_after, surah=read[0], ayah=read[1])
+            k = k_after
         claimed = [c.start for c in out]
-        for m in self.name_pattern.finditer(text) if self.chapters else ():
-            name = slug(m[0])
-            number = self.chapter_by_slug.get(name)
-            with_article = any(name.startswith(a) and len(name) > len(a) for a in ARTICLES)
-            if number is None or (not with_article and len(name) < LEAST_BARE) or any(abs(m.start() - c) < NEARBY for c in claimed):
+        k = 0 if self.chapters else len(tokens)
+        while k < len(tokens):
+            if tokens[k].kind != "word" or _touches(tokens, k, -1):
+                k += 1
                 continue
-            if with_article or self.qualifier.search(text[max(0, m.start() - NEARBY) : m.start()]):
-                out.append(Citation("verse", number, None, None, None, m[0], m.start(), m.end(), True))
+            name, after = self._chapter(tokens, k)
+            known, start = slug(name), tokens[k].start
+            number = self.chapter_by_slug.get(known)
+            marked = any(known.startswith(a) and len(known) > len(a) for a in ARTICLES)
+            if number is not None and (marked or (len(known) >= LEAST_BARE and qualified(text, start))) and all(abs(start - c) >= NEARBY for c in claimed):
+                add("verse", k, after, surah=number)
+            k = after
         return sorted(out, key=lambda c: (c.start, c.end))
 
 
-#: Names of the six well-known collections and the largest number of each in the editions supported.
-STANDARD_COLLECTIONS = {
-    "bukhari": "bukhari", "al-bukhari": "bukhari", "sahih bukhari": "bukhari", "sahih al-bukhari": "bukhari",
-    "muslim": "muslim", "sahih muslim": "muslim",
-    "abu dawud": "abudawud", "abi dawud": "abudawud", "sunan abi dawud": "abudawud", "sunan abu dawud": "abudawud",
-    "tirmidhi": "tirmidhi", "al-tirmidhi": "tirmidhi", "at-tirmidhi": "tirmidhi", "jami tirmidhi": "tirmidhi", "jami at-tirmidhi": "tirmidhi", "sunan tirmidhi": "tirmidhi",
-    "nasai": "nasai", "al-nasai": "nasai", "an-nasai": "nasai", "sunan nasai": "nasai", "sunan an-nasai": "nasai",
-    "ibn majah": "ibnmajah", "ibn maja": "ibnmajah", "sunan ibn majah": "ibnmajah", "sunan ibn maja": "ibnmajah",
-}
-STANDARD_ARABIC = {
-    "البخاري": "bukhari", "بخاري": "bukhari", "مسلم": "muslim", "أبو داود": "abudawud", "أبي داود": "abudawud", "سنن أبي داود": "abudawud",
-    "الترمذي": "tirmidhi", "جامع الترمذي": "tirmidhi", "سنن الترمذي": "tirmidhi", "النسائي": "nasai", "سنن النسائي": "nasai",
-    "ابن ماجه": "ibnmajah", "ابن ماجة": "ibnmajah", "سنن ابن ماجه": "ibnmajah",
-}
-STANDARD_LARGEST = {"bukhari": 7124, "muslim": 3033, "abudawud": 5274, "tirmidhi": 3956, "nasai": 5758, "ibnmajah": 4341}
+def qualified(text: str, start: int) -> bool:
+    """Whether a word that announces a chapter stands right before `start`."""
+    before = text[max(0, start - NEARBY) : start].rstrip().lower()
+    return any(before.endswith(q) and not (before[: -len(q)][-1:].isalnum() or before[: -len(q)].endswith("_")) for q in QUALIFIERS)
 
 
 def only_citation(span: Span, found: list[Citation]) -> bool:
@@ -203,14 +325,8 @@ def only_citation(span: Span, found: list[Citation]) -> bool:
 def nearest(found: list[Citation], span: Span) -> Citation | None:
     """The resolved citation whose start is nearest to either end of a span, within WINDOW; the start's on a tie, and of
     two equally near the earlier."""
-    best = None
-    for edge in (span.start, span.end):
-        for c in found:
-            away = abs(c.start - edge)
-            if c.resolved and away <= WINDOW and (best is None or away < best[0]):
-                best = (away, c)
-        # the second edge must be strictly nearer
-    return best[1] if best else None
+    near = [(abs(c.start - edge), side, n) for side, edge in enumerate((span.start, span.end)) for n, c in enumerate(found) if c.resolved and abs(c.start - edge) <= WINDOW]
+    return found[min(near)[2]] if near else None
 
 
 QUOTATIONS = "doc_id {id}, span_no int, quoted string, span_start int, span_end int, span_kind string, cited_family string, cited_surah int, cited_ayah int, cited_collection string, cited_number string, cited_raw string"

@@ -2,32 +2,38 @@
 
 A quotation's row: span_id, quoted, and cited_family, cited_surah, cited_ayah, cited_collection, cited_number of the
 citation near it, or nulls. Representations come from `corpus.representations`. Each stage gets what the one before
-left over, by anti join. No stage gathers the records that tie in one row: the selected record is an aggregate, and
-the others come as rows of `also_at`.
+left over, by anti join.
+
+The records that tie for a text are rows of a table (`HELD`): text, record_id, kind, surah, ayah, collection,
+hadith_no, opens, variant, score. A span selects among them by two lookups: the record at the address that it cites, or
+else the first of the cited kind; so a text that many records share and many spans quote is no product of both.
 """
 
 from __future__ import annotations
 
 import difflib
-from collections.abc import Iterator
+from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quotewright.functions import spec
-from quotewright.functions.normalize import normalize, tiers
+from quotewright.functions.normalize import SPACES, nfc, tiers
 from quotewright.functions.similarity import may_reach, ratio
 from quotewright.functions.text import search_tokens
 from quotewright.operators import search
 from quotewright.operators.reach import may_resemble
 from quotewright.runtime import ship_code, written
 
-#: The verdict of each tier, candidates of a quotation, the least similarity of a near match, tasks of a hot text.
+#: The verdict of each tier, candidates of a quotation, the least similarity of a near match, and by how
+#: much a quoted prefix may be longer than the stored one.
 VERDICTS = {"light": "EXACT", "standard": "EXACT_ORTHOGRAPHY", "aggressive": "NEAR_MATCH"}
-CANDIDATES, NEAR, SALTS = 50, 0.86, 16
+CANDIDATES, NEAR, PREFIX_SLACK = 50, 0.86, 15
 CITED = ["cited_family", "cited_surah", "cited_ayah", "cited_collection", "cited_number"]
-RESULT = ["span_id", "verdict", "tier", "record_id", "score", "ties"]
+ADDRESS = ["kind", "surah", "ayah", "collection", "hadith_no"]
+HELD = ["text", "record_id", *ADDRESS, "opens", "variant", "score"]
+RESULT = ["span_id", "verdict", "tier", "record_id", "score", "ties", "variant", "asked"]
+NOTHING = "\x00"
 
 
 def conflicts(kind: Column, surah: Column, ayah: Column, collection: Column, number: Column) -> Column:
@@ -37,33 +43,58 @@ def conflicts(kind: Column, surah: Column, ayah: Column, collection: Column, num
     return F.when(F.col("cited_family").isNull(), False).when(F.col("cited_family") == "verse", verse).otherwise(placed)
 
 
-def other_kind(kind: Column) -> Column:
-    """Whether a citation names the other kind of record."""
-    return F.col("cited_family").isNotNull() & ((F.col("cited_family") == "verse") != (kind == "ayah"))
+def _key(family: str, *parts: str) -> Column:
+    """An address as one string; a null part is a part of its own."""
+    return F.concat_ws("\x1f", F.lit(family), *[F.coalesce(F.col(p).cast("string"), F.lit(NOTHING)) for p in parts])
+
+
+def choose(spans: DataFrame, held: DataFrame, among: str | None = None) -> DataFrame:
+    """span_id, asked, record_id, variant, score, ties, conflict of every span whose text has records in `held`.
+
+    spans: span_id, asked (its text) and CITED. The record is the one at the cited address, else the first of the cited
+    kind, else the first, by address and id. `among` names a flag that the chosen record must have; ties counts all.
+    """
+    verse = F.col("kind") == "ayah"
+    place = F.struct(F.coalesce("surah", F.lit(0)).alias("s"), F.coalesce("ayah", F.lit(0)).alias("a"), "record_id", "variant")
+    once = held.groupBy("text", "record_id", *ADDRESS).agg(F.max(F.coalesce("opens", F.lit(False))).alias("opens"), F.min("variant").alias("variant"), F.max("score").alias("score"))
+    allowed = F.lit(True) if among is None else F.col(among)
+    per = once.groupBy("text").agg(F.min(F.when(allowed & verse, place)).alias("verse"), F.min(F.when(allowed & ~verse, place)).alias("placed"), F.count_distinct("record_id").alias("ties"), F.max("score").alias("score"))
+    keys = F.when(verse, F.array(_key("v", "surah", "ayah"), _key("v", "surah"))).otherwise(F.array(_key("c", "collection", "hadith_no")))
+    named = once.where(allowed).select("text", F.explode(keys).alias("key"), place.alias("place")).groupBy("text", "key").agg(F.min("place").alias("agreed"))
+    cites = F.when(F.col("cited_family") == "verse", F.when(F.col("cited_ayah").isNull(), _key("v", "cited_surah")).otherwise(_key("v", "cited_surah", "cited_ayah"))).when(F.col("cited_family").isNotNull(), _key("c", "cited_collection", "cited_number"))
+    asked = spans.select("span_id", F.col("asked").alias("text"), "cited_family", F.coalesce(cites, F.lit(NOTHING)).alias("key"))
+    rows = asked.join(per, "text").join(named, ["text", "key"], "left")
+    first = F.when(F.col("cited_family").isNull(), F.least("verse", "placed")).when(F.col("cited_family") == "verse", F.coalesce("verse", "placed")).otherwise(F.coalesce("placed", "verse"))
+    rows = rows.withColumn("chosen", F.coalesce("agreed", first)).where("chosen is not null")
+    return rows.select("span_id", F.col("text").alias("asked"), "chosen.record_id", "chosen.variant", "score", "ties", (F.col("cited_family").isNotNull() & F.col("agreed").isNull()).alias("conflict"))
+
+
+def _result(chosen: DataFrame, tier: str) -> DataFrame:
+    """RESULT of chosen records. A wrong citation is reported only at the tiers that fold nothing a reader would see."""
+    verdict = F.lit(VERDICTS[tier]) if tier == "aggressive" else F.when(F.col("conflict"), "WRONG_REFERENCE").otherwise(VERDICTS[tier])
+    score = F.floor(F.col("score") * 10000 + 0.5) / 10000
+    return chosen.select("span_id", verdict.alias("verdict"), F.lit(tier).alias("tier"), "record_id", score.alias("score"), F.col("ties").cast("long").alias("ties"), "variant", "asked")
+
+
+def _missed(spans: DataFrame, score: Column | None = None) -> DataFrame:
+    null = lambda t: F.lit(None).cast(t)
+    values = {"verdict": F.lit("NOT_FOUND"), "tier": null("string"), "record_id": null("string"), "score": null("double") if score is None else score, "ties": F.lit(0).cast("long"), "variant": null("string"), "asked": null("string")}
+    return spans.select("span_id", *[v.alias(c) for c, v in values.items()])
 
 
-def _order() -> Column:
-    """The order in which a record is chosen: not in conflict, else of the cited kind, else by address."""
-    return F.struct(
-        conflicts(*[F.col(c) for c in ("kind", "surah", "ayah", "collection", "hadith_no")]).alias("conflict"),
-        other_kind(F.col("kind")).alias("other"),
-        F.coalesce("surah", F.lit(0)).alias("s"),
-        F.coalesce("ayah", F.lit(0)).alias("a"),
-        F.col("record_id"),
-        F.col("kind").alias("record_kind"),
-    )
+def _at(spans: DataFrame, tier: str) -> DataFrame:
+    return spans.where(F.col(f"norm_{tier}") != "").select("span_id", F.col(f"norm_{tier}").alias("asked"), *CITED)
+
+
+def held_at(reps: DataFrame, tier: str) -> DataFrame:
+    """The representations' records by their text at a tier."""
+    opens = F.col("opens") if "opens" in reps.columns else F.lit(False)
+    return reps.where(F.col(f"norm_{tier}") != "").select(F.col(f"norm_{tier}").alias("text"), "record_id", *ADDRESS, opens.alias("opens"), "variant", F.lit(1.0).alias("score"))
 
 
 def exact(spans: DataFrame, reps: DataFrame, tier: str) -> DataFrame:
-    """span_id, verdict, tier, record_id, score, ties of spans whose text at the tier is a representation's whole text.
-    spans: with norm_light and norm_standard. A wrong citation is reported only here."""
-    norm = f"norm_{tier}"
-    asked = spans.where(F.col(norm) != "").select("span_id", norm, *CITED)
-    # a text that many records share is one row by address, so copies join once each
-    held = reps.select(norm, "record_id", "kind", "surah", "ayah", "collection", "hadith_no").where(F.col(norm) != "").distinct()
-    found = asked.join(held, norm).groupBy("span_id", "cited_family").agg(F.min(_order()).alias("first"), F.count_distinct("record_id").alias("ties"))
-    wrong = F.col("cited_family").isNotNull() & F.col("first.conflict")
-    return found.select("span_id", F.when(wrong, "WRONG_REFERENCE").otherwise(VERDICTS[tier]).alias("verdict"), F.lit(tier).alias("tier"), F.col("first.record_id").alias("record_id"), F.lit(1.0).alias("score"), F.col("ties").cast("long").alias("ties"))
+    """RESULT of spans whose text at the tier is a representation's whole text. spans: with norm_light and norm_standard."""
+    return _result(choose(_at(spans, tier), held_at(reps, tier)), tier)
 
 
 def exact_cascade(spans: DataFrame, reps: DataFrame) -> DataFrame:
@@ -72,101 +103,136 @@ def exact_cascade(spans: DataFrame, reps: DataFrame) -> DataFrame:
     return light.unionByName(exact(spans.join(light, "span_id", "left_anti"), reps, "standard"))
 
 
-def also_at(found: DataFrame, spans: DataFrame, reps: DataFrame) -> DataFrame:
-    """span_id, record_id of the other records that tie with the one selected, for exact matches."""
-    out = None
-    for tier in ("light", "standard"):
-        norm = f"norm_{tier}"
-        mine = found.where(F.col("tier") == tier).select("span_id", F.col("record_id").alias("selected")).join(spans.select("span_id", norm), "span_id")
-        part = mine.join(reps.select(norm, "record_id").distinct(), norm).where(F.col("record_id") != F.col("selected")).select("span_id", "record_id").distinct()
-        out = part if out is None else out.unionByName(part)
-    return out
+def also_at(found: DataFrame, held: dict[str, DataFrame]) -> DataFrame:
+    """span_id, record_id of the other records that tie with the one selected, whatever the tier. held: by tier."""
+    parts = []
+    for tier, ties in held.items():
+        mine = found.where((F.col("tier") == tier) & (F.col("ties") > 1)).select("span_id", F.col("record_id").alias("selected"), F.col("asked").alias("text"))
+        parts.append(mine.join(ties.select("text", "record_id").distinct(), "text").where(F.col("record_id") != F.col("selected")).select("span_id", "record_id"))
+    return reduce(DataFrame.unionByName, parts).distinct()
 
 
-def candidates(spans: DataFrame, reps: DataFrame, k: int = CANDIDATES) -> DataFrame:
-    """span_id, rep_no, score, rank: representations that share words with a span's aggressive text, the k best by BM25."""
-    texts = reps.select(F.concat_ws("\x1f", "record_id", "variant").alias("doc_id"), "norm_standard", "norm_aggressive")
+def candidates(texts: DataFrame, reps: DataFrame, k: int = CANDIDATES) -> DataFrame:
+    """text, doc_id, score, rank: representations that share words with a text (at the aggressive tier), the k best by BM25."""
+    held = reps.select(F.concat_ws("\x1f", "record_id", "variant").alias("doc_id"), "norm_standard", "norm_aggressive")
     columns = ["norm_standard", "norm_aggressive"]
-    queries = spans.select(F.col("span_id").alias("query_id"), search_tokens(F.col("norm_aggressive")).alias("tokens"))
-    return search.bm25(search.postings(texts, columns), search.lengths_of(texts, columns), queries, k).withColumnRenamed("query_id", "span_id")
-
-
-def fuzzy(spans: DataFrame, reps: DataFrame) -> DataFrame:
-    """NEAR_MATCH or NOT_FOUND of each span: of its candidates the most similar record, by its best representation.
-    The score is kept for near matches only: pairs whose lengths alone rule one out aren't measured."""
-    address = ["record_id", "kind", "surah", "ayah", "collection", "hadith_no"]
-    # only texts that some representation resembles closely enough, rounding included, are ranked: each text once
-    texts = written(may_resemble(spans.select(F.col("norm_aggressive").alias("text")), reps.select(F.col("norm_aggressive").alias("text")), NEAR - 0.00005), "close")
-    near = written(candidates(texts.select(F.col("text").alias("span_id"), F.col("text").alias("norm_aggressive")), reps), "candidates").withColumnRenamed("span_id", "text")
-    pairs = near.join(reps.select(F.concat_ws("\x1f", "record_id", "variant").alias("doc_id"), *address, F.col("norm_aggressive").alias("held")), "doc_id")
-    close = pairs.where(may_reach(F.col("text"), F.col("held"), NEAR))
-    scored = close.withColumn("score", F.floor(ratio(F.col("text"), F.col("held")) * 10000 + 0.5) / 10000).where(F.col("score") >= NEAR)
-    best = scored.groupBy("text", *address).agg(F.max("score").alias("score"))
-    top = best.withColumn("rank", F.rank().over(Window.partitionBy("text").orderBy(F.desc("score")))).where("rank = 1")
-    # a text that many spans quote is spread over tasks
-    salts = top.select(F.col("text").alias("norm_aggressive"), *address, "score", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    asked = spans.select("span_id", "norm_aggressive", *CITED, F.pmod(F.xxhash64("span_id"), F.lit(SALTS)).cast("int").alias("salt"))
-    found = asked.join(salts, ["norm_aggressive", "salt"]).groupBy("span_id").agg(F.min(_order()).alias("first"), F.max("score").alias("score"), F.count("*").alias("ties"))
-    found = written(found.select("span_id", F.lit("NEAR_MATCH").alias("verdict"), F.lit("aggressive").alias("tier"), F.col("first.record_id").alias("record_id"), "score", "ties"), "near")
-    rest = spans.join(found, "span_id", "left_anti").select("span_id", F.lit("NOT_FOUND").alias("verdict"), F.lit(None).cast("string").alias("tier"), F.lit(None).cast("string").alias("record_id"), F.lit(None).cast("double").alias("score"), F.lit(0).cast("long").alias("ties"))
-    return found.unionByName(rest)
-
-
-def strip_prefix(spans: DataFrame, prefix: str) -> DataFrame:
-    """span_id, and CITED, of spans that begin with `prefix` at the standard tier, with the rest as quoted and its tiers."""
-    target, most = spec.normalize(prefix, "standard"), len(prefix) + 15
-    ship_code(spans.sparkSession)
-
-    def cut(text: str) -> str | None:
-        best = None
-        for k in range(1, min(len(text), most) + 1):
-            if spec.normalize(text[:k], "standard") == target:
-                best = k
-            elif best is not None:
+    queries = texts.select(F.col("text").alias("query_id"), search_tokens(F.col("text")).alias("tokens"))
+    return search.bm25(search.postings(held, columns), search.lengths_of(held, columns), queries, k).withColumnRenamed("query_id", "text")
+
+
+def nearest(texts: DataFrame, reps: DataFrame, score_misses: bool) -> tuple[DataFrame, DataFrame]:
+    """(HELD of the records that tie for a near match of each text; text, score of the best candidate of the others).
+
+    Each distinct text once. Without `score_misses` an exact filter first drops texts that no representation resembles
+    closely enough; the near matches are the same, and the second table is empty.
+    """
+    texts = texts.where(F.col("text") != "").select("text").distinct()
+    if not score_misses:
+        texts = may_resemble(texts, reps.select(F.col("norm_aggressive").alias("text")), NEAR)
+    texts = written(texts, "close")
+    opens = F.col("opens") if "opens" in reps.columns else F.lit(False)
+    ranked = written(candidates(texts, reps), "candidates")
+    pairs = ranked.select("text", "doc_id", "rank").join(reps.select(F.concat_ws("\x1f", "record_id", "variant").alias("doc_id"), "record_id", *ADDRESS, opens.alias("opens"), "variant", F.col("norm_aggressive").alias("held")), "doc_id")
+    if not score_misses:
+        pairs = pairs.where(may_reach(F.col("text"), F.col("held"), NEAR))
+    scored = pairs.withColumn("score", ratio(F.col("text"), F.col("held")))
+    # a record counts by its best representation, of equal ones the better ranked
+    best = scored.groupBy("text", "record_id", *ADDRESS, "opens").agg(F.max(F.struct("score", (-F.col("rank")).alias("up"), "variant")).alias("b")).select("text", "record_id", *ADDRESS, "opens", "b.variant", "b.score")
+    top = written(best.withColumn("place", F.rank().over(Window.partitionBy("text").orderBy(F.desc("score")))).where("place = 1").drop("place"), "nearest")
+    return top.where(F.col("score") >= NEAR).select(*HELD), top.where(F.col("score") < NEAR).groupBy("text").agg(F.max("score").alias("score"))
+
+
+def fuzzy(spans: DataFrame, reps: DataFrame, score_misses: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(RESULT of each span: NEAR_MATCH, or NOT_FOUND with the best candidate's score where misses are scored; HELD)."""
+    held, missed = nearest(spans.select(F.col("norm_aggressive").alias("text")), reps, score_misses)
+    found = written(_result(choose(_at(spans, "aggressive"), held), "aggressive"), "near")
+    rest = spans.join(found, "span_id", "left_anti")
+    if score_misses:
+        rest = rest.join(missed.select(F.col("text").alias("norm_aggressive"), "score"), "norm_aggressive", "left")
+        return found.unionByName(_missed(rest, F.floor(F.coalesce("score", F.lit(0.0)) * 10000 + 0.5) / 10000)), held
+    return found.unionByName(_missed(rest)), held
+
+
+def _loose(target: str) -> str:
+    """A regular expression for texts in NFC whose standard form is `target`: alefs in any form, and marks and kashidas
+    anywhere."""
+    marks = "[" + spec.KASHIDA + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in spec.MARKS) + "]*"
+    alefs = f"[{spec.ALEFS[1][0]}{spec.ALEFS[0]}]"
+    signs = [SPACES if c == " " else alefs if c == spec.ALEFS[1][0] else f"\\x{{{ord(c):x}}}" for c in target]
+    return marks + marks.join(signs) + marks
+
+
+def strip_prefix(spans: DataFrame, prefixes: list[str]) -> DataFrame:
+    """span_id, CITED, quoted and its tiers of spans that begin with one of `prefixes` at the standard tier, less that
+    prefix. A span that is nothing else, or that writes the prefix much longer than it is stored, is left out."""
+    wanted = {spec.normalize(p, "standard"): len(p) for p in sorted(prefixes, key=len)}
+    rest: Column | None = None
+    text = F.regexp_replace(nfc(F.col("quoted")), f"^{SPACES}", "")
+    for target in sorted((t for t in wanted if t), key=len, reverse=True):
+        pattern = f"^{_loose(target)}"
+        cut = F.regexp_replace(text, pattern, "")
+        fits = text.rlike(pattern) & (F.length(text) - F.length(cut) <= wanted[target] + PREFIX_SLACK)
+        rest = F.when(fits, cut) if rest is None else rest.when(fits, cut)
+    rest = F.regexp_replace(F.lit(None).cast("string") if rest is None else rest, f"^{SPACES}", "")
+    return tiers(spans.select("span_id", rest.alias("quoted"), *CITED).where("quoted <> ''"), "quoted")
+
+
+def prefixes_of(records: DataFrame) -> list[str]:
+    """The prefixes that records carry, as stored, one for each standard form; the driver holds one row a form."""
+    if "bismillah" not in records.columns:
+        return []
+    known = records.where(F.col("bismillah").isNotNull()).groupBy("bismillah").count()
+    by_form = tiers(known, "bismillah").groupBy("norm_standard").agg(F.max(F.struct(F.length("bismillah").alias("n"), "bismillah")).alias("b"))
+    return [r[0] for r in by_form.select("b.bismillah").orderBy("bismillah").collect()]
+
+
+def prefix_retry(spans: DataFrame, reps: DataFrame, prefixes: list[str], with_fuzzy: bool = True) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """(RESULT of spans that match without a corpus prefix, HELD by tier).
+
+    The text left is matched against the whole corpus, tier by tier, as any quotation is. The match is taken only if the
+    first record of a chapter that has the prefix is among the records that tie for it; then one of those is selected,
+    and the others remain ties. Where none is, the span is left as it was.
+    """
+    stripped = written(strip_prefix(spans, prefixes), "stripped")
+    rest, found, held = stripped, None, {}
+    for tier in ("light", "standard", "aggressive"):
+        if tier == "aggressive":
+            if not with_fuzzy or rest.isEmpty():
                 break
-        return (text[best:].lstrip() or None) if best else None
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at = b.schema.names.index("quoted")
-            columns = list(b.columns)
-            columns[at] = pa.array([cut(t) for t in b.column(at).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names=b.schema.names)
-
-    rows = spans.where(F.startswith("norm_standard", F.lit(target))).select("span_id", "quoted", *CITED)
-    return tiers(rows.mapInArrow(run, rows.schema).where("quoted is not null"), "quoted") if target else tiers(rows.limit(0), "quoted")
-
-
-def prefix_retry(spans: DataFrame, reps: DataFrame, records: DataFrame, with_fuzzy: bool) -> DataFrame:
-    """Matches of spans without a corpus prefix, taken if the record is the first of its chapter and has that prefix."""
-    known = records.where(F.col("bismillah").isNotNull())
-    first = known.select("bismillah").limit(1).collect()
-    if not first:
-        return spans.select("span_id", *[F.lit(None).cast(t).alias(c) for c, t in zip(RESULT[1:], ("string", "string", "string", "double", "long"))]).limit(0)
-    stripped = written(strip_prefix(spans, first[0][0]), "stripped")
-    may = reps.join(known.where("ayah = 1").select(F.col("id").alias("record_id")).distinct(), "record_id", "left_semi")
-    found = exact_cascade(stripped, may)
-    if with_fuzzy and not stripped.isEmpty():
-        found = written(found, "exact")
-        near = fuzzy(stripped.join(found, "span_id", "left_anti"), may)
-        found = found.unionByName(near.where("record_id is not null"))
-    return found
+            held[tier] = nearest(rest.select(F.col("norm_aggressive").alias("text")), reps, False)[0]
+        else:
+            held[tier] = held_at(reps, tier)
+        asked = _at(rest, tier)
+        taken = _result(choose(asked, held[tier], "opens"), tier)
+        found = taken if found is None else found.unionByName(taken)
+        matched = asked.join(held[tier].select(F.col("text").alias("asked")).distinct(), "asked", "left_semi").select("span_id")
+        rest = written(rest.join(matched, "span_id", "left_anti"), "rest")
+    return found, held
 
 
 def containing(needles: DataFrame, texts: DataFrame) -> DataFrame:
-    """needle_id, text_id: texts that contain a needle as a raw substring. needles: needle_id, needle; texts: text_id, text.
+    """needle_id, text_id: texts that contain a needle, of two code points or more, as a raw substring. needles: needle_id,
+    needle; texts: text_id, text.
 
-    No pair is compared that doesn't share the needle's first 6 code points (2 for a shorter needle) somewhere; those of
-    the texts are distinct hashes, so the join is an equi join.
+    A needle is looked up by the rarest of its runs of 6 code points (2 for a shorter needle) among the texts; runs are
+    counted for the needles' runs only, and a needle with a run that no text has is dropped before any text is compared.
     """
-    grams = lambda n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("text") - n + 1), lambda i: F.xxhash64(F.substr("text", i, F.lit(n)))))
+    grams = lambda c, n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.xxhash64(F.substr(c, i, F.lit(n)))))
     wide = texts.where(F.length("text") >= 2).select("text_id", "text").distinct()
-    short = wide.select("text_id", F.explode(grams(2)).alias("g"))
-    long_ = wide.where(F.length("text") >= 6).select("text_id", F.explode(grams(6)).alias("g"))
-    asked = needles.where(F.length("needle") >= 2).select("needle_id", "needle").distinct()
-    key = F.when(F.length("needle") >= 6, F.xxhash64(F.substr("needle", F.lit(1), F.lit(6)))).otherwise(F.xxhash64(F.substr("needle", F.lit(1), F.lit(2))))
-    hits = asked.withColumn("g", key).join(short.unionByName(long_).distinct(), "g").join(wide, "text_id")
-    return hits.where(F.contains("text", "needle")).select("needle_id", "text_id").distinct()
+    asked = written(needles.where(F.length("needle") >= 2).select("needle_id", "needle").distinct(), "needles")
+    once = asked.select("needle").distinct()
+    out = None
+    for n, mine in ((6, F.length("needle") >= 6), (2, F.length("needle") < 6)):
+        if n == 2 and out is not None and once.where(mine).isEmpty():
+            break
+        wanted = once.where(mine).select("needle", F.explode(grams(F.col("needle"), n)).alias("g"))
+        there = wide.where(F.length("text") >= n).select("text_id", F.explode(grams(F.col("text"), n)).alias("g"))
+        there = written(there.join(wanted.select("g").distinct(), "g", "left_semi"), "runs")
+        counts = there.groupBy("g").agg(F.count("*").alias("n"))
+        rarest = wanted.join(counts, "g", "left").groupBy("needle").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g")).alias("r")).where("r.n > 0").select("needle", F.col("r.g").alias("g"))
+        hits = rarest.join(there, "g").join(wide, "text_id").where(F.contains("text", "needle")).select("needle", "text_id")
+        out = hits if out is None else out.unionByName(hits)
+    return asked.join(out, "needle").select("needle_id", "text_id").distinct()
 
 
 def contained(found: DataFrame, spans: DataFrame, records: DataFrame) -> DataFrame:
@@ -175,53 +241,79 @@ def contained(found: DataFrame, spans: DataFrame, records: DataFrame) -> DataFra
     kinds = records.select(F.col("id").alias("record_id"), "kind").distinct()
     asked = found.where("record_id is not null").select("span_id", "record_id").join(kinds, "record_id").where("kind = 'hadith'").select("span_id")
     asked = spans.join(asked, "span_id", "left_semi")
-    verses = records.where("kind = 'ayah' and norm_aggressive is not null").select("id", "kind", "surah", "ayah", "collection", "hadith_no", "norm_standard", "norm_aggressive").distinct()
+    verses = records.where("kind = 'ayah' and norm_aggressive is not null").select("id", *ADDRESS, "norm_standard", "norm_aggressive").distinct()
     near = containing(asked.select(F.col("span_id").alias("needle_id"), F.col("norm_aggressive").alias("needle")), verses.select(F.col("id").alias("text_id"), F.col("norm_aggressive").alias("text")))
     rows = near.join(asked.select(F.col("span_id").alias("needle_id"), F.col("norm_standard").alias("asked"), *CITED), "needle_id").join(verses, near["text_id"] == verses["id"])
-    agrees = F.col("cited_family").isNotNull() & ~conflicts(*[F.col(c) for c in ("kind", "surah", "ayah", "collection", "hadith_no")])
+    agrees = F.col("cited_family").isNotNull() & ~conflicts(*[F.col(c) for c in ADDRESS])
     return rows.select(F.col("needle_id").alias("span_id"), F.col("id").alias("record_id"), ((F.col("asked") != "") & F.contains("norm_standard", "asked")).alias("at_standard"), agrees.alias("agrees"))
 
 
 def withhold(found: DataFrame, inside: DataFrame) -> DataFrame:
     """found, where a match is withheld as NOT_FOUND if the citation names a verse that contains the span, with the number
-    of verses to disclose."""
+    of verses to disclose. Columns beside span_id, verdict and ties become null where a match is withheld."""
     per = inside.groupBy("span_id").agg(F.max("agrees").alias("agrees"), F.sum(F.col("at_standard").cast("long")).alias("contained_in"))
     rows = found.join(per, "span_id", "left").withColumn("held_back", F.coalesce("agrees", F.lit(False)))
-    keep = lambda c: F.when(~F.col("held_back"), F.col(c)).alias(c)
-    return rows.select("span_id", F.when(F.col("held_back"), "NOT_FOUND").otherwise(F.col("verdict")).alias("verdict"), keep("tier"), keep("record_id"), keep("score"), F.when(F.col("held_back"), 0).otherwise(F.col("ties")).alias("ties"), F.coalesce("contained_in", F.lit(0)).cast("long").alias("contained_in"))
+    kept = {c: F.when(~F.col("held_back"), F.col(c)) for c in found.columns}
+    kept |= {"span_id": F.col("span_id"), "verdict": F.when(F.col("held_back"), "NOT_FOUND").otherwise(F.col("verdict")), "ties": F.when(F.col("held_back"), 0).otherwise(F.col("ties"))}
+    if "score" in kept:
+        kept["score"] = F.when(F.col("held_back"), 0.0).otherwise(F.col("score"))
+    return rows.select(*[v.alias(c) for c, v in kept.items()], F.coalesce("contained_in", F.lit(0)).cast("long").alias("contained_in"))
 
 
-def verify(spans: DataFrame, records: DataFrame, reps: DataFrame, with_fuzzy: bool = True) -> DataFrame:
-    """span_id, verdict, tier, record_id, score, ties, contained_in of every span. spans: span_id, quoted and CITED.
+def verify_with_ties(spans: DataFrame, records: DataFrame, reps: DataFrame, with_fuzzy: bool = True, score_misses: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(span_id, verdict, tier, record_id, score, ties, diff, contained_in of every span; span_id, record_id of the other
+    records that tie with the one selected). spans: span_id, quoted and CITED.
 
-    `with_fuzzy` false leaves out the similarity stage; spans it would look at are then NOT_FOUND.
+    diff, of near matches, is between the quotation (less a prefix that was taken off) and the representation that
+    matched, see `differences`. `score_misses` gives NOT_FOUND the score of its best candidate; else it is null, and
+    candidates are ranked only for texts that may have a near match. `with_fuzzy` false leaves out the similarity stage.
     """
     asked = written(tiers(spans.select("span_id", "quoted", *CITED), "quoted"), "asked")
     reps = written(reps, "reps")
     # each stage is written, so that what follows starts from a table and not from all stages before it
     found = written(exact_cascade(asked, reps), "exact")
+    held = [(found, {t: held_at(reps, t) for t in ("light", "standard")})]
     rest = written(asked.join(found, "span_id", "left_anti"), "rest")
-    retried = written(prefix_retry(rest, reps, records, with_fuzzy), "retried")
-    found = found.unionByName(retried)
-    rest = rest.join(retried, "span_id", "left_anti")
+    prefixes = prefixes_of(records)
+    if prefixes:
+        retried, ties = prefix_retry(rest, reps, prefixes, with_fuzzy)
+        retried = written(retried, "retried")
+        held.append((retried, ties))
+        found = found.unionByName(retried)
+        rest = rest.join(retried, "span_id", "left_anti")
     if with_fuzzy:
-        found = found.unionByName(fuzzy(written(rest, "rest"), reps))
+        near, ties = fuzzy(written(rest, "rest"), reps, score_misses)
+        near = written(near, "last")
+        held.append((near, {"aggressive": ties}))
     else:
-        found = found.unionByName(rest.select("span_id", F.lit("NOT_FOUND").alias("verdict"), F.lit(None).cast("string").alias("tier"), F.lit(None).cast("string").alias("record_id"), F.lit(None).cast("double").alias("score"), F.lit(0).cast("long").alias("ties")))
-    found = written(found, "found")
-    return withhold(found, written(contained(found, asked, records), "contained"))
+        near = _missed(rest)
+    found = written(found.unionByName(near), "found")
+    texts = reps.select("record_id", "variant", F.col("text_ar").alias("canonical"))
+    diffs = found.where("verdict = 'NEAR_MATCH'").join(asked.select("span_id", "quoted", "norm_standard"), "span_id").join(texts, ["record_id", "variant"])
+    last = near.select("span_id", F.lit(True).alias("whole"))
+    stripped = strip_prefix(asked, prefixes).select("span_id", F.col("quoted").alias("bare"))
+    diffs = diffs.join(last, "span_id", "left").join(stripped, "span_id", "left").withColumn("quoted", F.when(F.col("whole"), F.col("quoted")).otherwise(F.coalesce("bare", "quoted")))
+    found = found.join(with_diff(diffs.select("span_id", "quoted", "canonical")).select("span_id", "diff"), "span_id", "left").select("span_id", "verdict", "tier", "record_id", "score", "ties", "diff")
+    final = withhold(found, written(contained(found.select("span_id", "record_id"), asked, records), "contained"))
+    others = reduce(DataFrame.unionByName, [also_at(f, h) for f, h in held])
+    return final, others
 
 
-def differences(quoted: str, canonical: str) -> list[dict]:
-    """Edits from a quotation to the text, both at the standard tier: runs that are equal, only quoted, only in the corpus."""
-    a, b = spec.normalize(quoted, "standard"), spec.normalize(canonical, "standard")
-    out = []
-    for tag, i, j, k, m in difflib.SequenceMatcher(None, a, b).get_opcodes():
-        if tag == "equal":
-            out.append({"op": "equal", "text": a[i:j]})
-            continue
-        out += [{"op": op, "text": t} for op, t in (("quoted-only", a[i:j]), ("corpus-only", b[k:m])) if t]
-    return out
+def verify(spans: DataFrame, records: DataFrame, reps: DataFrame, with_fuzzy: bool = True, score_misses: bool = False) -> DataFrame:
+    """The first table of `verify_with_ties`."""
+    return verify_with_ties(spans, records, reps, with_fuzzy, score_misses)[0]
+
+
+#: What an opcode says of its two sides: the name of an edit, and of which side it shows the text.
+_EDITS = {"equal": [("equal", 0)], "delete": [("quoted-only", 0)], "insert": [("corpus-only", 1)], "replace": [("quoted-only", 0), ("corpus-only", 1)]}
+
+
+def differences(quoted: str, canonical: str) -> list[tuple[str, str]]:
+    """Edits (op, text) from a quotation to the text, both at the standard tier: runs that are equal, only quoted, only in
+    the corpus."""
+    sides = [spec.normalize(t, "standard") for t in (quoted, canonical)]
+    matcher = difflib.SequenceMatcher(None, *sides)
+    return [(name, sides[side][slice(*(code[1:3], code[3:5])[side])]) for code in matcher.get_opcodes() for name, side in _EDITS[code[0]]]
 
 
 def with_diff(pairs: DataFrame) -> DataFrame:
@@ -230,11 +322,6 @@ def with_diff(pairs: DataFrame) -> DataFrame:
 
     @F.udf("array<struct<op:string,text:string>>", useArrow=True)
     def diff(a: str | None, b: str | None):
-        return None if a is None or b is None else [(d["op"], d["text"]) for d in differences(a, b)]
+        return None if a is None or b is None else differences(a, b)
 
     return pairs.withColumn("diff", diff("quoted", "canonical"))
-
-
-def normalized(df: DataFrame, column: str, tier: str) -> Column:
-    """A tier of a column of df."""
-    return normalize(df[column], tier)

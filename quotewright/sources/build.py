@@ -28,16 +28,36 @@ def reader(kind: str) -> Callable[[SparkSession, str], DataFrame]:
     raise manifest.ManifestError(f"no verse reader for {kind!r}")
 
 
+def cached(source: dict, cache: str) -> Path:
+    """Where a source stands in the cache, once it has passed its gate."""
+    return Path(cache) / manifest.cache_name(source["id"], source["format"], source["url"])
+
+
 def fetch(source: dict, cache: str, download: Callable[[str], str] | None = None) -> str:
-    """The path of a source in the cache. What isn't there is downloaded by the given function, and kept only by a caller
-    whose gate it passes; without a function it raises ManifestError."""
-    path = Path(cache) / manifest.cache_name(source["id"], source["format"], source["url"])
-    if not path.is_file():
-        if download is None:
-            raise manifest.ManifestError(f"{source['id']} isn't in the cache, and nothing may be downloaded")
-        path.parent.mkdir(parents=True, exist_ok=True)
-        path.write_text(download(source["url"]), encoding="utf-8")
-    return str(path)
+    """The path of a source: in the cache, or else of what the given function downloads, beside the cache until `keep`
+    moves it there after its gate. Without a function a source that isn't cached raises ManifestError."""
+    path = cached(source, cache)
+    if path.is_file():
+        return str(path)
+    if download is None:
+        raise manifest.ManifestError(f"{source['id']} isn't in the cache, and nothing may be downloaded")
+    waiting = path.parent / "ungated" / path.name
+    waiting.parent.mkdir(parents=True, exist_ok=True)
+    waiting.write_text(download(source["url"]), encoding="utf-8")
+    return str(waiting)
+
+
+def gated(source: dict, path: str, cache: str, check: Callable[[], None]) -> str:
+    """The path of a source in the cache, after `check` found nothing; what it refuses is removed, never cached."""
+    try:
+        check()
+    except corpus.GateError:
+        if Path(path) != cached(source, cache):
+            Path(path).unlink(missing_ok=True)
+        raise
+    if Path(path) != cached(source, cache):
+        Path(path).replace(cached(source, cache))
+    return str(cached(source, cache))
 
 
 def shaped(rows: DataFrame) -> DataFrame:
@@ -59,7 +79,8 @@ def check_translations(translations: DataFrame, records: DataFrame) -> None:
 
 
 def materialize(records: DataFrame, translations: DataFrame, path: str) -> dict[str, DataFrame]:
-    """Derived tables of a source-only corpus, written under path: records, variants, postings, lengths. Gates: complete
+    """Derived tables of a source-only corpus, written under path: records, variants, translations, postings, lengths, and
+    the report of stray signs as CSV. Gates: complete
     derivation; no record that may be scored stands whole within a chapter of verses, of which there must be some."""
     spark = records.sparkSession
 
@@ -79,6 +100,7 @@ def materialize(records: DataFrame, translations: DataFrame, path: str) -> dict[
     put("translations", translations)
     texts = indexed_texts(full, variants, translations)
     columns = ["norm_standard", "norm_aggressive", "translation"]
+    corpus.noise_report(full.select("id", F.col("text_ar").alias("text"))).orderBy(F.desc("n_ids"), "sign").coalesce(1).write.mode("overwrite").option("header", True).csv(f"{path}/noise")
     return {"records": full, "variants": variants, "postings": put("postings", search.postings(texts, columns)), "lengths": put("lengths", search.lengths_of(texts, columns))}
 
 
@@ -91,23 +113,34 @@ def indexed_texts(records: DataFrame, variants: DataFrame, translations: DataFra
     return primary.unionByName(full).withColumn("doc_id", F.concat_ws("\x1f", "record_id", "variant"))
 
 
-def build(spark: SparkSession, manifest_path: str, cache: str, out: str, books: dict[str, markdown.Book], titles: dict[str, str], download: Callable[[str], str] | None = None) -> dict[str, DataFrame]:
+def markdown_measured(spark: SparkSession, path: str, book: markdown.Book) -> DataFrame:
+    """units, sha256 of a markdown file: one row."""
+    count = markdown.read(spark, path, book).count()
+    return manifest.digests(spark, path).select(F.lit(count).alias("units"), "sha256")
+
+
+def build(spark: SparkSession, manifest_path: str, cache: str, out: str, books: dict[str, markdown.Book], titles: dict[str, str], download: Callable[[str], str] | None = None, curation: DataFrame | None = None) -> dict[str, DataFrame]:
     """The corpus of a manifest, written under `out`: verses, then books, then verse files of other languages as
-    translations. Sources that aren't what they are pinned to, and references to nothing, raise."""
+    translations. Sources that aren't what they are pinned to, and references to nothing, raise; a download is cached
+    after its gate. books, titles: by collection; without them a book is read without cuts under its source's title.
+    `curation` (record_id, text_sha256, reason) must apply in full."""
     records, translations = None, None
     for e in manifest.entries(Path(manifest_path).read_text(encoding="utf-8")):
         path = fetch(e, cache, download)
-        if e["format"] == "openiti-markdown":
-            units = markdown.read(spark, path, books[e["collection"]])
-            found = units.agg(F.count("*").alias("units")).withColumn("sha256", F.lit(None).cast("string")).join(manifest.digests(spark, path).select(F.col("sha256").alias("file_sha")))
-            measured = found.select(F.lit(e["id"]).alias("id"), "units", F.col("file_sha").alias("sha256"))
-            rows = shaped(markdown.as_records(units, e["id"], e["collection"], titles[e["collection"]], e.get("numbering_scheme", "")))
-        else:
-            verses = reader(e["format"])(spark, path)
-            measured = scripture.measured(verses).select(F.lit(e["id"]).alias("id"), "units", "sha256")
-            rows = shaped(scripture.as_records(verses, e["id"]).withColumn("reference_display", F.concat_ws(":", F.col("surah").cast("string"), F.col("ayah").cast("string"))))
         one = spark.createDataFrame([tuple(e.get(c) for c in [*manifest.REQUIRED, *manifest.OPTIONAL])], manifest.SCHEMA)
-        corpus.require_empty(manifest.gate(one, measured), f"source {e['id']}")
+        book = books.get(e["collection"], markdown.Book(e["collection"])) if e["format"] == "openiti-markdown" else None
+
+        def check(e=e, path=path, one=one, book=book) -> None:
+            measured = markdown_measured(spark, path, book) if book else scripture.measured(reader(e["format"])(spark, path))
+            corpus.require_empty(manifest.gate(one, measured.select(F.lit(e["id"]).alias("id"), "units", "sha256")), f"source {e['id']}")
+
+        path = gated(e, path, cache, check)
+        if book:
+            title = titles.get(e["collection"], e["title"])
+            rows = shaped(markdown.as_records(markdown.read(spark, path, book), e["id"], e["collection"], title, e.get("numbering_scheme", "")))
+            corpus.require_empty(rows.where(~F.col("id").startswith(f"hadith:{e['collection']}:")).select("id"), "ids of another collection")
+        else:
+            rows = shaped(scripture.as_records(reader(e["format"])(spark, path), e["id"]).withColumn("reference_display", F.concat_ws(":", F.col("surah").cast("string"), F.col("ayah").cast("string"))))
         if e["kind"] == "translation":
             part = rows.select(F.col("id").alias("record_id"), "source_id", F.lit("en").alias("lang"), F.col("text_ar").alias("text"))
             translations = part if translations is None else translations.unionByName(part)
@@ -118,5 +151,8 @@ def build(spark: SparkSession, manifest_path: str, cache: str, out: str, books:
     if translations is None:
         translations = spark.createDataFrame([], "record_id string, source_id string, lang string, text string")
     check_records(records)
+    if curation is not None:
+        records, open_ = corpus.curate(records, curation)
+        corpus.require_empty(open_, "curation that doesn't apply")
     check_translations(translations, records)
     return materialize(records, translations, out)

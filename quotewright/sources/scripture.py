@@ -1,4 +1,4 @@
-"""Readers of verse files: pipe-delimited lines and XML. Rows: file, surah, ayah, text, bismillah."""
+"""Readers of verse files: pipe-delimited lines and XML. Rows: file, place (in the file), surah, ayah, text, bismillah."""
 
 from __future__ import annotations
 
@@ -21,7 +21,7 @@ def pipe(spark: SparkSession, path: str) -> DataFrame:
     part = lambda n: F.regexp_extract("line", LINE, n)
     bad = F.concat(F.lit("unrecognized content at line "), (F.col("line_no") + 1).cast("string"))
     rows = rows.withColumn("surah", F.when(F.col("line").rlike(LINE), part(1).cast("int")).otherwise(F.raise_error(bad).cast("int")))
-    return rows.select("file", "surah", part(2).cast("int").alias("ayah"), F.trim(part(3)).alias("text"), F.lit(None).cast("string").alias("bismillah"))
+    return rows.select("file", F.col("line_no").cast("long").alias("place"), "surah", part(2).cast("int").alias("ayah"), F.trim(part(3)).alias("text"), F.lit(None).cast("string").alias("bismillah"))
 
 
 def notices(spark: SparkSession, path: str) -> DataFrame:
@@ -33,8 +33,9 @@ def notices(spark: SparkSession, path: str) -> DataFrame:
 def xml(spark: SparkSession, path: str) -> DataFrame:
     """Chapters with verses as attributes."""
     read = spark.read.format("xml").option("rowTag", "sura").schema(XML_SCHEMA).load(path)
-    verses = read.select(F.col("_metadata.file_path").alias("file"), F.col("_index").alias("surah"), F.explode("aya").alias("v"))
-    return verses.select("file", "surah", F.col("v._index").alias("ayah"), F.col("v._text").alias("text"), F.col("v._bismillah").alias("bismillah"))
+    # a chapter's place is where its tag stands among the file's tags, which the reader numbers within the file's one part
+    chapters = read.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("chapter"), F.col("_index").alias("surah"), F.posexplode("aya").alias("n", "v"))
+    return chapters.select("file", (F.col("chapter") * 100_000 + F.col("n")).alias("place"), "surah", F.col("v._index").alias("ayah"), F.col("v._text").alias("text"), F.col("v._bismillah").alias("bismillah"))
 
 
 def xml_attribution(spark: SparkSession, path: str) -> DataFrame:
@@ -49,8 +50,9 @@ def payload() -> Column:
 
 
 def measured(verses: DataFrame) -> DataFrame:
-    """file, units, sha256 of the verses of each file in order."""
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("surah", "ayah", payload().alias("line")))), lambda x: x.line)
+    """file, units, sha256 of the verses of each file, in the order of the file, so that a reordered file differs. A file is
+    a source of a few thousand lines that its pinned digest covers as one text; it stands in one row here."""
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("place", payload().alias("line")))), lambda x: x.line)
     return verses.groupBy("file").agg(F.count("*").alias("units"), F.sha2(F.array_join(lines, "\n"), 256).alias("sha256"))
 
 

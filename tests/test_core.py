@@ -87,7 +87,9 @@ def test_citation_number(spark, digits, want):
 # -- extraction
 
 
-GRAMMAR = extract.Grammar(extract.STANDARD_COLLECTIONS, extract.STANDARD_LARGEST, {1: 7, 2: 286, 112: 4}, {"Al-Fatihah": 1, "Al-Baqarah": 2, "Sad": 38}, extract.STANDARD_ARABIC)
+NAMES = {"Bukhari": "b", "al-Bukhari": "b", "Sahih al-Bukhari": "b", "Muslim": "m", "Sahih Muslim": "m", "Ibn Majah": "i", "Sunan Ibn Majah": "i"}
+LARGEST = {"b": 7124, "m": 3033, "i": 4341}
+GRAMMAR = extract.Grammar(NAMES, LARGEST, {1: 7, 2: 286, 112: 4}, {"Al-Fatihah": 1, "Al-Baqarah": 2, "Sad": 38, "Yusuf": 12}, {"البخاري": "b", "مسلم": "m", "سنن ابن ماجه": "i"})
 
 
 @pytest.mark.parametrize(
@@ -96,6 +98,9 @@ GRAMMAR = extract.Grammar(extract.STANDARD_COLLECTIONS, extract.STANDARD_LARGEST
         ("see 2:255 there", [("verse", 2, 255, None)]), ("2：255", [("verse", 2, 255, None)]), ("٢:٢٥٥", [("verse", 2, 255, None)]), ("2:999 and 300:1", []),
         ("Sahih al-Bukhari 619", [("collection", None, None, "619")]), ("Bukhari, no. 0619", [("collection", None, None, "619")]), ("Muslim 2:255", []), ("Bukhari Book 52, Hadith 268", []),
         ("Bukhari 12345", []), ("Ibn Majah 4342", []), ("صحيح البخاري ٦١٩", [("collection", None, None, "619")]), ("a muslim man", []), ("Al-Baqarah", [("verse", 2, None, None)]), ("Fatiha", []), ("surah Fatiha", [("verse", 1, None, None)]),
+        ("albukhari #7", [("collection", None, None, "7")]), ("AL BUKHARI hadeeth 7", [("collection", None, None, "7")]), ("Bukhari 7:1", []), ("Bukhari7", []), ("xBukhari 7", []), ("Ibn  Majah , number 4341", [("collection", None, None, "4341")]), ("Kitab 3, Bukhari 9", [("collection", None, None, "9")]),
+        ("رواه مسلم رقم 12", [("collection", None, None, "12")]), ("سنن ابن ماجه 9", [("collection", None, None, "9")]), ("x2:255", []), ("2:255x", []), ("1234:5", []), ("2:2555", []), ("1:2:3", [("verse", 1, 2, None)]), ("2 : 255", [("verse", 2, 255, None)]),
+        ("Yusuf said", []), ("sura Yusuf", [("verse", 12, None, None)]), ("in the Quran Yusuf", [("verse", 12, None, None)]), ("measura Yusuf", []), ("al Baqarah", [("verse", 2, None, None)]), ("at Yusuf", []), ("surah Sad", []),
         ("Sad news", []), ("Al-Baqarah 2:255", [("verse", 2, 255, None)]), ("", []),
     ],
 )
@@ -108,6 +113,7 @@ def test_spans_offsets_floors_and_overlap():
     got = extract.spans(t)
     assert [(s.kind, s.text) for s in got] == [("wrapped", "قل هو الله أحد"), ("arabic-run", "قال رسول الله")]
     assert all(t[s.start : s.end] == s.text for s in got)
+    assert [s.text for s in extract.spans("«قل “هو” \"أحد\" «» «قل")] == ["قل “هو", "أحد"] and extract.spans("«» \"»قل\"") == []
     assert extract.spans("«قل»")[0].kind == "wrapped" and extract.spans("قل هو") == [] and extract.spans("") == []
 
 
@@ -171,7 +177,60 @@ def test_other_ties_come_as_rows(spark, small_corpus):
     spans = spark.createDataFrame([("s", "تبارك الذي بيده الملك وهو على كل شيء")], "span_id string, quoted string")
     spans = norm.tiers(spans.withColumns({c: F.lit(None).cast(t) for c, t in zip(verify.CITED, ("string", "int", "int", "string", "string"))}), "quoted")
     found = verify.exact_cascade(spans, small_corpus[1])
-    assert found.first().ties == 2 and rows(verify.also_at(found, spans, small_corpus[1])) == [("s", "quran:2:6")]
+    assert found.first().ties == 2 and rows(verify.also_at(found, {"light": verify.held_at(small_corpus[1], "light")})) == [("s", "quran:2:6")]
+
+
+@pytest.fixture(scope="module")
+def opened_corpus(spark):
+    """Chapters that open with a prefix, and a verse that reads like an opener; a third verse longer than an opener."""
+    prefix = "بِسْمِ ٱللَّهِ"
+    data = [
+        ("quran:3:1", "ayah", 3, 1, None, None, "تنزيل الكتاب من العزيز الحكيم", None, None, prefix),
+        ("quran:4:2", "ayah", 4, 2, None, None, "تنزيل الكتاب من العزيز الحكيم", None, None, None),
+        ("quran:5:1", "ayah", 5, 1, None, None, "وما كان لنفس أن تؤمن إلا بإذن ربه", None, None, prefix),
+        ("quran:5:3", "ayah", 5, 3, None, None, "وما كان لنفس أن تؤمن إلا بإذن ربها", None, None, None),
+        ("quran:6:1", "ayah", 6, 1, None, None, "والسماء ذات البروج واليوم الموعود وشاهد ومشهود", None, None, prefix),
+    ]
+    df = corpus.derive(spark.createDataFrame(data, REC))
+    return df, corpus.representations(df, corpus.variants(df))
+
+
+@pytest.mark.parametrize(
+    ("quoted", "cited", "verdict", "record", "others"),
+    [
+        # an opener among the ties is taken, and the others are told
+        ("بسم الله تنزيل الكتاب من العزيز الحكيم", (None,) * 5, "EXACT", "quran:3:1", ["quran:4:2"]),
+        ("بسم الله تنزيل الكتاب من العزيز الحكيم", ("verse", 4, 2, None, None), "WRONG_REFERENCE", "quran:3:1", ["quran:4:2"]),
+        # the whole corpus is matched first: a better record that is no opener stops the retry
+        ("بسم الله وما كان لنفس أن تؤمن إلا بإذن ربها", (None,) * 5, "NOT_FOUND", None, []),
+        ("بسمِ  اللـه وما كان لنفس أن تؤمن إلا بإذن ربه", (None,) * 5, "EXACT", "quran:5:1", []),
+        ("بسم الله والسماء ذات البروج واليوم الموعود وشاهد ومشهد", (None,) * 5, "NEAR_MATCH", "quran:6:1", []),
+        ("بسم الله", (None,) * 5, "NOT_FOUND", None, []),
+    ],
+)
+def test_a_prefix_is_taken_off_for_openers_only(spark, opened_corpus, quoted, cited, verdict, record, others):
+    schema = "span_id string, quoted string, cited_family string, cited_surah int, cited_ayah int, cited_collection string, cited_number string"
+    found, ties = verify.verify_with_ties(spark.createDataFrame([("s", quoted, *cited)], schema), *opened_corpus)
+    r = found.first()
+    assert (r.verdict, r.record_id) == (verdict, record) and [x.record_id for x in ties.orderBy("record_id").collect()] == others
+    if verdict == "NEAR_MATCH":
+        assert "".join(d.text for d in r.diff if d.op != "quoted-only") == "والسماء ذات البروج واليوم الموعود وشاهد ومشهود"
+
+
+def test_near_ties_misses_and_the_least_similarity(spark):
+    at = lambda n: "ب" * (50 - n) + "ت" * n
+    words = "كلمة " * 3
+    data = [(f"quran:9:{i}", "ayah", 9, i, None, None, t, None, None, None) for i, t in enumerate([words + at(0), words + at(0), "حرف " + at(0)], 1)]
+    df = corpus.derive(spark.createDataFrame(data, REC))
+    reps = corpus.representations(df, corpus.variants(df))
+    schema = "span_id string, quoted string, cited_family string, cited_surah int, cited_ayah int, cited_collection string, cited_number string"
+    asked = spark.createDataFrame([("near", words + at(1), *(None,) * 5), ("edge", "حرف " + at(7), *(None,) * 5), ("miss", "حرف " + at(8), *(None,) * 5), ("far", "غير", *(None,) * 5)], schema)
+    found, ties = verify.verify_with_ties(asked, df, reps, score_misses=True)
+    got = {r.span_id: (r.verdict, r.record_id, r.score, r.ties) for r in found.collect()}
+    assert got["near"] == ("NEAR_MATCH", "quran:9:1", round(1 - 1 / 65, 4), 2) and rows(ties) == [("near", "quran:9:2")]
+    assert got["edge"][:2] == ("NEAR_MATCH", "quran:9:3") and got["miss"] == ("NOT_FOUND", None, round(1 - 8 / 54, 4), 0) and got["far"] == ("NOT_FOUND", None, 0.0, 0)
+    plain = {r.span_id: (r.verdict, r.record_id, r.score, r.ties) for r in verify.verify(asked, df, reps).collect()}
+    assert {k: v for k, v in plain.items() if v[0] == "NEAR_MATCH"} == {k: v for k, v in got.items() if v[0] == "NEAR_MATCH"} and plain["miss"][2] is None
 
 
 def test_aggressive_never_verifies(spark, small_corpus):
@@ -186,7 +245,7 @@ def test_containment_is_a_raw_substring_test(spark):
 
 
 def test_differences():
-    assert verify.differences("قل هو", "قل هي") == [{"op": "equal", "text": "قل ه"}, {"op": "quoted-only", "text": "و"}, {"op": "corpus-only", "text": "ي"}]
+    assert verify.differences("قل هو", "قل هي") == [("equal", "قل ه"), ("quoted-only", "و"), ("corpus-only", "ي")]
 
 
 # -- search
