@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quotewright.operators import rules, search
+from quotewright.runtime import written
 
 
 @dataclass(frozen=True)
@@ -26,13 +27,18 @@ class Providers:
     audit: Callable[[str, list], bool] | None = None
 
 
-def retrieve(terms: DataFrame, index: DataFrame, lengths: DataFrame, near: DataFrame | None = None, k: int = 24, each: int = 50) -> DataFrame:
+def retrieve(terms: DataFrame, index: DataFrame, lengths: DataFrame, near: DataFrame | Callable[[], DataFrame] | None = None, k: int = 24, each: int = 50) -> DataFrame:
     """query_id, record_id, score, rank, in_text, in_vector: text and vector lists of each query, fused.
 
     terms: query_id, term_no, tokens. index, lengths: of `search.postings` over doc_id = record_id, or
     record_id and variant after U+001F, of which twice as many are ranked. near: query_id, record_id, rank of the vector
-    search; without it the text list alone is used.
+    search, or a function that gives them; without it, or if the function fails, the text list alone is used.
     """
+    if callable(near):
+        try:
+            near = written(near(), "near")  # what the provider of vectors can't answer shows here
+        except Exception:  # noqa: BLE001
+            near = None
     numbered = terms.withColumn("_term", F.concat_ws("\x1f", F.col("query_id").cast("string"), F.col("term_no").cast("string")))
     ranked = search.bm25(index, lengths, numbered.select(F.col("_term").alias("query_id"), "tokens"), 2 * each)
     ranked = search.distinct_records(ranked.withColumn("doc_id", F.split("doc_id", "\x1f")[0]), "doc_id", each)

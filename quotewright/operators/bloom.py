@@ -25,6 +25,19 @@ def filter_words(hashes: DataFrame, count: int) -> np.ndarray:
     return words.view(np.uint64)
 
 
+def filter_of(h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+    """The filter over unsigned hashes that stand in one task, as 64-bit words."""
+    bits = 1 << 10
+    while bits < min(MAX_BITS, len(h1) * BITS_PER_KEY):
+        bits *= 2
+    words = np.zeros(bits // 64, np.uint64)
+    mask, odd = np.uint64(bits - 1), h2 | np.uint64(1)
+    for i in range(POSITIONS):
+        at = (h1 + np.uint64(i) * odd) & mask
+        np.bitwise_or.at(words, at >> np.uint64(6), np.uint64(1) << (at & np.uint64(63)))
+    return words
+
+
 def may_hold(words: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
     """False only for what isn't in the filter. h1, h2: unsigned 64-bit hashes."""
     mask = np.uint64(len(words) * 64 - 1)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quotewright.functions.normalize import tiers
 from quotewright.functions.text import full_text
+from quotewright.runtime import written
 
 #: Separators of the fingerprint, and the names of representations.
 FIELD, ROW, NULL = "\x1f", "\x1e", "\x00"
@@ -145,14 +146,17 @@ def curate(records: DataFrame, curation: DataFrame) -> tuple[DataFrame, DataFram
 def whole_in_group(texts: DataFrame, base: DataFrame, group: str, order: str) -> DataFrame:
     """id, group: texts that stand, word for word, within the joined texts of one group of `base` (text, group, order).
 
-    A group's words get running positions, so its text is never put together. A text is anchored at its rarest word: each
-    place of that word is a candidate, which is kept if all its words stand where they should. Null and blank texts
-    stand nowhere; words stand between spaces.
+    A group's words get running positions, so its text is never put together: its lines are sorted over many tasks, whose
+    sums give each the words before it. A text is anchored at its rarest word: each place of that word is a candidate,
+    which is kept if all its words stand where they should. Null and blank texts stand nowhere; words stand between spaces.
     """
     words = F.filter(F.split("text", " "), lambda x: x != "")
     lines = base.where(F.col("text").isNotNull() & F.col(group).isNotNull()).select(F.col(group).alias("g"), F.col(order).alias("o"), "text", F.size(words).alias("n"))
-    before = F.sum("n").over(Window.partitionBy("g").orderBy("o", "text").rowsBetween(Window.unboundedPreceding, -1))
-    placed = lines.withColumn("offset", F.coalesce(before, F.lit(0))).select("g", "offset", F.posexplode(words).alias("i", "w")).select("g", (F.col("offset") + F.col("i")).alias("place"), "w")
+    lines = written(lines.repartitionByRange("g", "o", "text").withColumn("part", F.spark_partition_id()), "lines")
+    upto = lambda *keys: Window.partitionBy(*keys[0]).orderBy(*keys[1]).rowsBetween(Window.unboundedPreceding, -1)
+    parts = lines.groupBy("g", "part").agg(F.sum("n").alias("words")).withColumn("base", F.coalesce(F.sum("words").over(upto(["g"], ["part"])), F.lit(0))).select("g", "part", "base")
+    inside = lines.withColumn("inside", F.coalesce(F.sum("n").over(upto(["g", "part"], ["o", "text"])), F.lit(0)))
+    placed = written(inside.join(parts, ["g", "part"]).withColumn("offset", F.col("base") + F.col("inside")).select("g", "offset", F.posexplode(words).alias("i", "w")).select("g", (F.col("offset") + F.col("i")).alias("place"), "w"), "placed")
     asked = texts.where(F.trim("text") != "").select("id", "text").distinct().withColumn("t", F.xxhash64("id", "text"))
     needles = asked.select("t", F.size(words).alias("n"), F.posexplode(words).alias("i", "w"))
     frequency = placed.groupBy("w").agg(F.count("*").alias("df"))
@@ -219,8 +223,17 @@ def content_mass(text: Column, scaffold: list[str], introduces: list[str]) -> Co
     return F.aggregate(words, start, step, lambda acc: acc.n)
 
 
-def pure_pointers(norms: DataFrame, anchors: list[str], scaffold: list[str], introduces: list[str], max_residue: int = 2) -> DataFrame:
-    """id, residue: texts with an anchor word of which at most `max_residue` words remain beside scaffold and names."""
+def pointer_population(norms: DataFrame, tokens: list[str], scaffold: list[str], introduces: list[str], most: int = 7) -> DataFrame:
+    """id, mass: texts that a sweep for pointers has to read: those that say at most `most` words, and those with one of
+    `tokens`."""
+    rows = norms.where(F.col("text").isNotNull()).select("id", content_mass(F.col("text"), scaffold, introduces).alias("mass"), F.arrays_overlap(F.split("text", " "), F.array(*map(F.lit, tokens))).alias("refers"))
+    return rows.where((F.col("mass") <= most) | F.col("refers")).select("id", "mass").distinct()
+
+
+def pure_pointers(norms: DataFrame, anchors: list[str], scaffold: list[str], introduces: list[str], max_residue: int = 2, but_not: str | None = None) -> DataFrame:
+    """id, residue: texts with an anchor word of which at most `max_residue` words remain beside scaffold and names. Texts
+    that match `but_not`, which tell how something was delivered, are left out."""
     words = F.split("text", " ")
     rows = norms.where(F.arrays_overlap(words, F.array(*map(F.lit, anchors))))
+    rows = rows if but_not is None else rows.where(~F.col("text").rlike(but_not))
     return rows.select("id", content_mass(F.col("text"), [*scaffold, *anchors], introduces).alias("residue")).where(F.col("residue") <= max_residue).distinct()

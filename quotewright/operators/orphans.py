@@ -17,57 +17,70 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quotewright.runtime import ship_code
+from quotewright.operators import bloom
+from quotewright.operators.skew import hot_keys, meet
+from quotewright.runtime import ship_code, written
 
-#: Bits of the filter per key, positions per key, and the most bits it may have (16 MB): beyond that size more
-#: references reach the exact join, and the result stays the same.
-BITS_PER_KEY, POSITIONS, MAX_BITS = 10, 6, 1 << 27
-SALTS = 16
+#: References that a task probes at once where the filter is parted.
+PROBED = 1_000_000
 
 
 def _hashed(target: Column, key: Column) -> list[Column]:
     return [F.xxhash64(target, key).alias("h1"), F.xxhash64(key, target, F.lit(7)).alias("h2")]
 
 
-def bloom_words(keys: DataFrame) -> np.ndarray:
-    """The filter over (target, key_value) as 64-bit words; bits are merged by executors before the driver reads them.
-
-    The driver receives at most MAX_BITS / 64 words, whatever the number of keys.
-    """
-    count = keys.count()
-    bits = 1 << 10
-    while bits < min(MAX_BITS, count * BITS_PER_KEY):
-        bits *= 2
-    at = F.explode(F.array(*[F.expr(f"((h1 & {bits - 1}) + {i} * ((h2 & {bits - 1}) | 1)) & {bits - 1}") for i in range(POSITIONS)]))
-    rows = (
-        keys.select(*_hashed(F.col("target"), F.col("key_value")))
-        .select(at.alias("at"))
-        .groupBy(F.shiftright("at", 6).alias("word"))
-        .agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("mask"))
-    )
-    words = np.zeros(bits // 64, np.int64)
-    got = rows.toArrow()
-    if got.num_rows:
-        words[got["word"].to_numpy()] = got["mask"].to_numpy()
-    return words.view(np.uint64)
-
-
 def _probe(words, column_count: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = words.value
-        mask = np.uint64(len(table) * 64 - 1)
         for b in batches:
-            h1 = b.column(column_count).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            h2 = b.column(column_count + 1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) | np.uint64(1)
-            known = np.ones(len(h1), bool)
-            for i in range(POSITIONS):
-                at = (h1 + np.uint64(i) * h2) & mask
-                known &= (table[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
-            yield pa.RecordBatch.from_arrays([*b.columns[:column_count], pa.array(known)], names=[*b.schema.names[:column_count], "maybe_there"])
+            h1, h2 = (b.column(column_count + k).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([*b.columns[:column_count], pa.array(bloom.may_hold(words.value, h1, h2))], names=[*b.schema.names[:column_count], "maybe_there"])
 
     return run
 
 
+def _probe_part(columns: list[str]):
+    def run(refs: pa.Table, held: pa.Table) -> pa.Table:
+        kept = refs.select(columns).combine_chunks()
+        if not len(refs):
+            return kept.append_column("maybe_there", pa.array([], pa.bool_()))
+        words = np.frombuffer(held["words"][0].as_py(), np.uint64) if len(held) else np.zeros(16, np.uint64)
+        h1, h2 = (refs[c].combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) for c in ("h1", "h2"))
+        return kept.append_column("maybe_there", pa.array(bloom.may_hold(words, h1, h2)))
+
+    return run
+
+
+def _filter_part(t: pa.Table) -> pa.Table:
+    h1, h2 = (t[c].combine_chunks().to_numpy().view(np.uint64) for c in ("h1", "h2"))
+    return pa.table({"part": pa.array([t["part"][0].as_py()], pa.int32()), "words": pa.array([bloom.filter_of(h1, h2).tobytes()], pa.binary())})
+
+
+def probed(refs: DataFrame, keys: DataFrame, plain: list[str]) -> DataFrame:
+    """refs (the columns `plain`) with maybe_there: false only where the filter over keys (target, key_value) proves that the
+    key isn't there. A written table.
+
+    One filter is broadcast while it has bits enough for all keys. Beyond that the keys are parted by hash, each part
+    with a filter of its own, and references meet the filter of their part in tasks of at most PROBED rows.
+    """
+    spark = refs.sparkSession
+    hashes = written(keys.select(*_hashed(F.col("target"), F.col("key_value"))).distinct(), "keys")
+    count = hashes.count()
+    parts = -(-count * bloom.BITS_PER_KEY // bloom.MAX_BITS) or 1
+    schema = refs.select(*plain).schema.add("maybe_there", "boolean")
+    asked = refs.select(*plain, *_hashed(F.col("target"), F.col("key_value")))
+    if parts == 1:
+        words = spark.sparkContext.broadcast(bloom.filter_words(hashes, count))
+        return written(asked.mapInArrow(_probe(words, len(plain)), schema), "probed")
+    part = F.pmod(F.xxhash64("h2", "h1"), F.lit(parts)).cast("int").alias("part")
+    filters = written(hashes.select("h1", "h2", part).groupBy("part").applyInArrow(_filter_part, "part int, words binary"), "filters")
+    asked = asked.select("*", part)
+    salts = asked.groupBy("part").agg(F.ceil(F.count("*") / PROBED).cast("int").alias("salts"))
+    spread = asked.join(F.broadcast(written(salts, "salts")), "part").withColumn("salt", F.pmod(F.xxhash64("row_no", "tab"), F.col("salts")).cast("int"))  # a row a part
+    offered = filters.join(salts, "part").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select("part", "salt", "words")
+    met = spread.groupBy("part", "salt").cogroup(offered.groupBy("part", "salt")).applyInArrow(_probe_part(plain), schema)
+    return written(met, "probed")
+
+
 def references(tables: dict[str, tuple[DataFrame, str, str]]) -> DataFrame:
     """One row per reference: tab, target, key_value, row_no, loaded_at. tables: name -> (rows, key column, target)."""
     out = None
@@ -91,28 +104,20 @@ def orphans(refs: DataFrame, parents: DataFrame, removals: DataFrame) -> DataFra
     )
     gone = removals.where(F.col("key_value").isNotNull()).groupBy(F.col("tab").alias("target"), "key_value").agg(F.max("removed_at").alias("last_removed"), F.lit(True).alias("listed"))
     history = there.join(gone, ["target", "key_value"], "full_outer")
-    words = refs.sparkSession.sparkContext.broadcast(bloom_words(parents.select("target", "key_value").unionByName(removals.select(F.col("tab").alias("target"), "key_value")).where(F.col("key_value").isNotNull()).distinct()))
-
     plain = ["tab", "target", "key_value", "row_no", "loaded_at"]
-    schema = refs.select(*plain).schema.add("maybe_there", "boolean")
-    probed = refs.select(*plain, *_hashed(F.col("target"), F.col("key_value"))).mapInArrow(_probe(words, len(plain)), schema)
-    proven = probed.where(~F.col("maybe_there")).select(*plain, F.lit("missing").alias("orphan_state"))
+    keys = parents.select("target", "key_value").unionByName(removals.select(F.col("tab").alias("target"), "key_value")).where(F.col("key_value").isNotNull())
+    tested = probed(refs, keys, plain)
+    proven = tested.where(~F.col("maybe_there")).select(*plain, F.lit("missing").alias("orphan_state"))
 
-    positive = probed.where("maybe_there")
+    positive = tested.where("maybe_there")
     # a key with a third of all references is one row here, made before the shuffle
-    used = positive.groupBy("target", "key_value").agg(F.min("loaded_at").alias("earliest"))
+    keyed = ["target", "key_value"]
+    used = written(positive.groupBy(*keyed).agg(F.min("loaded_at").alias("earliest"), F.count("*").alias("refs")), "used")
     removed = F.coalesce("listed", F.lit(False)) & (F.col("last_loaded").isNull() | (F.col("last_loaded") <= F.col("last_removed")))
     state = F.when(F.col("has_row").isNull() & F.col("listed").isNull(), "missing").when(removed, "removed")
-    suspect = (
-        used.join(history, ["target", "key_value"], "left")
-        .withColumn("key_state", state)
-        .where(F.col("key_state").isNotNull() | (F.col("first_loaded") > F.col("earliest")))
-        .select("target", "key_value", "key_state", "first_loaded")
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    )
+    suspect = used.join(history, keyed, "left").withColumn("key_state", state).where(F.col("key_state").isNotNull() | (F.col("first_loaded") > F.col("earliest")))
     verified = (
-        positive.withColumn("salt", F.pmod(F.xxhash64("row_no"), F.lit(SALTS)).cast("int"))
-        .join(suspect, ["target", "key_value", "salt"])
+        meet(positive, suspect.select(*keyed, "key_state", "first_loaded"), keyed, hot_keys(used, keyed, "refs"))
         .withColumn("orphan_state", F.coalesce("key_state", F.when(F.col("first_loaded") > F.col("loaded_at"), "late")))
         .where("orphan_state is not null")
         .select(*plain, "orphan_state")

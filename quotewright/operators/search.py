@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quotewright.functions.text import index_tokens
+from quotewright.operators.skew import hot_keys, meet
+from quotewright.runtime import written
 
 #: Fixed values of the score: saturation, length weight, and the least weight of a word that stands in most texts.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -27,14 +29,15 @@ def bm25(index: DataFrame, lengths: DataFrame, queries: DataFrame, k: int) -> Da
     token that a query repeats counts as often. Document frequencies are counted for the queries' words only, and
     scores are summed before the shuffle.
     """
-    asked = queries.select("query_id", F.explode("tokens").alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("times"))
-    hits = index.join(asked.select("token").distinct(), "token", "left_semi")
-    df = hits.groupBy("token").agg(F.count("*").alias("df"))
-    size = lengths.agg(F.count("*").alias("n"), F.avg("doc_len").alias("average"))  # one row
-    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighed = asked.join(df, "token").crossJoin(F.broadcast(size)).select("query_id", "token", "average", (F.when(idf > 0, idf).otherwise(LEAST_IDF) * F.col("times")).alias("weight"))
-    part = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.col("average")))
-    scored = hits.join(weighed, "token").groupBy("query_id", "doc_id").agg(F.floor(F.sum(part) * UNIT + 0.5).cast("long").alias("score"))
+    asked = written(queries.select("query_id", F.explode("tokens").alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("times")), "asked_words")
+    # the asked words' postings, read once: counted, then spread where a word stands in most texts
+    hits = written(index.join(asked.select("token").distinct(), "token", "left_semi"), "hits")
+    df = written(hits.groupBy("token").agg(F.count("*").alias("df")), "frequencies")
+    n, average = lengths.agg(F.count("*"), F.avg("doc_len")).first()
+    idf = F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weighed = asked.join(df, "token").select("query_id", "token", (F.when(idf > 0, idf).otherwise(LEAST_IDF) * F.col("times")).alias("weight"))
+    part = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.lit(average)))
+    scored = meet(hits, weighed, ["token"], hot_keys(df, ["token"], "df")).groupBy("query_id", "doc_id").agg(F.floor(F.sum(part) * UNIT + 0.5).cast("long").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 

@@ -58,15 +58,25 @@ def corpus_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SOURCE_COLUMNS = ["kind", "title", "publisher", "edition", "url", "license_id", "license_url", "attribution", "upstream_sha256", "modifications"]
-_RECORD_COLUMNS = ["source_id", "kind", "surah", "ayah", "collection", "hadith_no", "text_ar", "isnad_ar", "addenda_ar", "unscorable_reason", "reference_display"]
+_RECORD_COLUMNS = ["source_id", "kind", "surah", "ayah", "surah_name_ar", "surah_name_en", "collection", "book_no", "chapter_ar", "hadith_no", "numbering_scheme", "text_ar", "bismillah", "isnad_ar", "addenda_ar", "unscorable_reason", "reference_display"]
+_DERIVED_COLUMNS = ["text_ar_sha256", "norm_light", "norm_standard", "norm_aggressive"]
 
 
 def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digests of sources, of records as sent, and of records with what is derived."""
-    r = table(spark, sf_dir, "records").select("id", *_RECORD_COLUMNS, "norm_light", "norm_standard", "norm_aggressive")
-    out = op.fingerprint(table(spark, sf_dir, "sources"), "sources", _SOURCE_COLUMNS, ["id"])
-    out = out.unionByName(op.fingerprint(r, "records_source", _RECORD_COLUMNS, ["id"]))
-    return out.unionByName(op.fingerprint(r, "records", [*_RECORD_COLUMNS, "norm_light", "norm_standard", "norm_aggressive"], ["id"]))
+    """Digests of sources, translations and records as sent, of records with what is derived, of variants, and of the list of
+    what is indexed."""
+    t = lambda name: table(spark, sf_dir, name)
+    once = records_once(spark, sf_dir)
+    held = op.variants(once)
+    parts = [
+        op.fingerprint(t("sources"), "sources", _SOURCE_COLUMNS, ["id"]), op.fingerprint(t("records"), "records_source", _RECORD_COLUMNS, ["id"]),
+        op.fingerprint(t("records"), "records", [*_RECORD_COLUMNS, *_DERIVED_COLUMNS], ["id"]), op.fingerprint(t("translations"), "translations", ["lang", "text"], ["record_id", "source_id"]),
+        op.fingerprint(held, "record_variants", ["text_ar", "norm_light", "norm_standard", "norm_aggressive"], ["record_id", "variant"]), op.fingerprint(op.representations(once, held), "indexed", [], ["record_id", "variant"]),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def dup_reference_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -198,8 +208,8 @@ _ONCE = "once AS (SELECT * FROM records QUALIFY row_number() OVER (PARTITION BY
 _FULL = "full_rows AS (SELECT id, kind, text_ar || ' ' || addenda_ar AS t FROM once WHERE addenda_ar IS NOT NULL AND text_ar IS NOT NULL)"
 
 
-def _fingerprint_sql(rows: str, name: str, columns: list[str]) -> str:
-    text = ", ".join(f"coalesce({c}::VARCHAR, chr(0))" for c in ["id", *columns])
+def _fingerprint_sql(rows: str, name: str, columns: list[str], order: tuple[str, ...] = ("id",)) -> str:
+    text = ", ".join(f"coalesce({c}::VARCHAR, chr(0))" for c in [*order, *columns])
     sums = " || chr(31) || ".join(f"coalesce(sum(('0x' || substr(d, {8 * i + 1}, 8))::BIGINT), 0)::HUGEINT::VARCHAR" for i in range(8))
     return f"SELECT '{name}' AS table_name, count(*) AS n_rows, sha256(chr(30) || 'table:{name}' || chr(31) || count(*)::VARCHAR || chr(31) || {sums}) AS fingerprint FROM (SELECT sha256(concat_ws(chr(31), {text})) AS d FROM {rows})"
 
@@ -215,7 +225,11 @@ SQL = {
     "translation_joined": "SELECT r.id, sha256(t.text) AS text_sha256 FROM (SELECT DISTINCT id FROM records) r LEFT JOIN (SELECT record_id, string_agg(text, ' ' ORDER BY source_id, text) AS text FROM translations WHERE lang = 'en' GROUP BY record_id) t ON r.id = t.record_id",
     "corpus_stats": " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS row_count FROM {t}" for t in ("records", "sources", "translations", "gradings", "record_vectors")),
     "corpus_scope": "SELECT kind, collection, count(DISTINCT id) AS records FROM records GROUP BY ALL",
-    "fingerprints": _fingerprint_sql("sources", "sources", _SOURCE_COLUMNS) + " UNION ALL " + _fingerprint_sql("records", "records_source", _RECORD_COLUMNS) + " UNION ALL " + _fingerprint_sql("records", "records", [*_RECORD_COLUMNS, "norm_light", "norm_standard", "norm_aggressive"]),
+    "fingerprints": f"WITH {_ONCE}, {_FULL}, variants AS (SELECT id AS record_id, 'full' AS variant, t AS text_ar, {tier_sql('light', 't')} AS norm_light, {tier_sql('standard', 't')} AS norm_standard, {tier_sql('aggressive', 't')} AS norm_aggressive FROM full_rows), indexed AS (SELECT id AS record_id, 'primary' AS variant FROM once WHERE unscorable_reason IS NULL UNION ALL SELECT record_id, variant FROM variants) "
+    + " UNION ALL ".join([
+        _fingerprint_sql("sources", "sources", _SOURCE_COLUMNS), _fingerprint_sql("records", "records_source", _RECORD_COLUMNS), _fingerprint_sql("records", "records", [*_RECORD_COLUMNS, *_DERIVED_COLUMNS]),
+        _fingerprint_sql("translations", "translations", ["lang", "text"], ("record_id", "source_id")), _fingerprint_sql("variants", "record_variants", ["text_ar", "norm_light", "norm_standard", "norm_aggressive"], ("record_id", "variant")), _fingerprint_sql("indexed", "indexed", [], ("record_id", "variant")),
+    ]),
     "dup_reference_gate": "SELECT reference_display, count(DISTINCT id) AS n_ids FROM records GROUP BY 1 HAVING count(DISTINCT id) > 1",
     "complete_gate": "SELECT DISTINCT id, CASE WHEN text_ar IS NULL OR trim(text_ar) = '' THEN 'blank text' ELSE 'not derived' END AS problem FROM records WHERE unscorable_reason IS NULL AND (text_ar IS NULL OR trim(text_ar) = '' OR norm_standard IS NULL)",
     "stale_digest_gate": "SELECT DISTINCT id FROM records WHERE text_ar_sha256 <> sha256(text_ar)",

@@ -110,7 +110,9 @@ QUERIES = {
 }
 _NORMS = {t: tier_sql(t, "text_ar") for t in spec.TIERS}
 _SCRIPT = "[\\x{600}-\\x{6ff}\\x{750}-\\x{77f}\\x{870}-\\x{8ff}\\x{fb50}-\\x{fdff}\\x{fe70}-\\x{feff}]"
+_SLUG = "regexp_replace(lower(strip_accents(surah_name_en)), '[^a-z]', '', 'g')"
 SQL = {
+    "chapter_spellings": f"WITH b AS (SELECT DISTINCT surah, {_SLUG} AS s FROM records WHERE surah_name_en IS NOT NULL), stems AS (SELECT * FROM b UNION SELECT surah, substr(s, length(a) + 1) FROM b, (SELECT unnest({text.ARTICLES}) AS a) WHERE starts_with(s, a) AND length(s) - length(a) >= 3) SELECT surah, s AS spelling FROM stems UNION SELECT surah, substr(s, 1, length(s) - 1) FROM stems WHERE s LIKE '%h'",
     **{f"norm_{t}": f"SELECT row_no, {s} AS norm_text FROM records" for t, s in _NORMS.items()},
     "norm_documents": "SELECT doc_id, " + ", ".join(f"sha256({tier_sql(t, 'text')}) AS {t}_sha256" for t in spec.TIERS) + " FROM documents",
     "norm_idempotent": " UNION ALL ".join(f"SELECT '{t}' AS tier, count(*) AS violations FROM (SELECT {s} AS n FROM records) WHERE {tier_sql(t, 'n')} <> n" for t, s in _NORMS.items()),

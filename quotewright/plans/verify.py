@@ -55,7 +55,7 @@ def exact_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     reps = _reps(records_once(spark, sf_dir))
     spans = tiers(_record_quotations(spark, sf_dir, False), "quoted")
-    return op.also_at(op.exact_cascade(spans, reps), spans, reps)
+    return op.also_at(op.exact_cascade(spans, reps), {t: op.held_at(reps, t) for t in ("light", "standard")})
 
 
 def quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,25 +71,34 @@ def _spans(rows: DataFrame) -> DataFrame:
     return rows.withColumn("span_id", F.concat_ws(":", F.col("doc_id").cast("string"), F.col("span_no").cast("string")))
 
 
+def _shown(found: DataFrame) -> DataFrame:
+    """Verdicts with the diff as JSON."""
+    return found.withColumn("diff", F.to_json("diff"))
+
+
 def verify_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every quotation of every document through the whole cascade, similarity included."""
     records = records_once(spark, sf_dir)
     spans = _spans(quotations(spark, sf_dir))
-    return op.verify(written(spans, "quotations"), records, _reps(records))
+    return _shown(op.verify(written(spans, "quotations"), records, _reps(records)))
 
 
-def verify_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every quotation of the evaluation texts through the whole cascade, similarity included."""
+def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = records_once(spark, sf_dir)
     spans = _spans(extract.quotations(table(spark, sf_dir, "eval_cases"), "item_id", "text", extract.grammar_of(records)))
-    return op.verify(written(spans, "quotations"), records, _reps(records))
+    return op.verify(written(spans, "quotations"), records, _reps(records), score_misses=True)
+
+
+def verify_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every quotation of the evaluation texts through the whole cascade, similarity included, misses scored."""
+    return _shown(_cases(spark, sf_dir))
 
 
 def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = F.split("span_id", ":")
-    matches = verify_cases(spark, sf_dir).select(part[0].cast("long").alias("case_id"), part[1].cast("int").alias("span_no"), "verdict", "record_id")
+    matches = _cases(spark, sf_dir).select(part[0].cast("long").alias("case_id"), part[1].cast("int").alias("span_no"), "verdict", "record_id")
     cases = table(spark, sf_dir, "eval_cases").select(F.col("item_id").alias("case_id"), "expect_verdict", "expect_record", "expect_no_quotation")
-    return evaluate.judge(cases, matches)
+    return evaluate.judge(cases, matches).withColumn("problems", F.array_join("problems", ", "))
 
 
 def eval_cases_judged(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,12 +117,6 @@ def case_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.with_diff(spans.join(expected, "doc_id").join(held, "id").select("span_id", "quoted", "canonical")).select("span_id", F.to_json("diff").alias("diff"))
 
 
-def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = records_once(spark, sf_dir).where("norm_standard is not null")
-    t = table(spark, sf_dir, "translations").groupBy(F.col("record_id").alias("id")).agg(F.array_join(F.array_sort(F.collect_set("text")), " ").alias("translation"))
-    return r.join(t, "id", "left").select(F.col("id").alias("doc_id"), "norm_standard", "norm_aggressive", "translation")
-
-
 def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All that the corpus index holds: primaries that may be scored and every variant."""
     records = records_once(spark, sf_dir)
@@ -130,28 +133,15 @@ def _case_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten best records for each evaluation text."""
-    texts = _texts(spark, sf_dir)
-    found = search.bm25(search.postings(texts, _COLUMNS), search.lengths_of(texts, _COLUMNS), _case_queries(spark, sf_dir), 10)
-    return found.select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
-
-
-def fts_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five best records of twice as many ranked representations."""
-    found = bm25_topk(spark, sf_dir)
-    return search.distinct_records(found, "doc_id", 5).withColumn("rank", F.col("rank").cast("long"))
-
-
-def bm25_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best representations of the whole index for each evaluation text."""
     texts = _index(spark, sf_dir)
     found = search.bm25(search.postings(texts, _COLUMNS), search.lengths_of(texts, _COLUMNS), _case_queries(spark, sf_dir), 10)
     return found.select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
-def fts_index_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five best records of twice as many ranked representations of the whole index."""
-    found = bm25_index_topk(spark, sf_dir).withColumn("doc_id", F.split("doc_id", "\x1f")[0])
+def fts_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best records of twice as many ranked representations."""
+    found = bm25_topk(spark, sf_dir).withColumn("doc_id", F.split("doc_id", "\x1f")[0])
     return search.distinct_records(found, "doc_id", 5).withColumn("rank", F.col("rank").cast("long"))
 
 
@@ -167,21 +157,31 @@ def claim_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = table(spark, sf_dir, "record_vectors").where("model = 'enc-b2' and dtype = 'binary' and dim = 1024 and octet_length(vec) = 128")
-    return v.groupBy("record_id").agg(F.max("vec").alias("vec"))
+    """model, record_id, row_no, vec of the usable vectors: of the dim that most rows of their model have."""
+    v = table(spark, sf_dir, "record_vectors").where("model is not null and record_id is not null")
+    usual = v.groupBy("model", "dim").count().groupBy("model").agg(F.max(F.struct("count", (-F.col("dim")).alias("less"))).alias("top")).select("model", (-F.col("top.less")).alias("dim"))
+    return v.join(usual, ["model", "dim"]).where("dtype = 'binary' and octet_length(vec) = ceil(dim / 8)").select("model", "record_id", "row_no", "vec")
 
 
 def hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten nearest vectors for the stated query set: every vector whose row number divides by 50."""
-    asked = table(spark, sf_dir, "record_vectors").where("row_no % 50 = 0 and model = 'enc-b2' and octet_length(vec) = 128").select(F.col("row_no").cast("string").alias("query_id"), "vec")
-    return search.hamming_topk(asked, _vectors(spark, sf_dir), 10).withColumn("rank", F.col("rank").cast("long"))
+    """The ten nearest vectors of its model for the stated query set: every usable vector whose row number divides by 50."""
+    v = written(_vectors(spark, sf_dir), "vectors")
+    out = None
+    for model in [r.model for r in v.select("model").distinct().orderBy("model").collect()]:  # a few models
+        mine = v.where(F.col("model") == model)
+        held = mine.groupBy("record_id").agg(F.max("vec").alias("vec"))
+        near = search.hamming_topk(mine.where("row_no % 50 = 0").select(F.col("row_no").cast("string").alias("query_id"), "vec"), held, 10).withColumn("model", F.lit(model))
+        out = near if out is None else out.unionByName(near)
+    return out.withColumn("rank", F.col("rank").cast("long"))
 
 
 def hybrid_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Evaluation texts that expect a record: the text list and the neighbours of that record's vector, fused."""
+    """Evaluation texts that expect a record: the text list and the neighbours of that record's vector, fused, with what was
+    reached."""
     texts = _index(spark, sf_dir)
-    near = search.hamming_topk(table(spark, sf_dir, "eval_cases").where("expect_record is not null").select(F.col("item_id").cast("string").alias("query_id"), F.col("expect_record").alias("record_id")).join(_vectors(spark, sf_dir), "record_id").select("query_id", "vec"), _vectors(spark, sf_dir), 50)
-    near = near.select(F.col("query_id").cast("long").alias("query_id"), "record_id", "rank")
+    held = written(_vectors(spark, sf_dir).where("model = 'enc-b2'").groupBy("record_id").agg(F.max("vec").alias("vec")), "vectors")
+    asked = table(spark, sf_dir, "eval_cases").where("expect_record is not null").select(F.col("item_id").cast("string").alias("query_id"), F.col("expect_record").alias("record_id"))
+    near = lambda: search.hamming_topk(asked.join(held, "record_id").select("query_id", "vec"), held, 50).select(F.col("query_id").cast("long").alias("query_id"), "record_id", "rank")
     terms = _case_queries(spark, sf_dir).withColumn("term_no", F.lit(0))
     found = ask.retrieve(terms, search.postings(texts, _COLUMNS), search.lengths_of(texts, _COLUMNS), near)
     return found.withColumn("rank", F.col("rank").cast("long"))
@@ -271,7 +271,7 @@ def answer_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    verify_exact, select_by_reference, exact_ties, quotations, citations, verify_documents, verify_cases, eval_cases_judged, eval_gate, case_diffs, bm25_topk, fts_records, bm25_index_topk, fts_index_records,
+    verify_exact, select_by_reference, exact_ties, quotations, citations, verify_documents, verify_cases, eval_cases_judged, eval_gate, case_diffs, bm25_topk, fts_records,
     claim_candidates, hamming_topk, hybrid_retrieve, rrf_fuse, contains_lookup, withhold_disclose, detect_claims, route_documents, request_check, overall_outcome,
     guard_battery, adjudicate, answer_gate,
 )}
@@ -339,18 +339,42 @@ rows AS (
   UNION ALL SELECT answer_id, 'no_grading', NOT regexp_matches(low || ' ' || low, '\\b(sound|weak|authoritative)\\b') FROM g
 )
 """
+_AGREES = "a.cited_family IS NOT NULL AND a.cited_family = 'verse' AND v.surah IS NOT DISTINCT FROM a.c_surah AND (a.c_ayah IS NULL OR v.ayah IS NOT DISTINCT FROM a.c_ayah)"
+_BM25_PARTS = _BM25_INDEX.replace("rank <= 10", "rank <= 20").replace(
+    _BM25_INDEX[_BM25_INDEX.index("asked AS ("):_BM25_INDEX.index("df AS (SELECT token")],
+    f"parts AS (SELECT item_id, unnest(string_split_regex(text, '[.:]')) AS part, unnest(range(len(string_split_regex(text, '[.:]')))) AS term_no FROM eval_cases WHERE item_id IS NOT NULL),\n"
+    f"asked AS (SELECT item_id || ':' || term_no AS query_id, unnest(list_distinct(list_filter({_TOKENS.format('part')}, lambda x: length(x) > 1))) AS token FROM parts),\n",
+)
+_USUAL = "dims AS (SELECT model, dim AS usual FROM (SELECT model, dim, count(*) AS n FROM record_vectors WHERE model IS NOT NULL AND record_id IS NOT NULL GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY model ORDER BY n DESC, dim) = 1),\nu AS (SELECT r.* FROM record_vectors r JOIN dims d ON r.model = d.model AND r.dim = d.usual WHERE r.dtype = 'binary' AND r.record_id IS NOT NULL AND octet_length(r.vec) = (r.dim + 7) // 8)"
 SQL = {
+    "withhold_disclose": _EXACT_SQL[True] + f"""
+, selected AS ({_CHOSEN}), wide AS (SELECT row_no AS span_id, {tier_sql('aggressive', 'q')} AS aggressive FROM (SELECT *, {_SQL_QUOTED} AS q FROM records)),
+inside AS (
+  SELECT s.span_id, max({_AGREES}) AS agrees, count(*) FILTER (a.standard <> '' AND contains(v.norm_standard, a.standard)) AS n
+  FROM selected s JOIN once h ON h.id = s.record_id AND h.kind = 'hadith' JOIN asked a ON a.span_id = s.span_id JOIN wide w ON w.span_id = s.span_id
+  JOIN once v ON v.kind = 'ayah' AND v.norm_aggressive IS NOT NULL AND length(w.aggressive) >= 2 AND contains(v.norm_aggressive, w.aggressive) GROUP BY s.span_id
+)
+SELECT s.span_id, CASE WHEN agrees THEN 'NOT_FOUND' ELSE verdict END AS verdict, CASE WHEN NOT coalesce(agrees, false) THEN record_id END AS record_id, coalesce(n, 0) AS contained_in FROM selected s LEFT JOIN inside i ON i.span_id = s.span_id""",
+    "claim_candidates": _BM25_PARTS + """, seen AS (SELECT split_part(query_id, ':', 1)::BIGINT AS query_id, split_part(doc_id, chr(31), 1) AS record_id, min({'term': split_part(query_id, ':', 2)::INT, 'rank': rank}) AS place FROM ranked GROUP BY ALL)
+SELECT query_id, record_id, row_number() OVER (PARTITION BY query_id ORDER BY place.term, place.rank, record_id) AS rank FROM seen QUALIFY rank <= 10""",
+    "hybrid_retrieve": _BM25_INDEX.replace("rank <= 10", "rank <= 100") + f""", {_USUAL},
+listed AS (SELECT query_id, record_id, row_number() OVER (PARTITION BY query_id ORDER BY first, record_id) AS rank FROM (SELECT query_id, split_part(doc_id, chr(31), 1) AS record_id, min(rank) AS first FROM ranked GROUP BY ALL) QUALIFY rank <= 50),
+v AS (SELECT record_id, max(vec) AS vec FROM u WHERE model = 'enc-b2' GROUP BY 1),
+near AS (SELECT e.item_id AS query_id, v.record_id, row_number() OVER (PARTITION BY e.item_id ORDER BY bit_count(xor(q.vec::BIT, v.vec::BIT)), v.record_id) AS rank FROM eval_cases e JOIN v q ON q.record_id = e.expect_record CROSS JOIN v QUALIFY rank <= 50),
+fused AS (SELECT query_id, record_id, sum(floor(1000000000.0::DOUBLE / (60 + rank - 1)))::BIGINT AS score FROM (SELECT query_id, record_id, rank FROM listed UNION ALL SELECT * FROM near) GROUP BY ALL)
+SELECT f.query_id, f.record_id, f.score, row_number() OVER (PARTITION BY f.query_id ORDER BY score DESC, f.record_id) AS rank, l.record_id IS NOT NULL AS in_text, n.record_id IS NOT NULL AS in_vector
+FROM fused f LEFT JOIN listed l ON l.query_id = f.query_id AND l.record_id = f.record_id LEFT JOIN near n ON n.query_id = f.query_id AND n.record_id = f.record_id QUALIFY row_number() OVER (PARTITION BY f.query_id ORDER BY score DESC, f.record_id) <= 24""",
     "verify_exact": _EXACT_SQL[False] + _CHOSEN,
     "select_by_reference": _EXACT_SQL[True] + _CHOSEN,
     "exact_ties": _EXACT_SQL[False] + f", selected AS ({_CHOSEN}) SELECT DISTINCT b.span_id, b.record_id FROM best b JOIN selected s ON b.span_id = s.span_id AND b.record_id <> s.record_id",
-    "bm25_topk": _BM25 + "SELECT query_id, doc_id, score, rank FROM ranked",
-    "fts_records": _BM25 + "SELECT query_id, doc_id AS record_id, rank FROM ranked WHERE rank <= 5",
-    "bm25_index_topk": _BM25_INDEX + "SELECT query_id, doc_id, score, rank FROM ranked",
-    "fts_index_records": _BM25_INDEX + "SELECT query_id, record_id, row_number() OVER (PARTITION BY query_id ORDER BY first, record_id) AS rank FROM (SELECT query_id, split_part(doc_id, chr(31), 1) AS record_id, min(rank) AS first FROM ranked GROUP BY ALL) QUALIFY rank <= 5",
+    "bm25_topk": _BM25_INDEX + "SELECT query_id, doc_id, score, rank FROM ranked",
+    "fts_records": _BM25_INDEX + "SELECT query_id, record_id, row_number() OVER (PARTITION BY query_id ORDER BY first, record_id) AS rank FROM (SELECT query_id, split_part(doc_id, chr(31), 1) AS record_id, min(rank) AS first FROM ranked GROUP BY ALL) QUALIFY rank <= 5",
     "hamming_topk": """
-WITH v AS (SELECT record_id, max(vec) AS vec FROM record_vectors WHERE model = 'enc-b2' AND dtype = 'binary' AND dim = 1024 AND octet_length(vec) = 128 GROUP BY 1),
-asked AS (SELECT row_no::VARCHAR AS query_id, vec FROM record_vectors WHERE row_no % 50 = 0 AND model = 'enc-b2' AND octet_length(vec) = 128)
-SELECT query_id, record_id, bit_count(xor(a.vec::BIT, v.vec::BIT))::BIGINT AS distance, row_number() OVER (PARTITION BY query_id ORDER BY bit_count(xor(a.vec::BIT, v.vec::BIT)), record_id) AS rank FROM asked a CROSS JOIN v QUALIFY rank <= 10""",
+WITH dims AS (SELECT model, dim AS usual FROM (SELECT model, dim, count(*) AS n FROM record_vectors WHERE model IS NOT NULL AND record_id IS NOT NULL GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY model ORDER BY n DESC, dim) = 1),
+u AS (SELECT r.* FROM record_vectors r JOIN dims d ON r.model = d.model AND r.dim = d.usual WHERE r.dtype = 'binary' AND r.record_id IS NOT NULL AND octet_length(r.vec) = (r.dim + 7) // 8),
+v AS (SELECT model, record_id, max(vec) AS vec FROM u GROUP BY ALL),
+asked AS (SELECT model, row_no::VARCHAR AS query_id, vec FROM u WHERE row_no % 50 = 0)
+SELECT a.model, query_id, record_id, bit_count(xor(a.vec::BIT, v.vec::BIT))::BIGINT AS distance, row_number() OVER (PARTITION BY query_id ORDER BY bit_count(xor(a.vec::BIT, v.vec::BIT)), record_id) AS rank FROM asked a JOIN v ON a.model = v.model QUALIFY rank <= 10""",
     "rrf_fuse": f"""
 WITH {_ONCE}, r AS (SELECT collection AS query_id, id AS record_id, length(norm_standard) AS n, norm_standard AS t FROM once WHERE collection IS NOT NULL AND norm_standard IS NOT NULL),
 lists AS (SELECT query_id, record_id, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, record_id) AS k FROM r UNION ALL SELECT query_id, record_id, row_number() OVER (PARTITION BY query_id ORDER BY t, record_id) FROM r),

@@ -65,13 +65,19 @@ def written(df: DataFrame, label: str) -> DataFrame:
     The lineage ends there, several readers share one computation, and a lost executor costs no recomputation.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/quotewright/{label}-{uuid.uuid4().hex[:12]}"
+    path = f"{own_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def own_dir(spark: SparkSession) -> str:
+    """This application's folder within the shared one."""
+    return f"{shared_dir(spark).rstrip('/')}/quotewright/{spark.sparkContext.applicationId}"
+
+
 def clean(spark: SparkSession) -> None:
-    """Remove all tables that `written` made in the shared folder. Results that still read them must be stored first."""
+    """Remove the tables that `written` made for this application; those of others who share the folder stay. Results
+    that still read them must be stored first."""
     jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/quotewright")
+    path = jvm.org.apache.hadoop.fs.Path(own_dir(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quotewright.functions import normalize as norm
 from quotewright.functions import similarity, spec, text
-from quotewright.operators import ask, corpus, evaluate, extract, orphans, rules, search, verify
+from quotewright.operators import ask, bloom, corpus, evaluate, extract, orphans, rules, search, verify
 from quotewright.sources import manifest, markdown, scripture
 from quotewright.streaming import audit
 
@@ -339,8 +339,10 @@ def test_small_filters_change_nothing(spark, monkeypatch):
     none = spark.createDataFrame([], "tab string, key_value string, removed_at timestamp_ntz")
     named = orphans.references({"t": (refs, "record_id", "records")})
     want = rows(orphans.orphans(named, parents, none).select("row_no"))
-    monkeypatch.setattr(orphans, "MAX_BITS", 64)
-    assert rows(orphans.orphans(named, parents, none).select("row_no")) == want and len(want) == 100
+    for bits in (64, 256):  # filters in parts
+        monkeypatch.setattr(bloom, "MAX_BITS", bits)
+        monkeypatch.setattr(orphans, "PROBED", 7)
+        assert rows(orphans.orphans(named, parents, none).select("row_no")) == want and len(want) == 100
 
 
 # -- rules, gates, the answer pipeline
@@ -389,6 +391,12 @@ def test_gate_counts_excess_both_ways(spark):
     found = spark.createDataFrame([(1, 0, "EXACT", "a"), (1, 1, "EXACT", "b"), (2, 0, "WRONG_REFERENCE", "c"), (4, 0, "WRONG_REFERENCE", "d")], "case_id int, span_no int, verdict string, record_id string")
     got = {r.case_id: r for r in evaluate.judge(cases, found).collect()}
     assert (got[1].excess_verified, got[2].excess_misattributed) == (1, 1) and not got[1].passed and got[3].passed and got[4].passed
+    more = spark.createDataFrame([(1, "EXACT", None, None, 2, "WRONG_REFERENCE", "a", "absolute", True), (2, None, None, False, None, "NOT_FOUND", None, "citation", False), (3, None, None, None, 1, None, None, None, None)], "case_id int, expect_verdict string, expect_record string, expect_no_quotation boolean, expect_verified_spans int, forbid_verdict string, expect_no_other_record string, expect_claim string, expect_handoff boolean")
+    spans = spark.createDataFrame([(1, 0, "EXACT", "a"), (1, 1, "EXACT", "b"), (2, 0, "NOT_FOUND", None)], "case_id int, span_no int, verdict string, record_id string")
+    said = spark.createDataFrame([(1, "absolute"), (2, "absolute")], "case_id int, kind string")
+    went = spark.createDataFrame([(1, "FIRST", True), (2, "GENERAL", False), (3, "GENERAL", False)], "case_id int, route string, handed_on boolean")
+    got = {r.case_id: r.problems for r in evaluate.judge(more, spans, said, went).collect()}
+    assert got == {1: ["another record"], 2: ["forbidden verdict", "claim"], 3: []}
     assert rows(evaluate.bad_cases(cases.union(cases.limit(1)).union(spark.createDataFrame([(9, "EXCAT", None, None)], cases.schema)))) == [(1, "repeated id"), (9, "unknown verdict")]
 
 
