@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import unicodedata
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -106,6 +107,50 @@ spans AS (SELECT id, len(words) AS n_words, unnest(range(1, len(words) - 10)) AS
 hashed AS (SELECT id, position, array_to_string(words[position:position + 11], ' ') AS span FROM spans)
 """
 
+#: The consistent form once more, sign by sign through a table of signs, as the operator's SQL doesn't work.
+_SIGNS = {chr(c): unicodedata.normalize("NFKC", chr(c)) for low, high in lookalike.FOLDED for c in range(low, high + 1)} | {c: " " for c in lookalike.BLANKS}
+_SIGNS |= {a: b for found, wanted in lookalike.LOOKALIKES for a, b in zip(found, wanted)} | {chr(c): "" for low, high in lookalike.INVISIBLE for c in range(low, high + 1)}
+_FORMS_SQL = f"""
+WITH signs(sign, plain) AS (VALUES {", ".join(f"(chr({ord(a)}), '{b.replace(chr(39), chr(39) * 2)}')" for a, b in sorted(_SIGNS.items()))}),
+texts AS (SELECT DISTINCT id, text_ar FROM records WHERE id IS NOT NULL AND text_ar IS NOT NULL),
+found AS (SELECT text_ar, unnest(string_split(text_ar, '')) AS c, unnest(range(len(string_split(text_ar, '')))) AS i FROM (SELECT DISTINCT text_ar FROM texts)),
+mapped AS (SELECT text_ar, unnest(string_split(coalesce(plain, c), '')) AS c, i, unnest(range(greatest(1, length(coalesce(plain, c))))) AS j FROM found LEFT JOIN signs ON c = sign),
+solid AS (SELECT text_ar, i, j, lead(c) OVER (PARTITION BY text_ar ORDER BY i, j) AS next FROM mapped WHERE c <> '' AND NOT regexp_matches(c, '\\p{{Mn}}')),
+shown AS (
+  SELECT m.text_ar, m.i, m.j, CASE WHEN c <> 'ی' THEN c WHEN regexp_matches(next, '[\\x{{620}}-\\x{{63f}}\\x{{640}}-\\x{{64a}}\\x{{66e}}-\\x{{6d3}}]') THEN 'ي' ELSE 'ى' END AS c
+  FROM mapped m LEFT JOIN solid s ON s.text_ar = m.text_ar AND s.i = m.i AND s.j = m.j
+), formed AS (SELECT text_ar, nfc_normalize(string_agg(c, '' ORDER BY i, j)) AS form FROM shown GROUP BY text_ar),
+forms AS (SELECT id, t.text_ar, coalesce(form, '') AS form FROM texts t LEFT JOIN formed f ON f.text_ar = t.text_ar)
+"""
+_NEAR_SQL = f"""{_FORMS_SQL},
+words AS (SELECT DISTINCT id, list_filter(string_split({tier_sql('aggressive', 'form')}, ' '), lambda x: x <> '') AS w FROM forms),
+runs AS (SELECT DISTINCT id, array_to_string(w[i:i + 2], ' ') AS run FROM (SELECT id, w, unnest(range(1, len(w) - 1)) AS i FROM words WHERE len(w) >= 20)),
+sizes AS (SELECT id, count(*) AS n FROM runs GROUP BY id),
+common AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS c FROM runs a JOIN runs b ON a.run = b.run AND a.id < b.id GROUP BY ALL),
+alike AS (SELECT id_a, id_b FROM common JOIN sizes x ON x.id = id_a JOIN sizes y ON y.id = id_b WHERE c * 5 >= (x.n + y.n - c) * 3)
+"""
+#: Words for which letter case, marks, alef forms, kashida and typographic forms don't matter.
+_TYPED = {chr(c): unicodedata.normalize("NFKC", chr(c)) for c in range(0x80, 0x10000) if not 0xD800 <= c < 0xE000 and not 0x3300 <= c < 0xFA6E and len(unicodedata.normalize("NFKC", chr(c))) == 1 and unicodedata.normalize("NFKC", chr(c)) != chr(c)}
+_JOINED = {c: f for c, f in _SIGNS.items() if len(f) > 1}
+
+
+def _folded(t: str) -> str:
+    several = f"map([{', '.join(f'chr({ord(c)})' for c in _JOINED)}], [{', '.join(repr(f) for f in _JOINED.values())}])"
+    apart = f"CASE WHEN regexp_matches({t}, '[{''.join(_JOINED)}]') THEN array_to_string(list_transform(string_split({t}, ''), lambda x: coalesce({several}[x], x)), '') ELSE {t} END"
+    plain = "".join(_TYPED.values()).replace("'", "''")
+    low = f"lower(nfc_normalize(translate({apart}, '{''.join(_TYPED)}', '{plain}')))"
+    bare = f"translate(regexp_replace({low}, '[\\p{{Mn}}\\p{{Me}}\\p{{Cf}}ـ]', '', 'g'), 'آأإٱکیھہە', 'اااا' || 'كيههه')"
+    return f"list_filter(string_split(regexp_replace({bare}, '[^\\p{{L}}\\p{{N}}\\p{{Mc}}]', ' ', 'g'), ' '), lambda x: x <> '')"
+
+
+_LEAKS_SQL = f"""
+WITH items AS (SELECT item_id, {_folded('text')} AS w FROM eval_cases WHERE item_id IS NOT NULL AND text IS NOT NULL),
+docs AS (SELECT doc_id, {_folded('text')} AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+asked AS (SELECT item_id, i, array_to_string(w[i:i + 4], ' ') AS run, len(w) AS n FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS i FROM items WHERE len(w) >= 5)),
+held AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS run FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM docs WHERE len(w) >= 5)),
+places AS (SELECT DISTINCT item_id, doc_id, n, unnest(range(i, i + 5)) AS place FROM asked a JOIN held h ON a.run = h.run)
+SELECT item_id, doc_id FROM places GROUP BY item_id, doc_id, n HAVING count(*) * 2 >= n"""
+
 QUERIES = {"p1_neighbours": p1_neighbours, "p1_found": p1_found, "p2_terms": p2_terms, "p2_found": p2_found, "p4_found": p4_found, "p4_classes": p4_classes, "p5_found": p5_found, "p5_classes": p5_classes, "p5_shared": p5_shared, "p6_found": p6_found, "p6_groups": p6_groups, "p7_ids": p7_ids, "p8_leaks": p8_leaks, "p8_found": p8_found, "p9_found": p9_found}
 SQL = {
     "p2_terms": _TERMS_SQL + "SELECT * FROM marked",
@@ -123,14 +168,16 @@ v AS (SELECT DISTINCT r.model, r.dim, r.record_id, r.vec FROM record_vectors r J
 near AS (SELECT a.model, a.dim, a.record_id AS a, b.record_id AS b, min(bit_count(xor(a.vec::BIT, b.vec::BIT))) AS d FROM v a JOIN v b ON a.model = b.model AND a.record_id <> b.record_id GROUP BY ALL),
 best AS (SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY model, a ORDER BY d, b) <= 10)
 SELECT DISTINCT x.a AS id_a, x.b AS id_b FROM best x JOIN best y ON x.model = y.model AND x.a = y.b AND x.b = y.a WHERE x.a < x.b AND x.d * 100 <= x.dim * 15""",
-    "p4_found": f"""
-WITH forms AS (SELECT DISTINCT id, text_ar, {lookalike.consistent_sql('text_ar')} AS form FROM records WHERE id IS NOT NULL AND text_ar IS NOT NULL)
-SELECT DISTINCT a.id AS id_a, b.id AS id_b FROM forms a JOIN forms b ON a.form = b.form AND a.id < b.id AND a.text_ar <> b.text_ar""",
-    "p6_found": f"""
-WITH forms AS (SELECT DISTINCT id, {lookalike.consistent_sql('text_ar')} AS form FROM records WHERE id IS NOT NULL AND text_ar IS NOT NULL),
-words AS (SELECT id, list_filter(string_split({tier_sql('aggressive', 'form')}, ' '), lambda x: x <> '') AS w FROM forms),
-runs AS (SELECT DISTINCT id, array_to_string(w[i:i + 2], ' ') AS run FROM (SELECT id, w, unnest(range(1, len(w) - 1)) AS i FROM words WHERE len(w) >= 20)),
-sizes AS (SELECT id, count(*) AS n FROM runs GROUP BY id),
-common AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS c FROM runs a JOIN runs b ON a.run = b.run AND a.id < b.id GROUP BY ALL)
-SELECT id_a, id_b FROM common JOIN sizes x ON x.id = id_a JOIN sizes y ON y.id = id_b WHERE c * 5 >= (x.n + y.n - c) * 3""",
+    "p4_classes": _FORMS_SQL + "SELECT id, class_id, class_size, max(links) AS links FROM (SELECT a.id, min(b.id) AS class_id, count(DISTINCT b.id) AS class_size, count(DISTINCT b.id) FILTER (a.text_ar <> b.text_ar) AS links FROM forms a JOIN forms b ON a.form = b.form GROUP BY a.id, a.text_ar) GROUP BY ALL",
+    "p4_found": _FORMS_SQL + "SELECT DISTINCT a.id AS id_a, b.id AS id_b FROM forms a JOIN forms b ON a.form = b.form AND a.id < b.id AND a.text_ar <> b.text_ar",
+    "p5_classes": _SPANS_SQL + """, one_class AS (SELECT s.id, min(o.id) AS class_id, count(*) AS class_size FROM one s JOIN one o ON s.text = o.text GROUP BY s.id),
+linked AS (SELECT a.id, count(DISTINCT o.text) AS links FROM hashed a JOIN hashed b ON a.span = b.span JOIN one m ON m.id = a.id JOIN one o ON o.id = b.id AND o.text <> m.text GROUP BY a.id)
+SELECT s.id, class_id, class_size, coalesce(links, 0) AS links FROM split s JOIN one_class c ON c.id = s.id LEFT JOIN linked l ON l.id = s.id WHERE len(words) >= 12""",
+    "p6_found": _NEAR_SQL + "SELECT id_a, id_b FROM alike",
+    "p6_groups": _NEAR_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + """, both_ways AS (SELECT id_a AS x, id_b AS y FROM alike UNION SELECT id_b, id_a FROM alike),
+reach(x, y) AS (SELECT id, id FROM words WHERE len(w) >= 20 UNION SELECT r.x, b.y FROM reach r JOIN both_ways b ON r.y = b.x),
+counted AS (SELECT a.x AS id, count(DISTINCT o.w) FILTER (o.w <> m.w) AS links FROM both_ways a JOIN words m ON m.id = a.x JOIN words o ON o.id = a.y GROUP BY a.x)
+SELECT r.x AS id, min(r.y) AS group_id, any_value(c.class_id) AS class_id, coalesce(any_value(links), 0) AS links
+FROM reach r JOIN (SELECT a.id, min(b.id) AS class_id FROM words a JOIN words b ON a.w = b.w GROUP BY a.id) c ON c.id = r.x LEFT JOIN counted k ON k.id = r.x GROUP BY r.x""",
+    "p8_found": _LEAKS_SQL,
 }
