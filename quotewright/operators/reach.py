@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from quotewright.runtime import ship_code, written
 
-#: Code points of a run, texts of a block, bits of a map at most.
-GRAM, BLOCK, MOST_BITS = 3, 4096, 1 << 17
+#: Code points of a run, bytes of a block's maps, bits of a map at most.
+GRAM, BLOCK_BYTES, MOST_BITS = 3, 8 << 20, 1 << 17
 _MAPS = "key long, cls int, n int, bits binary"
 
 
@@ -77,9 +77,10 @@ def _compare(asked: pa.Table, held: pa.Table, least: float) -> pa.Table:
     return pa.table({"asked": join(out_a), "held": join(out_b)})
 
 
-def _blocks(maps: DataFrame) -> dict[int, int]:
-    """Blocks of each class; the driver holds a row per class of length."""
-    return {r.cls: -(-r.n // BLOCK) for r in maps.groupBy("cls").agg(F.count("*").alias("n")).collect()}
+def _blocks(maps: DataFrame, least: float) -> dict[int, int]:
+    """Blocks of each class, each of about BLOCK_BYTES, since every block meets every block of the other side; the driver
+    holds a row per class of length."""
+    return {r.cls: -(-r.n * _bits(r.cls, least) // (8 * BLOCK_BYTES)) for r in maps.groupBy("cls").agg(F.count("*").alias("n")).collect()}
 
 
 def may_resemble(asked: DataFrame, held: DataFrame, least: float) -> DataFrame:
@@ -88,7 +89,7 @@ def may_resemble(asked: DataFrame, held: DataFrame, least: float) -> DataFrame:
     ship_code(asked.sparkSession)
     sides = [written(df.where(F.length("text") > 0).select("text").distinct().select(F.xxhash64("text").alias("key"), "text"), "texts") for df in (asked, held)]
     maps = [written(_maps(side, least, around), "maps") for side, around in zip(sides, (1, 0))]
-    counts = [_blocks(m) for m in maps]
+    counts = [_blocks(m, least) for m in maps]
     both = sorted(counts[0].keys() & counts[1].keys())
     if not both:
         return sides[0].select("text").limit(0)

@@ -54,21 +54,26 @@ def requires(code: Column, codes: list[str]) -> Column:
     return code.isin(codes)
 
 
-def request_problem(kind: str, text: Column) -> Column:
-    """Why a request is refused: `blank`, `too long`, or null."""
-    return F.when(text.isNull() | (F.trim(text) == ""), "blank").when(F.length(text) > MOST_SIGNS[kind], "too long")
+def request_problem(kind: str, text: Column, history: Column | None = None) -> Column:
+    """Why a request is refused: `blank`, `too long`, `too many turns`, `too long a summary`, or null. history: an array of
+    structs with a summary, a turn each."""
+    out = F.when(text.isNull() | (F.trim(text) == ""), "blank").when(F.length(text) > MOST_SIGNS[kind], "too long")
+    if history is None:
+        return out
+    return out.when(F.size(history) > MOST_TURNS, "too many turns").when(F.exists(history, lambda t: F.length(t.summary) > MOST_SIGNS["summary"]), "too long a summary")
 
 
 def clamp(n: Column, low: int = 1, high: int = 100) -> Column:
     return F.least(F.greatest(n, F.lit(low)), F.lit(high))
 
 
-def guards(answers: DataFrame, forbidden: dict[str, str]) -> DataFrame:
+def guards(answers: DataFrame, forbidden: dict[str, str], exempt: dict[str, str] | None = None) -> DataFrame:
     """answer_id, guard, passed, detail: a row per guard and answer.
 
     answers: answer_id, summary, items (array of structs record_id, framing, translation), candidate_ids, history_ids.
     Guards: cited ids are candidates or in the history; no Arabic script in prose; lengths; and for each name in
-    `forbidden` that its pattern isn't met in the prose without accents and in lower case. Details never repeat script.
+    `forbidden` that its pattern isn't met in the prose without accents and in lower case. What `exempt` has for the same
+    name, such as titles, is taken out before, with hyphens as spaces. Details never repeat script.
     """
     parts = F.flatten(F.array(F.array(F.struct(F.lit("summary").alias("label"), F.col("summary").alias("text"))), F.transform("items", lambda i: F.struct(F.concat(F.lit("framing for "), i.record_id).alias("label"), i.framing.alias("text"))), F.transform(F.filter("items", lambda i: F.coalesce(i.translation, F.lit("")) != ""), lambda i: F.struct(F.concat(F.lit("translation for "), i.record_id).alias("label"), i.translation.alias("text")))))
     cited = F.transform("items", lambda i: i.record_id)
@@ -78,11 +83,16 @@ def guards(answers: DataFrame, forbidden: dict[str, str]) -> DataFrame:
     long_ = F.when(word_count(F.coalesce("summary", F.lit(""))) > SUMMARY_WORDS, F.concat(F.array(F.lit("summary")), long_items)).otherwise(long_items)
     rows = rows.withColumn("prose", F.lower(F.array_join(F.transform("parts", lambda p: F.coalesce(p.text, F.lit(""))), " "))).withColumn("plain", fold_diacritics(F.col("prose")))
     state = lambda name, bad, detail: F.struct(F.lit(name).alias("guard"), (~bad).alias("passed"), redact_arabic(F.when(bad, detail).otherwise("")).alias("detail"))
+    def spared(name: str) -> Column:
+        if not exempt or name not in exempt:
+            return F.col("plain")
+        return F.regexp_replace(F.regexp_replace(F.translate("plain", "-", " "), "\\s+", " "), exempt[name], " ")
+
     results = [
         state("cited_id_in_candidates", F.size("stray") > 0, F.concat(F.lit("ids outside the candidates: "), F.array_join(F.array_sort("stray"), ", "))),
         state("no_arabic_in_prose", F.size("arabic") > 0, F.concat(F.lit("Arabic script in: "), F.array_join("arabic", ", "))),
         state("length", F.size(long_) > 0, F.concat(F.lit("too long: "), F.array_join(long_, ", "))),
-        *[state(name, F.col("plain").rlike(p), F.lit("forbidden wording")) for name, p in forbidden.items()],
+        *[state(name, spared(name).rlike(p), F.lit("forbidden wording")) for name, p in forbidden.items()],
     ]
     return rows.select("answer_id", F.explode(F.array(*results)).alias("r")).select("answer_id", "r.guard", "r.passed", "r.detail")
 

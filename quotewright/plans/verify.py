@@ -275,6 +275,7 @@ QUERIES = {f.__name__: f for f in (
     claim_candidates, hamming_topk, hybrid_retrieve, rrf_fuse, contains_lookup, withhold_disclose, detect_claims, route_documents, request_check, overall_outcome,
     guard_battery, adjudicate, answer_gate,
 )}
+QUERIES |= {"bm25_index_topk": bm25_topk, "fts_index_records": fts_records}  # the names that they had beside smaller ones
 
 _ONCE = "once AS (SELECT * FROM records QUALIFY row_number() OVER (PARTITION BY id ORDER BY loaded_at DESC, row_no DESC) = 1)"
 _SQL_QUOTED = "CASE row_no % 3 WHEN 0 THEN text_ar WHEN 1 THEN 'ـ' || translate(text_ar, 'أإ', 'ٱٱ') ELSE substring(text_ar, 1, length(text_ar) - 1) END"
@@ -389,3 +390,4 @@ SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, record_i
     "adjudicate": _GUARDS + "SELECT answer_id, CASE WHEN NOT min(passed) AND answer_id % 2 = 0 THEN 'RETRY' WHEN NOT min(passed) THEN 'ABSTAIN' WHEN answer_id % 5 = 0 THEN 'RELABEL_INTERPRETATION' ELSE 'PUBLISH' END AS decision FROM rows GROUP BY answer_id",
     "answer_gate": _GUARDS + "SELECT answer_id, CASE WHEN blocked = (length(text) > 150) THEN 'ok' WHEN length(text) > 150 THEN 'not blocked' ELSE 'blocked' END AS outcome FROM (SELECT answer_id, NOT min(passed) AS blocked FROM rows GROUP BY answer_id) JOIN translations ON row_no = answer_id",
 }
+SQL |= {"bm25_index_topk": SQL["bm25_topk"], "fts_index_records": SQL["fts_records"]}

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quotewright.operators import corpus, embed, evaluate, extract, rules, service
+from quotewright.operators import ask, corpus, embed, evaluate, extract, rules, service
 from quotewright.sources import build, cases, manifest, markdown
 
 VERSES = [(1, 1, "إن الله على كل شيء قدير"), (1, 2, "تبارك الذي بيده الملك"), (2, 1, "قل هو الله أحد")]
@@ -115,3 +115,62 @@ def test_case_files(spark, tmp_path):
     got = cases.answers(spark, str(a))
     out = evaluate.answer_gate(rules.guards(got, {}), got.select("answer_id", "must_block"))
     assert {r.answer_id: r.outcome for r in out.collect()} == {"x": "ok", "y": "not blocked"}
+
+
+def test_downloads_are_cached_after_their_gate(spark, files, tmp_path):
+    text = (files / "manifest.toml").read_text(encoding="utf-8")
+    (tmp_path / "m.toml").write_text(text, encoding="utf-8")
+    bodies = {"file:v": "\n".join(f"{s}|{a}|{t}" for s, a, t in VERSES), "file:e": "\n".join(f"{s}|{a}|{t}" for s, a, t in ENGLISH), "file:b": BOOK}
+    args = [{"c": markdown.Book("c")}, {"c": "Book"}]
+    swapped = bodies | {"file:v": "\n".join(f"{s}|{a}|{t}" for s, a, t in VERSES[::-1])}
+    with pytest.raises(corpus.GateError, match="another digest"):  # the order of a file is part of its digest
+        build.build(spark, str(tmp_path / "m.toml"), str(tmp_path / "cache"), str(tmp_path / "out"), *args, download=swapped.__getitem__)
+    assert not [p for p in (tmp_path / "cache").rglob("*") if p.is_file()]
+    build.build(spark, str(tmp_path / "m.toml"), str(tmp_path / "cache"), str(tmp_path / "out"), {}, {}, download=bodies.__getitem__)
+    assert len([p for p in (tmp_path / "cache").glob("*.txt")]) == 3
+    assert spark.read.option("header", True).csv(str(tmp_path / "out/noise")).columns == ["sign", "n_ids"]
+    bad = spark.createDataFrame([("quran:1:1", "0" * 64, "short")], "record_id string, text_sha256 string, reason string")
+    with pytest.raises(corpus.GateError, match="curation"):
+        build.build(spark, str(tmp_path / "m.toml"), str(tmp_path / "cache"), str(tmp_path / "out"), {}, {}, curation=bad)
+
+
+def test_command_line(spark, files, built, tmp_path, capsys):
+    from quotewright.__main__ import main
+
+    (tmp_path / "rules.toml").write_text('[c]\ntitle = "Book"\ncuts = [{pattern = "وقال", governing = ["ثم"]}]\nstrips = ["x"]\n', encoding="utf-8")
+    assert main(["build", str(files / "manifest.toml"), str(files / "cache"), str(tmp_path / "out"), "--rules", str(tmp_path / "rules.toml")]) == 0
+    assert main(["materialize", str(tmp_path / "out"), str(tmp_path / "again")]) == 0
+    assert main(["embed", str(tmp_path / "again"), str(tmp_path / "vectors"), "--dim", "64"]) == 0 and spark.read.parquet(str(tmp_path / "vectors")).count() == 5
+    assert main(["embed", str(tmp_path / "again"), str(tmp_path / "vectors"), "--dim", "64"]) == 0
+    p = tmp_path / "cases.json"
+    p.write_text(json.dumps([{"id": "a", "text": "«قل هو الله أحد» (2:1)", "expect_verdict": "EXACT", "expect_record": "quran:2:1"}]))
+    assert main(["evaluate", str(tmp_path / "again"), str(p), str(tmp_path / "judged")]) == 0
+    p.write_text(json.dumps([{"id": "a", "text": "«قل هو الله أحد» (2:1)", "expect_verdict": "NOT_FOUND"}]))
+    assert main(["evaluate", str(tmp_path / "again"), str(p), str(tmp_path / "judged")]) == 1
+    assert "1 falsely verified" in capsys.readouterr().out
+
+
+def test_requests_in_batch(spark, built):
+    tried = lambda question, ids, feedback, evidence: ("s", [(ids[0] if feedback or "first" in question else "stray", "f", None)]) if "king" in evidence or "[quran" in evidence else None
+    p = ask.Providers(lambda q: {"none": ["zzz"], "fail": 1 / 0 if q == "fail" else []}.get(q, ["king"]), tried, lambda s, items: False)
+    history = [("before", None, ["quran:1:1", "nowhere"])]
+    data = [("a", "first", None), ("b", "second", None), ("c", "none", None), ("d", "fail", None), ("e", "my rule", history), ("f", "third", history), ("g", "disputed", None)]
+    requests = spark.createDataFrame(data, f"request_id string, question string, history {ask.HISTORY}")
+    routes = [("PERSONAL", [["\\bmy\\b"]]), ("DISPUTED", [["disputed"]])]
+    got = {r.request_id: r for r in ask.run(requests, built.records, built.postings, built.lengths, p, routes, ["PERSONAL"], {}).collect()}
+    assert {k: (r.status, r.attempts, r.decision, r.reason) for k, r in got.items()} == {
+        "a": ("published", 1, "PUBLISH", None), "b": ("published", 2, "PUBLISH", None), "c": ("abstained", 0, "ABSTAIN", "nothing found"), "d": ("abstained", 0, "ABSTAIN", "no search terms"),
+        "e": ("abstained", 0, "ABSTAIN", "handed on"), "f": ("published", 2, "PUBLISH", None), "g": ("published", 2, "RELABEL_INTERPRETATION", None),
+    }
+    assert got["b"]["items"][0].record_id == "quran:1:2" and got["a"].reached == ["ayah"]
+    texts = spark.createDataFrame([("r", "t"), ("bad", "fail")], "request_id string, text string")
+    claims = ask.claims_of(texts, lambda t: [("king", ["king"]), ("none", ["zzz"])] if t == "t" else 1 / 0)
+    found = service.claim_check(claims.select("claim_no", "terms"), built).withColumn("request_id", F.lit("r"))
+    seen = ask.assess_claims(claims, found, built.records, lambda block: [("supported", "n", ["quran:1:2", "stray"]), ("unsupported", block[-16:], [])])
+    assert [(r.claim, r.verdict, r.record_ids) for r in seen.orderBy("claim_no").collect()] == [("king", "supported", ["quran:1:2"]), ("none", "unsupported", [])]
+
+
+def test_vectors_in_any_order_and_as_bytes(spark):
+    texts = spark.createDataFrame([("a", "x", "1"), ("b", "y", "2")], "id string, text string, text_sha256 string").coalesce(1)
+    got = {r.record_id: (r.dtype, r.vec) for r in embed.embed(texts, lambda t: [(1, [-1, 2]), (0, [3, -128])][: len(t)] if len(t) == 2 else [(0, [3, -128])], "m", "int8").collect()}
+    assert got["a"] == ("int8", bytes([3, 128]))

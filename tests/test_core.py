@@ -310,6 +310,12 @@ def test_prefix_collisions_and_containment(spark):
     assert rows(corpus.whole_in_group(t, base, "g", "o")) == [("a", 1), ("b", 1), ("d", 2)]
 
 
+def test_population_of_pointers(spark):
+    n = spark.createDataFrame([("a", "قال زيد"), ("b", " ".join(["كلمة"] * 9)), ("c", " ".join(["كلمة"] * 9 + ["بهذا"])), ("d", None), ("a", "قال زيد")], "id string, text string")
+    assert rows(corpus.pointer_population(n, ["بهذا"], ["قال"], [])) == [("a", 1), ("c", 10)]
+    assert rows(corpus.pure_pointers(n, ["بهذا", "زيد"], ["قال"], [], 9, but_not="كلمة")) == [("a", 0)]
+
+
 def test_content_mass(spark):
     assert one(spark, lambda c: corpus.content_mass(c, ["قال"], ["عن"]), "قال عن زيد كلام طويل") == 2
 
@@ -369,6 +375,15 @@ def test_guards(spark, row, failed):
     assert {r.guard for r in got if not r.passed} == failed and not any(re.search("[؀-ۿ]", r.detail) for r in got)
 
 
+def test_titles_are_exempt_and_histories_are_bounded(spark):
+    df = spark.createDataFrame([answer("the Sahih-Zarfan says", []), answer("a sahih report", [])], ANSWER)
+    got = [r.passed for r in rules.guards(df, {"grading": "\\bsahih\\b"}, {"grading": "\\bsahih zarfan\\b"}).where("guard = 'grading'").collect()]
+    assert sorted(got) == [False, True]
+    turns = "question string, history array<struct<question:string,summary:string,item_ids:array<string>>>"
+    h = spark.createDataFrame([("q", [("a", "x", [])] * 11), ("q", [("a", "x" * 1001, [])]), ("q", [("a", None, [])] * 10), (" ", None)], turns)
+    assert [r[0] for r in h.select(rules.request_problem("ask", F.col("question"), F.col("history"))).collect()] == ["too many turns", "too long a summary", None, "blank"]
+
+
 def test_decisions(spark):
     df = spark.createDataFrame([(True, None, False, 0), (False, None, False, 0), (False, None, False, 1), (True, True, False, 1), (True, False, True, 0)], "p boolean, o boolean, d boolean, a int")
     got = [r[0] for r in df.select(rules.adjudicate(F.col("p"), F.col("o"), F.col("d"), F.col("a"))).collect()]
@@ -461,6 +476,19 @@ def test_markdown_units(spark, tmp_path):
         markdown.units("no header", markdown.Book("c"))
 
 
+def test_rules_of_a_book_are_data():
+    chain = markdown.Chain(frozenset({"بن", "عن", "حدثنا"}), frozenset({"يا", "في"}), "(?:و)?قال", first_no_link="عن")
+    cut = (markdown.Cut("حدثنا", chain=chain),)
+    at = lambda t, b=None: markdown.split(t, b or markdown.Book("c", cut), "r")[:2]
+    assert at("نص طويل هنا حدثنا زيد بن عمرو كلام") == ("نص طويل هنا", "حدثنا زيد بن عمرو كلام")  # a chain of names
+    assert at("نص طويل هنا قال زيد حدثنا كلام في") == ("نص طويل هنا", "قال زيد حدثنا كلام في")  # taken with its attribution
+    assert at("نص طويل هنا حدثنا عن ذلك")[1] is None and at("نص طويل هنا حدثنا يا زيد")[1] is None
+    steps = markdown.Book("c", (markdown.Cut("قال"),), further=((markdown.Cut("وفي الباب"),),), strips=(markdown.Strip(r"\[\d+\]"),), removed=((r"<\d+>", ""),))
+    assert at("نص أول [12] وفي الباب عن زيد قال بكر", steps) == ("نص أول", "وفي الباب عن زيد قال بكر") and at("[12]", steps)[0] == "[12]"
+    assert re.fullmatch(markdown.case_forms("أبو داود"), "أبي داود") and markdown.case_forms("مسلم") == "مسلم"
+    assert [u[7] for u in markdown.units("#META#Header#End#\n# 1 ح <3>* نص\n", steps)] == ["نص"]
+
+
 def test_pins_hold_for_one_text_only():
     import hashlib
 
