@@ -52,6 +52,9 @@ class Token(NamedTuple):
 _TOKENS = re.compile(r"(?P<number>\d+)|(?P<word>[^\W\d]+)|(?P<blank>\s+)|(?P<sign>.)", re.DOTALL)
 
 
+_DIGIT, _LATIN = re.compile(r"\d"), re.compile("[a-z]+")
+
+
 def tokens_of(text: str) -> list[Token]:
     return [Token(m.lastgroup, m[0], m.start(), m.end()) for m in _TOKENS.finditer(text)]
 
@@ -69,10 +72,14 @@ def letters(text: str) -> int:
     return len(normalize(text, "aggressive").replace(" ", ""))
 
 
+_SIGNS = re.compile(f"[{re.escape(OPENERS + CLOSERS)}]")
+
+
 def _wrapped(text: str) -> Iterator[tuple[int, int]]:
     """What stands between a sign that opens and the next that closes; one that opens while another is open is text."""
     opened = None
-    for i, sign in enumerate(text):
+    for m in _SIGNS.finditer(text):
+        i, sign = m.start(), m[0]
         if opened is not None and sign in CLOSERS and i > opened:
             yield opened, i
             opened = None
@@ -194,6 +201,11 @@ class Grammar:
                 out.setdefault(s, number)
         return out
 
+    @cached_property
+    def chapter_words(self) -> set[str]:
+        """Words of which one stands wherever a chapter is named: its spellings, with and without what reads as an article."""
+        return {w for s in self.chapter_by_slug for w in (s, *[s[len(a) :] for a in ARTICLES if s.startswith(a)])}
+
     def number(self, digits: str, collection: str) -> str | None:
         """The whole run as a number from 1 to the collection's largest."""
         plain = "".join(str(unicodedata.digit(d)) for d in digits).lstrip("0")
@@ -264,6 +276,9 @@ class Grammar:
         """All that reads as a citation, in order. Collections claim their text first: what stands there is no verse, and a
         number within a book or a second number is recognised and names nothing. A chapter's name counts with an article
         or a qualifier before it, and not near a claimed citation."""
+        numbers, chapters = bool(_DIGIT.search(text)), not self.chapter_words.isdisjoint(_LATIN.findall(text.lower()))
+        if not numbers and not chapters:
+            return []
         tokens = tokens_of(text)
         out: list[Citation] = []
 
@@ -272,9 +287,9 @@ class Grammar:
             start, end = tokens[first].start, tokens[after - 1].end
             out.append(Citation(family, **place, raw=text[start:end], start=start, end=end, resolved=resolved))
 
-        k = 0
+        k = 0 if numbers else len(tokens)
         while k < len(tokens):
-            read = self._collection(tokens, k) if tokens[k].kind in ("word", "number") else None
+            read = self._collection(tokens, k) if tokens[k].text.lower() in self.tree else None
             if read:
                 collection, digits, nothing, after = read
                 number = None if nothing else self.number(digits.text, collection)
@@ -284,7 +299,7 @@ class Grammar:
             else:
                 k += 1
         taken = [(c.start, c.end) for c in out]
-        k = 0
+        k = 0 if numbers else len(tokens)
         while k < len(tokens):
             read = self._verse(tokens, k) if tokens[k].kind == "number" else None
             k_after = read[2] if read else k + 1
@@ -292,9 +307,10 @@ class Grammar:
                 add("verse", k, k_after, surah=read[0], ayah=read[1])
             k = k_after
         claimed = [c.start for c in out]
-        k = 0 if self.chapters else len(tokens)
+        k = 0 if chapters else len(tokens)
         while k < len(tokens):
-            if tokens[k].kind != "word" or _touches(tokens, k, -1):
+            low = tokens[k].text.lower() if tokens[k].kind == "word" else ""
+            if (low not in self.chapter_by_slug and low not in ARTICLES) or _touches(tokens, k, -1):
                 k += 1
                 continue
             name, after = self._chapter(tokens, k)

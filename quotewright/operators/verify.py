@@ -163,8 +163,8 @@ def _loose(target: str) -> str:
 
 
 def strip_prefix(spans: DataFrame, prefixes: list[str]) -> DataFrame:
-    """span_id, CITED, quoted and its tiers of spans that begin with one of `prefixes` at the standard tier, less that
-    prefix. A span that is nothing else, or that writes the prefix much longer than it is stored, is left out."""
+    """span_id, CITED, quoted and its tiers of spans (with norm_standard) that begin with one of `prefixes` at the
+    standard tier, less that prefix. A span that is nothing else, or that writes the prefix much longer than it is stored, is left out."""
     wanted = {spec.normalize(p, "standard"): len(p) for p in sorted(prefixes, key=len)}
     rest: Column | None = None
     text = F.regexp_replace(nfc(F.col("quoted")), f"^{SPACES}", "")
@@ -174,6 +174,8 @@ def strip_prefix(spans: DataFrame, prefixes: list[str]) -> DataFrame:
         fits = text.rlike(pattern) & (F.length(text) - F.length(cut) <= wanted[target] + PREFIX_SLACK)
         rest = F.when(fits, cut) if rest is None else rest.when(fits, cut)
     rest = F.regexp_replace(F.lit(None).cast("string") if rest is None else rest, f"^{SPACES}", "")
+    begins = [F.startswith("norm_standard", F.lit(t)) for t in wanted if t]
+    spans = spans.where(reduce(Column.__or__, begins)) if begins else spans.limit(0)
     return tiers(spans.select("span_id", rest.alias("quoted"), *CITED).where("quoted <> ''"), "quoted")
 
 
@@ -186,14 +188,13 @@ def prefixes_of(records: DataFrame) -> list[str]:
     return [r[0] for r in by_form.select("b.bismillah").orderBy("bismillah").collect()]
 
 
-def prefix_retry(spans: DataFrame, reps: DataFrame, prefixes: list[str], with_fuzzy: bool = True) -> tuple[DataFrame, dict[str, DataFrame]]:
-    """(RESULT of spans that match without a corpus prefix, HELD by tier).
+def prefix_retry(stripped: DataFrame, reps: DataFrame, with_fuzzy: bool = True) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """(RESULT of spans that match without a corpus prefix, HELD by tier). stripped: from `strip_prefix`, a written table.
 
     The text left is matched against the whole corpus, tier by tier, as any quotation is. The match is taken only if the
     first record of a chapter that has the prefix is among the records that tie for it; then one of those is selected,
     and the others remain ties. Where none is, the span is left as it was.
     """
-    stripped = written(strip_prefix(spans, prefixes), "stripped")
     rest, found, held = stripped, None, {}
     for tier in ("light", "standard", "aggressive"):
         if tier == "aggressive":
@@ -273,27 +274,30 @@ def verify_with_ties(spans: DataFrame, records: DataFrame, reps: DataFrame, with
     # each stage is written, so that what follows starts from a table and not from all stages before it
     found = written(exact_cascade(asked, reps), "exact")
     held = [(found, {t: held_at(reps, t) for t in ("light", "standard")})]
-    rest = written(asked.join(found, "span_id", "left_anti"), "rest")
-    prefixes = prefixes_of(records)
+    # what later stages need of a span, without its text as quoted and at the tiers that are done
+    rest = written(asked.select("span_id", "norm_aggressive", *CITED).join(found, "span_id", "left_anti"), "rest")
+    prefixes, stripped = prefixes_of(records), None
     if prefixes:
-        retried, ties = prefix_retry(rest, reps, prefixes, with_fuzzy)
-        retried = written(retried, "retried")
-        held.append((retried, ties))
-        found = found.unionByName(retried)
-        rest = rest.join(retried, "span_id", "left_anti")
+        stripped = written(strip_prefix(asked, prefixes).join(found, "span_id", "left_anti"), "stripped")
+        if not stripped.isEmpty():
+            retried, ties = prefix_retry(stripped, reps, with_fuzzy)
+            retried = written(retried, "retried")
+            held.append((retried, ties))
+            found = found.unionByName(retried)
+            rest = written(rest.join(retried, "span_id", "left_anti"), "rest")
     if with_fuzzy:
-        near, ties = fuzzy(written(rest, "rest"), reps, score_misses)
+        near, ties = fuzzy(rest, reps, score_misses)
         near = written(near, "last")
         held.append((near, {"aggressive": ties}))
     else:
         near = _missed(rest)
     found = written(found.unionByName(near), "found")
     texts = reps.select("record_id", "variant", F.col("text_ar").alias("canonical"))
-    diffs = found.where("verdict = 'NEAR_MATCH'").join(asked.select("span_id", "quoted", "norm_standard"), "span_id").join(texts, ["record_id", "variant"])
-    last = near.select("span_id", F.lit(True).alias("whole"))
-    stripped = strip_prefix(asked, prefixes).select("span_id", F.col("quoted").alias("bare"))
-    diffs = diffs.join(last, "span_id", "left").join(stripped, "span_id", "left").withColumn("quoted", F.when(F.col("whole"), F.col("quoted")).otherwise(F.coalesce("bare", "quoted")))
-    found = found.join(with_diff(diffs.select("span_id", "quoted", "canonical")).select("span_id", "diff"), "span_id", "left").select("span_id", "verdict", "tier", "record_id", "score", "ties", "diff")
+    told = found.where("verdict = 'NEAR_MATCH'").select("span_id", "record_id", "variant").join(near.select("span_id", F.lit(True).alias("whole")), "span_id", "left")
+    bare = (asked.limit(0) if stripped is None else stripped).select("span_id", F.col("quoted").alias("bare"))
+    diffs = asked.select("span_id", "quoted").join(told, "span_id").join(bare, "span_id", "left").join(texts, ["record_id", "variant"])
+    diffs = with_diff(diffs.select("span_id", F.when(F.col("whole"), F.col("quoted")).otherwise(F.coalesce("bare", "quoted")).alias("quoted"), "canonical"))
+    found = written(found.join(diffs.select("span_id", "diff"), "span_id", "left").select("span_id", "verdict", "tier", "record_id", "score", "ties", "diff"), "told")
     final = withhold(found, written(contained(found.select("span_id", "record_id"), asked, records), "contained"))
     others = reduce(DataFrame.unionByName, [also_at(f, h) for f, h in held])
     return final, others
