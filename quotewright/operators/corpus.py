@@ -5,11 +5,12 @@ Gates return the offending rows; `require_empty` turns rows into an error. Null
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quotewright.functions.normalize import tiers
 from quotewright.functions.text import full_text
+from quotewright.operators.skew import running
 from quotewright.runtime import written
 
 #: Separators of the fingerprint, and the names of representations.
@@ -152,11 +153,8 @@ def whole_in_group(texts: DataFrame, base: DataFrame, group: str, order: str) ->
     """
     words = F.filter(F.split("text", " "), lambda x: x != "")
     lines = base.where(F.col("text").isNotNull() & F.col(group).isNotNull()).select(F.col(group).alias("g"), F.col(order).alias("o"), "text", F.size(words).alias("n"))
-    lines = written(lines.repartitionByRange("g", "o", "text").withColumn("part", F.spark_partition_id()), "lines")
-    upto = lambda *keys: Window.partitionBy(*keys[0]).orderBy(*keys[1]).rowsBetween(Window.unboundedPreceding, -1)
-    parts = lines.groupBy("g", "part").agg(F.sum("n").alias("words")).withColumn("base", F.coalesce(F.sum("words").over(upto(["g"], ["part"])), F.lit(0))).select("g", "part", "base")
-    inside = lines.withColumn("inside", F.coalesce(F.sum("n").over(upto(["g", "part"], ["o", "text"])), F.lit(0)))
-    placed = written(inside.join(parts, ["g", "part"]).withColumn("offset", F.col("base") + F.col("inside")).select("g", "offset", F.posexplode(words).alias("i", "w")).select("g", (F.col("offset") + F.col("i")).alias("place"), "w"), "placed")
+    placed = running(lines, ["g"], ["o", "text"], {"offset": F.col("n")})
+    placed = written(placed.select("g", "offset", F.posexplode(words).alias("i", "w")).select("g", (F.col("offset") + F.col("i")).alias("place"), "w"), "placed")
     asked = texts.where(F.trim("text") != "").select("id", "text").distinct().withColumn("t", F.xxhash64("id", "text"))
     needles = asked.select("t", F.size(words).alias("n"), F.posexplode(words).alias("i", "w"))
     frequency = placed.groupBy("w").agg(F.count("*").alias("df"))
@@ -207,7 +205,7 @@ def noise_report(texts: DataFrame) -> DataFrame:
 
 def occurrences(rows: DataFrame, number: str, order: str) -> DataFrame:
     """rows with occurrence: 1 for the first of each number, 2 for the next, by `order`."""
-    return rows.withColumn("occurrence", F.row_number().over(Window.partitionBy(number).orderBy(order)))
+    return running(rows, [number], [order], {"_earlier": F.lit(1)}).withColumn("occurrence", F.col("_earlier") + 1).drop("_earlier")
 
 
 def content_mass(text: Column, scaffold: list[str], introduces: list[str]) -> Column:

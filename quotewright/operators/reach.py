@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quotewright.functions.similarity import ratio_from
 from quotewright.runtime import ship_code, written
 
 #: Code points of a run, bytes of a block's maps, bits of a map at most.
@@ -104,6 +105,5 @@ def may_resemble(asked: DataFrame, held: DataFrame, least: float) -> DataFrame:
     pairs = written(a.cogroup(b).applyInArrow(lambda x, y: _compare(x, y, least), "asked long, held long"), "alike").distinct()
     left, right = (side.select(F.col("key").alias(n), F.col("text").alias(f"{n}_text")) for side, n in zip(sides, ("asked", "held")))
     rows = pairs.join(left, "asked").join(right, "held")
-    longest = F.greatest(F.length("asked_text"), F.length("held_text"))
-    near = rows.where(F.levenshtein("asked_text", "held_text") <= (1 - least) * longest + 1e-6)
+    near = rows.where(ratio_from(F.col("asked_text"), F.col("held_text"), least - 1e-9).isNotNull())
     return near.select(F.col("asked_text").alias("text")).distinct()

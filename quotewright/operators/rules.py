@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quotewright.functions.text import contains_arabic, fold_diacritics, redact_arabic, word_count
+from quotewright.operators.skew import running
+from quotewright.runtime import written
 
 #: Most words of a summary and of a framing, and most signs, turns and lists of a request.
 SUMMARY_WORDS, FRAMING_WORDS = 80, 25
@@ -113,8 +115,14 @@ def overall(matches: DataFrame, request: str, handoff: DataFrame) -> DataFrame:
 
 
 def running_text(turns: DataFrame, thread: str, order: str, text: str, most: int = MOST_TURNS) -> DataFrame:
-    """turns with context: the text of a thread's last turns up to this one, `most` of them."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(thread).orderBy(order).rowsBetween(1 - most, 0)
-    return turns.withColumn("context", F.array_join(F.collect_list(text).over(w), " "))
+    """turns with context: the text of a thread's last turns up to this one, `most` of them.
+
+    Turns get their numbers, and each meets those of its own and of the preceding stretch of `most` turns, so that a long
+    thread is spread over tasks."""
+    numbered = written(running(turns, [thread], [order], {"_n": F.lit(1)}), "turns")
+    stretch = F.floor(F.col("_n") / most)
+    said = numbered.select(F.col(thread).alias("_thread"), F.col("_n").alias("_m"), F.col(text).alias("_said"), F.explode(F.array(stretch, stretch + 1)).alias("_stretch"))
+    asked = numbered.select(F.col(thread).alias("_of"), "_n", stretch.alias("_at"))
+    near = F.col("_of").eqNullSafe(F.col("_thread")) & (F.col("_at") == F.col("_stretch")) & (F.col("_m") <= F.col("_n")) & (F.col("_m") > F.col("_n") - most)
+    met = asked.join(said, near).groupBy("_of", F.col("_n").alias("_k")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_m", "_said"))), lambda x: x["_said"]), " ").alias("context"))  # `most` rows
+    return numbered.join(met, F.col(thread).eqNullSafe(F.col("_of")) & (F.col("_n") == F.col("_k"))).select(*turns.columns, "context")

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from quotewright.functions import spec
 from quotewright.functions.normalize import SPACES, nfc, tiers
-from quotewright.functions.similarity import may_reach, ratio
+from quotewright.functions.similarity import may_reach, ratio, ratio_from
 from quotewright.functions.text import search_tokens
 from quotewright.operators import search
 from quotewright.operators.reach import may_resemble
@@ -133,9 +133,10 @@ def nearest(texts: DataFrame, reps: DataFrame, score_misses: bool) -> tuple[Data
     opens = F.col("opens") if "opens" in reps.columns else F.lit(False)
     ranked = written(candidates(texts, reps), "candidates")
     pairs = ranked.select("text", "doc_id", "rank").join(reps.select(F.concat_ws("\x1f", "record_id", "variant").alias("doc_id"), "record_id", *ADDRESS, opens.alias("opens"), "variant", F.col("norm_aggressive").alias("held")), "doc_id")
-    if not score_misses:
-        pairs = pairs.where(may_reach(F.col("text"), F.col("held"), NEAR))
-    scored = pairs.withColumn("score", ratio(F.col("text"), F.col("held")))
+    if score_misses:
+        scored = pairs.withColumn("score", ratio(F.col("text"), F.col("held")))
+    else:
+        scored = pairs.where(may_reach(F.col("text"), F.col("held"), NEAR)).withColumn("score", ratio_from(F.col("text"), F.col("held"), NEAR)).where("score is not null")
     # a record counts by its best representation, of equal ones the better ranked
     best = scored.groupBy("text", "record_id", *ADDRESS, "opens").agg(F.max(F.struct("score", (-F.col("rank")).alias("up"), "variant")).alias("b")).select("text", "record_id", *ADDRESS, "opens", "b.variant", "b.score")
     top = written(best.withColumn("place", F.rank().over(Window.partitionBy("text").orderBy(F.desc("score")))).where("place = 1").drop("place"), "nearest")

@@ -143,31 +143,42 @@ def small_corpus(spark):
     return df, corpus.representations(df, corpus.variants(df))
 
 
-def checked(spark, small_corpus, quoted, cited=(None,) * 5):
-    schema = "span_id string, quoted string, cited_family string, cited_surah int, cited_ayah int, cited_collection string, cited_number string"
-    spans = spark.createDataFrame([("s", quoted, *cited)], schema)
-    return verify.verify(spans, *small_corpus).first()
+SPANS = "span_id string, quoted string, cited_family string, cited_surah int, cited_ayah int, cited_collection string, cited_number string"
+
+
+def at_once(spark, held, cases):
+    """The verdict and the other ties of each (quoted, cited), all in one run."""
+    found, ties = verify.verify_with_ties(spark.createDataFrame([(str(n), q, *c) for n, (q, c) in enumerate(cases)], SPANS), *held)
+    others: dict[str, list] = {}
+    for r in ties.orderBy("record_id").collect():
+        others.setdefault(r.span_id, []).append(r.record_id)
+    return {cases[int(r.span_id)]: (r, others.get(r.span_id, [])) for r in found.collect()}
+
+
+VERDICTS = [
+    ("إن الله على كل شيء قدير وهو السميع", (None,) * 5, "EXACT", "quran:1:1"),
+    ("إنَّ اللهَ على كل شيء قدير وهو السميع", (None,) * 5, "EXACT_ORTHOGRAPHY", "quran:1:1"),
+    ("بسم الله إن الله على كل شيء قدير وهو السميع", (None,) * 5, "EXACT", "quran:1:1"),
+    ("إن الله على كل شيي قدير وهو السميع", (None,) * 5, "NEAR_MATCH", "quran:1:1"),
+    ("كلام آخر ليس في الكتاب", (None,) * 5, "NOT_FOUND", None),
+    ("تبارك الذي بيده الملك وهو على كل شيء", ("verse", 2, 6, None, None), "EXACT", "quran:2:6"),
+    ("تبارك الذي بيده الملك وهو على كل شيء", ("verse", 1, 1, None, None), "WRONG_REFERENCE", "quran:2:5"),
+    ("تبارك الذي بيده الملك وهو على كل شيء", ("collection", None, None, "c", "7"), "WRONG_REFERENCE", "quran:2:5"),
+    ("الملك وهو على كل", ("verse", 2, 6, None, None), "NOT_FOUND", None),
+    ("الملك وهو على كل", ("collection", None, None, "c", "7"), "EXACT", "hadith:c:7"),
+    ("الملك وهو على كل وزاد فيه رجل من القوم كلاما طويلا", (None,) * 5, "EXACT", "hadith:c:7"),
+    ("نص لا يحسب أبدا في الميزان", (None,) * 5, "NOT_FOUND", None),
+]
 
 
-@pytest.mark.parametrize(
-    ("quoted", "cited", "verdict", "record"),
-    [
-        ("إن الله على كل شيء قدير وهو السميع", (None,) * 5, "EXACT", "quran:1:1"),
-        ("إنَّ اللهَ على كل شيء قدير وهو السميع", (None,) * 5, "EXACT_ORTHOGRAPHY", "quran:1:1"),
-        ("بسم الله إن الله على كل شيء قدير وهو السميع", (None,) * 5, "EXACT", "quran:1:1"),
-        ("إن الله على كل شيي قدير وهو السميع", (None,) * 5, "NEAR_MATCH", "quran:1:1"),
-        ("كلام آخر ليس في الكتاب", (None,) * 5, "NOT_FOUND", None),
-        ("تبارك الذي بيده الملك وهو على كل شيء", ("verse", 2, 6, None, None), "EXACT", "quran:2:6"),
-        ("تبارك الذي بيده الملك وهو على كل شيء", ("verse", 1, 1, None, None), "WRONG_REFERENCE", "quran:2:5"),
-        ("تبارك الذي بيده الملك وهو على كل شيء", ("collection", None, None, "c", "7"), "WRONG_REFERENCE", "quran:2:5"),
-        ("الملك وهو على كل", ("verse", 2, 6, None, None), "NOT_FOUND", None),
-        ("الملك وهو على كل", ("collection", None, None, "c", "7"), "EXACT", "hadith:c:7"),
-        ("الملك وهو على كل وزاد فيه رجل من القوم كلاما طويلا", (None,) * 5, "EXACT", "hadith:c:7"),
-        ("نص لا يحسب أبدا في الميزان", (None,) * 5, "NOT_FOUND", None),
-    ],
-)
-def test_verdicts(spark, small_corpus, quoted, cited, verdict, record):
-    r = checked(spark, small_corpus, quoted, cited)
+@pytest.fixture(scope="module")
+def verdicts(spark, small_corpus):
+    return at_once(spark, small_corpus, [(q, c) for q, c, _, _ in VERDICTS])
+
+
+@pytest.mark.parametrize(("quoted", "cited", "verdict", "record"), VERDICTS)
+def test_verdicts(verdicts, quoted, cited, verdict, record):
+    r = verdicts[quoted, cited][0]
     assert (r.verdict, r.record_id) == (verdict, record)
     if quoted == "الملك وهو على كل":
         assert r.contained_in == 2
@@ -195,24 +206,27 @@ def opened_corpus(spark):
     return df, corpus.representations(df, corpus.variants(df))
 
 
-@pytest.mark.parametrize(
-    ("quoted", "cited", "verdict", "record", "others"),
-    [
-        # an opener among the ties is taken, and the others are told
-        ("بسم الله تنزيل الكتاب من العزيز الحكيم", (None,) * 5, "EXACT", "quran:3:1", ["quran:4:2"]),
-        ("بسم الله تنزيل الكتاب من العزيز الحكيم", ("verse", 4, 2, None, None), "WRONG_REFERENCE", "quran:3:1", ["quran:4:2"]),
-        # the whole corpus is matched first: a better record that is no opener stops the retry
-        ("بسم الله وما كان لنفس أن تؤمن إلا بإذن ربها", (None,) * 5, "NOT_FOUND", None, []),
-        ("بسمِ  اللـه وما كان لنفس أن تؤمن إلا بإذن ربه", (None,) * 5, "EXACT", "quran:5:1", []),
-        ("بسم الله والسماء ذات البروج واليوم الموعود وشاهد ومشهد", (None,) * 5, "NEAR_MATCH", "quran:6:1", []),
-        ("بسم الله", (None,) * 5, "NOT_FOUND", None, []),
-    ],
-)
-def test_a_prefix_is_taken_off_for_openers_only(spark, opened_corpus, quoted, cited, verdict, record, others):
-    schema = "span_id string, quoted string, cited_family string, cited_surah int, cited_ayah int, cited_collection string, cited_number string"
-    found, ties = verify.verify_with_ties(spark.createDataFrame([("s", quoted, *cited)], schema), *opened_corpus)
-    r = found.first()
-    assert (r.verdict, r.record_id) == (verdict, record) and [x.record_id for x in ties.orderBy("record_id").collect()] == others
+OPENED = [
+    # an opener among the ties is taken, and the others are told
+    ("بسم الله تنزيل الكتاب من العزيز الحكيم", (None,) * 5, "EXACT", "quran:3:1", ["quran:4:2"]),
+    ("بسم الله تنزيل الكتاب من العزيز الحكيم", ("verse", 4, 2, None, None), "WRONG_REFERENCE", "quran:3:1", ["quran:4:2"]),
+    # the whole corpus is matched first: a better record that is no opener stops the retry
+    ("بسم الله وما كان لنفس أن تؤمن إلا بإذن ربها", (None,) * 5, "NOT_FOUND", None, []),
+    ("بسمِ  اللـه وما كان لنفس أن تؤمن إلا بإذن ربه", (None,) * 5, "EXACT", "quran:5:1", []),
+    ("بسم الله والسماء ذات البروج واليوم الموعود وشاهد ومشهد", (None,) * 5, "NEAR_MATCH", "quran:6:1", []),
+    ("بسم الله", (None,) * 5, "NOT_FOUND", None, []),
+]
+
+
+@pytest.fixture(scope="module")
+def opened(spark, opened_corpus):
+    return at_once(spark, opened_corpus, [(q, c) for q, c, *_ in OPENED])
+
+
+@pytest.mark.parametrize(("quoted", "cited", "verdict", "record", "others"), OPENED)
+def test_a_prefix_is_taken_off_for_openers_only(opened, quoted, cited, verdict, record, others):
+    r, ties = opened[quoted, cited]
+    assert (r.verdict, r.record_id) == (verdict, record) and ties == others
     if verdict == "NEAR_MATCH":
         assert "".join(d.text for d in r.diff if d.op != "quoted-only") == "والسماء ذات البروج واليوم الموعود وشاهد ومشهود"
 
@@ -234,7 +248,7 @@ def test_near_ties_misses_and_the_least_similarity(spark):
 
 
 def test_aggressive_never_verifies(spark, small_corpus):
-    r = checked(spark, small_corpus, "ان الله علي كل شيء قدير وهو السميع")
+    r = verify.verify(spark.createDataFrame([("s", "ان الله علي كل شيء قدير وهو السميع", *(None,) * 5)], SPANS), *small_corpus).first()
     assert r.verdict == "NEAR_MATCH" and r.tier == "aggressive" and r.score == 1.0
 
 
@@ -384,6 +398,15 @@ def test_titles_are_exempt_and_histories_are_bounded(spark):
     assert [r[0] for r in h.select(rules.request_problem("ask", F.col("question"), F.col("history"))).collect()] == ["too many turns", "too long a summary", None, "blank"]
 
 
+def test_context_and_numbers_of_long_threads(spark):
+    data = [("a", n, f"t{n}") for n in range(47)] + [("b", 5, "x"), ("b", 2, None), (None, 1, "u"), (None, 3, "v")]
+    df = spark.createDataFrame(data, "thread string, n int, said string").repartition(6)
+    got = {(r.thread, r.n): r.context for r in rules.running_text(df, "thread", "n", "said", 4).collect()}
+    want = {(t, n): " ".join(s for u, m, s in sorted((x for x in data if x[0] == t), key=lambda x: x[1]) if m <= n and s is not None and sum(1 for x in data if x[0] == t and m <= x[1] <= n) <= 4) for t, n, _ in data}
+    assert got == want
+    assert rows(corpus.occurrences(df, "thread", "n").where("thread = 'a'").select("n", "occurrence")) == sorted(((n, n + 1) for n in range(47)), key=repr)
+
+
 def test_decisions(spark):
     df = spark.createDataFrame([(True, None, False, 0), (False, None, False, 0), (False, None, False, 1), (True, True, False, 1), (True, False, True, 0)], "p boolean, o boolean, d boolean, a int")
     got = [r[0] for r in df.select(rules.adjudicate(F.col("p"), F.col("o"), F.col("d"), F.col("a"))).collect()]
