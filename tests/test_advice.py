@@ -55,15 +55,6 @@ def test_the_filter_before_ranking_loses_no_text(spark):
     assert 50 < len(want) < len(asked) and got == want
 
 
-def test_look_alikes_of_a_hot_text_all_meet(spark, monkeypatch):
-    from quotewright.llm import lookalike
-
-    monkeypatch.setattr(lookalike, "PAIR_LIMIT", 3)
-    data = [(f"h{i}", "كل") for i in range(8)] + [("v1", "کل"), ("v2", "ﻛﻞ"), ("v3", "ﻛﻞ")]
-    got = sorted(map(tuple, lookalike.lookalike_pairs(spark.createDataFrame(data, "id string, text string"), "id", "text").collect()))
-    assert got == sorted((a, b) for a, x in data for b, y in data if a < b and x != y)
-
-
 def test_collections_come_from_ids_whatever_their_number_of_rows(spark):
     from quotewright.operators import extract
 
