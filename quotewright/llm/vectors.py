@@ -27,7 +27,10 @@ from quotewright.operators.skew import spread_join
 from quotewright.runtime import ship_code, written
 
 #: Rows that the pivots are fitted on for each model and most pivots; members of a shard, queries of a task, and the beam.
-SAMPLE, PIVOTS, SHARD, QUERIES, BEAM = 8000, 256, 32768, 8192, 64
+SAMPLE, PIVOTS, SHARD, QUERIES, BEAM = 8000, 256, 8192, 8192, 64
+#: A model of more than PIVOTS * CROWD points gets a pivot for every CROWD points, MOST_PIVOTS at most, fitted on ROWS_A_PIVOT
+#: sampled rows each (131,072 at most): clusters without a pivot of their own would be scattered.
+CROWD, MOST_PIVOTS, ROWS_A_PIVOT = 1024, 4096, 32
 #: Pivots searched for a vector: those at most SLACK of its bits farther than the nearest, PROBES at most.
 SLACK, PROBES = 0.06, 8
 #: Pivots nearer than this share of the bits are one; with fewer members in the sample a pivot is dropped, so that a
@@ -57,10 +60,16 @@ def usable(df: DataFrame) -> DataFrame:
     return rows.join(usual, "model").where((F.col("dim") == F.col("usual_dim")) & fits).select("model", "dim", "record_id", "vec").distinct()
 
 
-def fit_pivots(x: np.ndarray, bits: int) -> np.ndarray:
+def pivots_for(points: int) -> tuple[int, int]:
+    """(most pivots, rows to fit them on) for so many points."""
+    pivots = min(MOST_PIVOTS, max(PIVOTS, points // CROWD))
+    return pivots, max(SAMPLE, ROWS_A_PIVOT * pivots if pivots > PIVOTS else 0)
+
+
+def fit_pivots(x: np.ndarray, bits: int, most: int = PIVOTS) -> np.ndarray:
     """Pivots of a sample: points far from each other, moved twice to the majority of what is nearest, the rare dropped."""
     chosen, d = [0], distances(x, x[0])
-    for _ in range(min(PIVOTS, max(1, len(x) // 64)) - 1):
+    for _ in range(min(most, max(1, len(x) // (64 if most <= PIVOTS else ROWS_A_PIVOT))) - 1):
         chosen.append(int(d.argmax()))
         d = np.minimum(d, distances(x, x[chosen[-1]]))
     pivots = x[chosen]
@@ -68,7 +77,7 @@ def fit_pivots(x: np.ndarray, bits: int) -> np.ndarray:
     for _ in range(2):
         home = nearest(x, pivots)[0][:, 0]
         count = np.bincount(home, minlength=len(pivots))
-        kept = np.flatnonzero(count >= max(1, min(LEAST_MEMBERS, count.max())))
+        kept = np.flatnonzero(count >= max(1, min(LEAST_MEMBERS if most <= PIVOTS else ROWS_A_PIVOT // 4, count.max())))
         pivots = np.stack([np.packbits(plain[home == k].mean(0) >= 0.5).view(np.uint64) for k in kept])
     single: list[np.ndarray] = []
     for p in pivots:
@@ -179,7 +188,8 @@ def _search(wanted: int):
         q = packed(queries["vec"].combine_chunks())
         place = {p: k for k, p in enumerate(shard["points"].combine_chunks().flatten().to_pylist())}
         own = np.array([place.get(p, -1) for p in queries["point"].to_pylist()], np.int64)
-        out, waiting, beam = [], np.arange(len(q)), max(BEAM, wanted)
+        # a larger shard is searched with a wider beam
+        out, waiting, beam = [], np.arange(len(q)), max(wanted, int(BEAM * max(1.0, np.log2(max(n, 2) / 512) / 2)))
         while len(waiting):
             short = []
             for i in range(0, len(waiting), BATCH):
@@ -246,7 +256,7 @@ def neighbours(df: DataFrame, k: int = 10) -> DataFrame:
     empty = spark.createDataFrame([], "model string, dim int, record_id string, neighbour_id string, rank int, distance int")
     if not of_model:
         return empty
-    share = F.create_map(*[F.lit(v) for m, (n, _) in of_model.items() for v in (m, min(1_000_000, -(-SAMPLE * 1_000_000 // n)))])
+    share = F.create_map(*[F.lit(v) for m, (n, _) in of_model.items() for v in (m, min(1_000_000, -(-pivots_for(n)[1] * 1_000_000 // n)))])
     sample = points.where(F.pmod(F.xxhash64("point"), F.lit(1_000_000)) < share[F.col("model")]).select("model", "point", "vec").toArrow()
     sample = sample.sort_by("point")  # the pivots don't depend on partitions
     pivots = {}
@@ -254,7 +264,7 @@ def neighbours(df: DataFrame, k: int = 10) -> DataFrame:
         mine = sample.filter(pa.array([x == m for x in sample["model"].to_pylist()], pa.bool_())) if sample.num_rows else sample
         if not mine.num_rows:  # a tiny model that the hash left out
             mine = points.where(F.col("model") == m).select("model", "vec").limit(1).toArrow()
-        fitted = fit_pivots(packed(mine["vec"].combine_chunks()), bits)
+        fitted = fit_pivots(packed(mine["vec"].combine_chunks()), bits, pivots_for(n)[0])
         pivots[m] = fitted if n > min(SMALL, SHARD) else fitted[:1]
     placed, sizes = _place(points, spark.sparkContext.broadcast(pivots))
 
