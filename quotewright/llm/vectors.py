@@ -31,6 +31,8 @@ SAMPLE, PIVOTS, SHARD, QUERIES, BEAM = 8000, 256, 8192, 8192, 64
 #: A model of more than PIVOTS * CROWD points gets a pivot for every CROWD points, MOST_PIVOTS at most, fitted on ROWS_A_PIVOT
 #: sampled rows each (131,072 at most): clusters without a pivot of their own would be scattered.
 CROWD, MOST_PIVOTS, ROWS_A_PIVOT = 1024, 4096, 32
+#: Words of 64 bits that vectors are compared with pivots in at once: 8 MB, whatever the rows and pivots are.
+WORDS = 1 << 20
 #: Pivots searched for a vector: those at most SLACK of its bits farther than the nearest, PROBES at most.
 SLACK, PROBES = 0.06, 8
 #: Pivots nearer than this share of the bits are one; with fewer members in the sample a pivot is dropped, so that a
@@ -73,12 +75,12 @@ def fit_pivots(x: np.ndarray, bits: int, most: int = PIVOTS) -> np.ndarray:
         chosen.append(int(d.argmax()))
         d = np.minimum(d, distances(x, x[chosen[-1]]))
     pivots = x[chosen]
-    plain = np.unpackbits(x.view(np.uint8), axis=1)
     for _ in range(2):
-        home = nearest(x, pivots)[0][:, 0]
+        home = np.concatenate([d.argmin(1) for d in _compared(x, pivots)])
         count = np.bincount(home, minlength=len(pivots))
         kept = np.flatnonzero(count >= max(1, min(LEAST_MEMBERS if most <= PIVOTS else ROWS_A_PIVOT // 4, count.max())))
-        pivots = np.stack([np.packbits(plain[home == k].mean(0) >= 0.5).view(np.uint64) for k in kept])
+        members = np.split(np.argsort(home, kind="stable"), np.cumsum(count)[:-1])
+        pivots = np.stack([np.packbits(np.unpackbits(x[members[k]].view(np.uint8), axis=1).mean(0) >= 0.5).view(np.uint64) for k in kept])
     single: list[np.ndarray] = []
     for p in pivots:
         if not single or distances(np.stack(single), p).min() > MERGED * bits:
@@ -86,13 +88,22 @@ def fit_pivots(x: np.ndarray, bits: int, most: int = PIVOTS) -> np.ndarray:
     return np.stack(single)
 
 
+def _compared(x: np.ndarray, pivots: np.ndarray) -> Iterator[np.ndarray]:
+    """The distances of some rows at a time to all pivots; what is held at once doesn't grow with the rows."""
+    step = max(1, WORDS // pivots.size)
+    for i in range(0, len(x), step):
+        yield distances(x[i : i + step, None], pivots[None])
+
+
 def nearest(x: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(pivots by distance, PROBES at most, and the distances) of each row."""
-    d = np.concatenate([distances(x[i : i + BATCH, None], pivots[None]) for i in range(0, len(x), BATCH)]) if len(x) else np.zeros((0, len(pivots)), np.int32)
-    keys = d.astype(np.int64) << 32 | np.arange(len(pivots))
-    if len(pivots) > PROBES:
-        keys = np.partition(keys, PROBES - 1, axis=1)[:, :PROBES]
-    keys.sort(1)
+    best = [np.zeros((0, min(PROBES, len(pivots))), np.int64)]
+    for d in _compared(x, pivots):
+        keys = d.astype(np.int64) << 32 | np.arange(len(pivots))
+        if len(pivots) > PROBES:
+            keys = np.partition(keys, PROBES - 1, axis=1)[:, :PROBES]
+        best.append(np.sort(keys, 1))  # a copy: a slice would hold the distances to all pivots
+    keys = np.concatenate(best)
     return keys & 0xFFFFFFFF, keys >> 32
 
 

@@ -1,6 +1,7 @@
 """The training-data operators on small fixtures against brute force, and their edge cases."""
 
 import random
+import tracemalloc
 import unicodedata
 
 import numpy as np
@@ -111,6 +112,23 @@ def brute_records(data, k):
     return out
 
 
+def test_fitting_and_comparing_pivots_hold_little_at_once():
+    """The driver fits pivots, so no table of all sampled rows by all pivots may stand in its memory."""
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 1 << 63, (500, 4), dtype=np.uint64)[rng.integers(0, 500, 20_000)] ^ (np.uint64(1) << rng.integers(0, 63, (20_000, 4), dtype=np.uint64))
+    tracemalloc.start()
+    try:
+        pivots = vectors.fit_pivots(x, 256, 600)
+        order, d = vectors.nearest(x, pivots)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 40e6  # a table of distances has 20,000 x 500 x 4 bytes, its keys twice that
+    full = np.bitwise_count(x[:300, None] ^ pivots[None]).sum(-1, dtype=np.int64)
+    want = np.argsort(full, 1, kind="stable")[:, : vectors.PROBES]
+    assert len(pivots) > 400 and (order[:300] == want).all() and (d[:300] == np.take_along_axis(full, want, 1)).all()
+
+
 def test_a_record_with_several_vectors_gets_k_distinct_neighbours(spark):
     rng = np.random.default_rng(4)
     data = {f"r{i:02}": [(rng.random(256) < 0.5)] for i in range(40)}
