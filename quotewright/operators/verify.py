@@ -34,6 +34,8 @@ ADDRESS = ["kind", "surah", "ayah", "collection", "hadith_no"]
 HELD = ["text", "record_id", *ADDRESS, "opens", "variant", "score"]
 RESULT = ["span_id", "verdict", "tier", "record_id", "score", "ties", "variant", "asked"]
 NOTHING = "\x00"
+#: Code points of the runs by which a needle is looked up, the first that it is as long as; runs of a needle; rows whose keys are broadcast at most.
+RUNS, RUNS_A_NEEDLE, FEW = (16, 6, 2), 8, 100_000
 
 
 def conflicts(kind: Column, surah: Column, ayah: Column, collection: Column, number: Column) -> Column:
@@ -97,6 +99,11 @@ def exact(spans: DataFrame, reps: DataFrame, tier: str) -> DataFrame:
     return _result(choose(_at(spans, tier), held_at(reps, tier)), tier)
 
 
+def by_digest(df: DataFrame, tiers: tuple[str, ...] = ("light", "standard")) -> DataFrame:
+    """df with 128-bit digests for texts at `tiers`, for stages that ask only whether two are equal; empty stays empty."""
+    return df.withColumns({f"norm_{t}": F.when(F.col(f"norm_{t}") == "", "").otherwise(F.md5(F.col(f"norm_{t}"))) for t in tiers})
+
+
 def exact_cascade(spans: DataFrame, reps: DataFrame) -> DataFrame:
     """The light tier, then the standard tier for what it left."""
     light = exact(spans, reps, "light")
@@ -212,29 +219,50 @@ def prefix_retry(stripped: DataFrame, reps: DataFrame, with_fuzzy: bool = True)
     return found, held
 
 
-def containing(needles: DataFrame, texts: DataFrame) -> DataFrame:
+def _digest(text: Column) -> Column:
+    return F.unhex(F.md5(text))
+
+
+def _among(many: DataFrame, few: DataFrame, key: str) -> DataFrame:
+    """Rows of `many` whose key is in `few`, a written table. Few rows are broadcast, so that texts stay where they are."""
+    keys = few.select(key).distinct()
+    return many.join(F.broadcast(keys) if few.count() <= FEW else keys, key, "left_semi")
+
+
+def containing(needles: DataFrame, texts: DataFrame, among: DataFrame | None = None) -> DataFrame:
     """needle_id, text_id: texts that contain a needle, of two code points or more, as a raw substring. needles: needle_id,
-    needle; texts: text_id, text.
+    needle; texts: text_id, text; among: needle_id of the needles that are asked for, where not all are.
 
-    A needle is looked up by the rarest of its runs of 6 code points (2 for a shorter needle) among the texts; runs are
-    counted for the needles' runs only, and a needle with a run that no text has is dropped before any text is compared.
+    Texts are known by their 128-bit digests until they are compared, each different one once. A needle is looked up by
+    the rarest, among the texts, of RUNS_A_NEEDLE of its runs that stand at even distances, and dropped where no text has
+    one of them. Only needles and texts that share a run so chosen are compared.
     """
-    grams = lambda c, n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.xxhash64(F.substr(c, i, F.lit(n)))))
-    wide = texts.where(F.length("text") >= 2).select("text_id", "text").distinct()
-    asked = written(needles.where(F.length("needle") >= 2).select("needle_id", "needle").distinct(), "needles")
-    once = asked.select("needle").distinct()
-    out = None
-    for n, mine in ((6, F.length("needle") >= 6), (2, F.length("needle") < 6)):
-        if n == 2 and out is not None and once.where(mine).isEmpty():
-            break
-        wanted = once.where(mine).select("needle", F.explode(grams(F.col("needle"), n)).alias("g"))
-        there = wide.where(F.length("text") >= n).select("text_id", F.explode(grams(F.col("text"), n)).alias("g"))
+    size = F.length("needle")
+    kind = F.when(size >= RUNS[0], RUNS[0]).when(size >= RUNS[1], RUNS[1]).otherwise(RUNS[2])
+    run = lambda c, i, n: F.xxhash64(F.substr(c, i, n))
+    spread = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(RUNS_A_NEEDLE - 1)), lambda i: run(F.col("needle"), (F.floor((size - kind) * i / (RUNS_A_NEEDLE - 1)) + 1).cast("int"), kind)))
+    every = lambda n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("text") - n + 1), lambda i: run(F.col("text"), i, F.lit(n))))
+    keyed = needles.where(size >= RUNS[-1]).withColumn("needle_key", _digest(F.col("needle")))
+    asked = keyed.select("needle_id", "needle_key", kind.alias("kind"), spread.alias("runs"))
+    asked = written((asked if among is None else asked.join(among.select("needle_id").distinct(), "needle_id", "left_semi")).distinct(), "needles")
+    held = texts.where(F.length("text") >= RUNS[-1]).withColumn("text_key", _digest(F.col("text")))
+    once = held.dropDuplicates(["text_key"]).select("text_key", "text")
+    pairs = None
+    for n in sorted(r.kind for r in asked.select("kind").distinct().collect()):
+        wanted = written(asked.where(F.col("kind") == n).select("needle_key", F.explode("runs").alias("g")).distinct(), "wanted")
+        there = once.where(F.length("text") >= n).select("text_key", F.explode(every(n)).alias("g"))
         there = written(there.join(wanted.select("g").distinct(), "g", "left_semi"), "runs")
         counts = there.groupBy("g").agg(F.count("*").alias("n"))
-        rarest = wanted.join(counts, "g", "left").groupBy("needle").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g")).alias("r")).where("r.n > 0").select("needle", F.col("r.g").alias("g"))
-        hits = rarest.join(there, "g").join(wide, "text_id").where(F.contains("text", "needle")).select("needle", "text_id")
-        out = hits if out is None else out.unionByName(hits)
-    return asked.join(out, "needle").select("needle_id", "text_id").distinct()
+        rarest = wanted.join(counts, "g", "left").groupBy("needle_key").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g")).alias("r")).where("r.n > 0").select("needle_key", F.col("r.g").alias("g"))
+        part = rarest.join(there, "g").select("needle_key", "text_key")
+        pairs = part if pairs is None else pairs.unionByName(part)
+    if pairs is None:
+        return asked.select("needle_id").join(texts.select("text_id").limit(0))
+    pairs = written(pairs, "pairs")
+    whole = _among(keyed.select("needle_id", "needle_key", "needle"), pairs, "needle_key").join(asked.select("needle_id", "needle_key"), ["needle_id", "needle_key"], "left_semi")
+    hits = pairs.join(whole.select("needle_key", "needle").dropDuplicates(["needle_key"]), "needle_key").join(_among(once, pairs, "text_key"), "text_key")
+    hits = written(hits.where(F.contains("text", "needle")).select("needle_key", "text_key"), "hits")
+    return asked.select("needle_id", "needle_key").join(hits, "needle_key").join(_among(held.select("text_id", "text_key"), hits, "text_key"), "text_key").select("needle_id", "text_id").distinct()
 
 
 def contained(found: DataFrame, spans: DataFrame, records: DataFrame) -> DataFrame:
@@ -242,12 +270,13 @@ def contained(found: DataFrame, spans: DataFrame, records: DataFrame) -> DataFra
     aggressive tier; whether at the standard tier too, and whether the span's citation names the verse."""
     kinds = records.select(F.col("id").alias("record_id"), "kind").distinct()
     asked = found.where("record_id is not null").select("span_id", "record_id").join(kinds, "record_id").where("kind = 'hadith'").select("span_id")
-    asked = spans.join(asked, "span_id", "left_semi")
-    verses = records.where("kind = 'ayah' and norm_aggressive is not null").select("id", *ADDRESS, "norm_standard", "norm_aggressive").distinct()
-    near = containing(asked.select(F.col("span_id").alias("needle_id"), F.col("norm_aggressive").alias("needle")), verses.select(F.col("id").alias("text_id"), F.col("norm_aggressive").alias("text")))
-    rows = near.join(asked.select(F.col("span_id").alias("needle_id"), F.col("norm_standard").alias("asked"), *CITED), "needle_id").join(verses, near["text_id"] == verses["id"])
+    verses = written(records.where("kind = 'ayah' and norm_aggressive is not null").select("id", *ADDRESS, "norm_standard", "norm_aggressive"), "verses")
+    near = containing(spans.select(F.col("span_id").alias("needle_id"), F.col("norm_aggressive").alias("needle")), verses.select(F.col("id").alias("text_id"), F.col("norm_aggressive").alias("text")), asked.select(F.col("span_id").alias("needle_id")))
+    near = written(near.select(F.col("needle_id").alias("span_id"), F.col("text_id").alias("id")), "near")
+    quoted = _among(spans.select("span_id", F.col("norm_standard").alias("asked"), *CITED), near, "span_id")
+    rows = near.join(quoted, "span_id").join(_among(verses, near, "id").distinct(), "id")
     agrees = F.col("cited_family").isNotNull() & ~conflicts(*[F.col(c) for c in ADDRESS])
-    return rows.select(F.col("needle_id").alias("span_id"), F.col("id").alias("record_id"), ((F.col("asked") != "") & F.contains("norm_standard", "asked")).alias("at_standard"), agrees.alias("agrees"))
+    return rows.select("span_id", F.col("id").alias("record_id"), ((F.col("asked") != "") & F.contains("norm_standard", "asked")).alias("at_standard"), agrees.alias("agrees"))
 
 
 def withhold(found: DataFrame, inside: DataFrame) -> DataFrame:

@@ -198,7 +198,8 @@ def rrf_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def contains_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of one kind that contain a text of the other as a raw substring."""
-    r = records_once(spark, sf_dir).where("norm_standard is not null")
+    rows = table(spark, sf_dir, "records").select("id", "loaded_at", "row_no", "kind", "norm_standard")
+    r = written(corpus.latest_rows(rows, ["id"], ["loaded_at", "row_no"]).where("norm_standard is not null").select("id", "kind", "norm_standard"), "records")
     return op.containing(r.where("kind = 'ayah'").select(F.col("id").alias("needle_id"), F.col("norm_standard").alias("needle")), r.where("kind = 'hadith'").select(F.col("id").alias("text_id"), F.col("norm_standard").alias("text")))
 
 
@@ -206,9 +207,17 @@ def withhold_disclose(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quoted records of one kind that stand within the other, with what is withheld: citations name the verse's own address."""
     from quotewright.functions.normalize import tiers
 
-    records = records_once(spark, sf_dir)
-    spans = tiers(_record_quotations(spark, sf_dir, True), "quoted")
-    found = op.exact_cascade(spans, _reps(records))
+    # texts are worked out once and written; where they need only be equal, their digests take part
+    spans = tiers(_record_quotations(spark, sf_dir, True), "quoted").select("span_id", *op.CITED, "norm_light", "norm_standard", "norm_aggressive")
+    spans = written(op.by_digest(spans, ("light",)), "spans")
+    rows = table(spark, sf_dir, "records").select("id", "loaded_at", "row_no", *op.ADDRESS, "text_ar", "addenda_ar", "unscorable_reason", "norm_light", "norm_standard", "norm_aggressive")
+    verse = F.col("kind") == "ayah"
+    slim = rows.select("id", "loaded_at", "row_no", *op.ADDRESS, "unscorable_reason", "addenda_ar", F.when(F.col("addenda_ar").isNotNull(), F.col("text_ar")).alias("text_ar"), *[F.when(verse, F.col(f"norm_{t}")).alias(f"verse_{t}") for t in ("standard", "aggressive")], "norm_light", "norm_standard", F.lit(None).cast("string").alias("norm_aggressive"))
+    slim = written(corpus.latest_rows(op.by_digest(slim), ["id"], ["loaded_at", "row_no"]), "records")
+    full = op.by_digest(corpus.variants(slim))
+    reps = written(corpus.representations(slim, full).select("record_id", "variant", *op.ADDRESS, "norm_light", "norm_standard"), "reps")
+    found = written(op.exact_cascade(op.by_digest(spans, ("standard",)), reps).select("span_id", "verdict", "record_id", "ties"), "found")
+    records = slim.select("id", *op.ADDRESS, F.col("verse_standard").alias("norm_standard"), F.col("verse_aggressive").alias("norm_aggressive"))
     return op.withhold(found, op.contained(found, spans, records)).select("span_id", "verdict", "record_id", "contained_in")
 
 

@@ -258,6 +258,33 @@ def test_containment_is_a_raw_substring_test(spark):
     assert rows(verify.containing(n, t)) == [("a", "1"), ("a", "2"), ("b", "1")]
 
 
+def test_containment_for_some_needles_of_all_lengths(spark, monkeypatch):
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdef") for _ in range(rng.randint(1, 6))) for _ in range(40)]
+    t = [(str(k), " ".join(rng.choices(words, k=rng.randint(1, 30)))) for k in range(60)] + [("same", "ab cd ef"), ("again", "ab cd ef")]
+    n = [(f"n{k}", v[a : a + rng.choice([1, 2, 3, 5, 6, 7, 15, 16, 17, 40])]) for k, (_, v) in enumerate(t * 3) for a in [rng.randrange(len(v))]]
+    n += [("miss", "ab cd eg zz"), ("twice", "cd ef"), ("twice", "ab cd ef")]
+    want = sorted({(a, b) for a, needle in n for b, text in t if len(needle) >= 2 and needle in text})
+    needles, held = spark.createDataFrame(n, "needle_id string, needle string"), spark.createDataFrame(t, "text_id string, text string")
+    assert rows(verify.containing(needles, held)) == want and len(want) > 200
+    monkeypatch.setattr(verify, "FEW", 0)
+    some = spark.createDataFrame([(f"n{k}",) for k in range(0, 180, 2)] + [("twice",), ("nowhere",)], "needle_id string")
+    ids = {r[0] for r in some.collect()}
+    assert rows(verify.containing(needles, held, some)) == [p for p in want if p[0] in ids]
+    assert rows(verify.containing(needles.limit(0), held)) == []
+
+
+def test_containment_writes_digests_and_not_texts(spark, monkeypatch):
+    """Needles' and texts' runs, of which there are as many as signs, are shuffled and stored without the texts themselves."""
+    stored = []
+    monkeypatch.setattr(verify, "written", lambda df, label: stored.append(df) or df)
+    text = "".join(chr(0x620 + k % 40) for k in range(400))
+    needles = spark.createDataFrame([("a", text[3:])], "needle_id string, needle string")
+    assert rows(verify.containing(needles, spark.createDataFrame([("t", text)], "text_id string, text string"))) == [("a", "t")]
+    assert stored and not any(c in ("needle", "text") for df in stored for c in df.columns)
+    assert all(df.count() <= 400 for df in stored)
+
+
 def test_differences():
     assert verify.differences("قل هو", "قل هي") == [("equal", "قل ه"), ("quoted-only", "و"), ("corpus-only", "ي")]
 
